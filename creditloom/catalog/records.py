@@ -49,7 +49,7 @@ def application_text(spark: SparkSession, sf: str) -> DataFrame:
     ).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("s")).alias("s"))
     orders = table(spark, sf, "orders").select(
         "o_orderkey", "o_custkey", (F.col("o_orderkey") % 40).alias("dti"), F.expr(CONTRACT_JSON).alias("contracts")
-    )
+    ).repartition("o_orderkey")
     body = F.concat(
         F.lit('{"record_id":"'), F.col("o_orderkey"), F.lit('","user_initials":"U'), F.col("o_custkey") % 60,
         F.lit('","prefi_data":{"Offers":['), F.coalesce(F.array_join("s.j", ","), F.lit("")),

@@ -4,32 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Texts that mean "no number", and the shape of a plain number.
-NULL_WORDS = ["", "na", "none", "nan"]
-NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# Characters that are dropped from a number's text.
+DROPPED = "$, \t\n\r\f\u000b\u00a0"
 
 MISSING = -1.0
 HIDDEN = -999.0
 
 
 def clean_numeric(c: Column) -> Column:
-    """Text or number to double; ``$``, commas and blanks are dropped, the rest is null."""
-    text = F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
-    bare = F.regexp_replace(text, r"[$,\s]", "")
-    return F.when(
-        ~F.lower(text).isin(NULL_WORDS) & bare.rlike(NUMBER_SHAPE), bare.try_cast("double")
-    )
+    """Text or number to double; ``$``, commas and blanks are dropped, what is left must be a number.
+
+    The JVM also reads "1d", "NaN", "Infinity" and hex floats, so the last character must be a
+    digit or a point and there must be no "x". No regular expression runs per row.
+    """
+    bare = F.translate(c.cast("string"), DROPPED, "")
+    plain = F.substring(bare, -1, 1).isin(list("0123456789.")) & ~F.lower(bare).contains("x")
+    return F.when(plain, bare.try_cast("double"))
+
+
+def to_number(c: Column, dtype: T.DataType | None = None) -> Column:
+    """Double value of a column; numeric columns are not sent through text. NaN becomes null."""
+    if isinstance(dtype, T.NumericType):
+        d = c.cast("double")
+        return F.when(~F.isnan(d), d)
+    return clean_numeric(c)
 
 
-def number_or(c: Column, default: float) -> Column:
+def number_or(c: Column, default: float, dtype: T.DataType | None = None) -> Column:
     """Numeric coercion with a default for null and unparseable values."""
-    return F.coalesce(clean_numeric(c), F.lit(float(default)))
+    return F.coalesce(to_number(c, dtype), F.lit(float(default)))
 
 
-def as_flag(c: Column) -> Column:
+def as_flag(c: Column, dtype: T.DataType | None = None) -> Column:
     """0/1 column from whatever an encoded column holds; 'NA' and junk become 0."""
-    return F.coalesce(clean_numeric(c).cast("int"), F.lit(0))
+    if isinstance(dtype, T.IntegerType):
+        return F.coalesce(c, F.lit(0))
+    return F.coalesce(to_number(c, dtype).cast("int"), F.lit(0))
 
 
 def is_bad_number(c: Column) -> Column:
@@ -56,7 +68,7 @@ def below_threshold(score: Column, is_number: Column, limit: float = 600.0) -> t
     Only real numbers are compared with the limit, so the text "550" is not flagged.
     """
     value = clean_numeric(score)
-    words = F.lower(F.regexp_replace(score, r"^\s+|\s+$", "")) == F.lit(f"below {int(limit)}")
+    words = F.lower(F.trim(score)) == F.lit(f"below {int(limit)}")
     named = F.coalesce(~is_number & words, F.lit(False))
     small = F.coalesce(is_number & (value < limit), F.lit(False))
     number = F.when(named, F.lit(limit - 1)).otherwise(value)

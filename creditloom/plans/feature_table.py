@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from creditloom.functions import labels as L
 from creditloom.functions.numeric import (
-    HIDDEN, MISSING, as_flag, below_threshold, clean_numeric, number_or, row_median,
+    HIDDEN, MISSING, as_flag, below_threshold, clean_numeric, number_or, row_median, to_number,
 )
 from creditloom.operators.autolabel import auto_labels
 from creditloom.operators.quality import require_columns
@@ -36,94 +36,106 @@ AMOUNT_COLUMNS = ["AutomaticFinancing_Amount", "0UnsecuredFunding_Amount", "Debt
                   "final_contract_amount"]
 
 
-def _text(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "string")
+def strict_offers(offers: Column) -> Column:
+    """Loosely read offers (a variant) as typed structs; elements without a name are skipped."""
+    items = F.try_variant_get(offers, "$", "array<variant>")
+    named = F.filter(items, lambda o: F.try_variant_get(o, "$.Name", "string").isNotNull())
+    keys = ["Name", "Status", "Amount", "DebtToIncome", "Details", "Contingencies"]
+    return F.transform(named, lambda o: F.struct(
+        *[F.try_variant_get(o, f"$.{k}", "string").alias(k) for k in keys],
+        F.try_variant_get(o, "$.Score", "variant").alias("Score"),
+    ))
 
 
-def typed_offers(offers: Column) -> Column:
-    """Offers with a name, in order, as an array of typed structs; other elements are skipped."""
-    items = F.try_variant_get(offers, "$", "array<variant>")
-    named = F.filter(items, lambda o: _text(o, "$.Name").isNotNull())
+def clean_offers(offers: Column) -> Column:
+    """Named offers with every value parsed, defaulted and flagged, in their original order.
 
-    def typed(o: Column) -> Column:
-        kind = F.schema_of_variant(F.try_variant_get(o, "$.Score", "variant"))
+    Offers are few per record, so they are cleaned as array elements: each value is computed
+    once and the flat columns only have to pick them.
+    """
+    low, debt = OFFERS[1][1], OFFERS[2][1]
+    named = F.filter(offers, lambda o: o["Name"].isNotNull())
 
-        def given(key: str) -> Column:
-            return F.try_variant_get(o, f"$.{key}", "variant").isNotNull()
+    def parse(o: Column) -> Column:
+        number, flag = below_threshold(
+            F.try_variant_get(o["Score"], "$", "string"),
+            F.coalesce(F.schema_of_variant(o["Score"]).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False)),
+        )
+        name = L.sanitize_value(o["Name"])
+        given = F.coalesce(F.nullif(o["Status"], F.lit("")), F.lit("NA"))
+        blank = name.isin(low, debt) & F.trim(given).isin("", "NA")
+        note = F.when(name == low, F.coalesce(o["Contingencies"], F.lit("")))
+        return F.struct(
+            name.alias("name"), number.alias("score"), flag.alias("low"),
+            F.when(blank, "Declined").otherwise(given).alias("status"),
+            number_or(o["Amount"], 0.0).alias("amount"), clean_numeric(o["DebtToIncome"]).alias("dti"),
+            F.regexp_extract(note, r"PayD-\$([\d,]+)", 1).alias("payd"),
+            F.regexp_extract(note, r"Collections-\$([\d,]+)", 1).alias("coll"),
+            o["Details"].alias("details"), o["Contingencies"].alias("contingencies"),
+        )
 
+    def finish(o: Column) -> Column:
+        declined = (o["name"] == debt) & (o["status"] == "Declined")
         return F.struct(
-            L.sanitize_value(_text(o, "$.Name")).alias("name"),
-            _text(o, "$.Score").alias("score"),
-            F.coalesce(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False)).alias("score_is_number"),
-            _text(o, "$.Status").alias("status"), _text(o, "$.Amount").alias("amount"),
-            _text(o, "$.DebtToIncome").alias("dti"),
-            _text(o, "$.Details").alias("details"), given("Details").alias("has_details"),
-            _text(o, "$.Contingencies").alias("contingencies"),
-            given("Contingencies").alias("has_contingencies"),
+            o["name"].alias("name"),
+            F.coalesce(o["score"], F.when(declined, HIDDEN), F.lit(MISSING)).alias("score"),
+            o["low"].alias("low"), (declined & o["score"].isNull()).cast("int").alias("hidden"),
+            o["status"].alias("status"), o["amount"].alias("amount"),
+            F.coalesce(o["dti"], F.when(declined, HIDDEN), F.lit(MISSING)).alias("dti"),
+            F.when(o["payd"] == "", 0.0).otherwise(clean_numeric(o["payd"])).alias("payd"),
+            F.when(o["coll"] == "", 0.01).otherwise(clean_numeric(o["coll"])).alias("coll"),
+            o["details"].alias("details"), o["contingencies"].alias("contingencies"),
         )
 
-    return F.transform(named, typed)
+    return F.transform(F.transform(named, parse), finish)
 
 
 def offer_columns(offer: Column, raw_name: str, prefix: str, details: str, contingencies: str) -> dict[str, Column]:
-    """All flat columns of one offer type from its (possibly null) struct."""
+    """The flat columns of one offer type from its cleaned struct, or its absence values."""
     absent = offer.isNull()
-    low, debt = prefix == "0UnsecuredFunding", prefix == "DebtResolution"
 
     def pick(missing, present: Column) -> Column:
         return F.when(absent, F.lit(missing)).otherwise(present)
 
-    given = F.coalesce(F.nullif(offer["status"], F.lit("")), F.lit("NA"))
-    status = F.when(F.trim(given).isin("", "NA"), "Declined").otherwise(given) if low or debt else given
-    score, flag = below_threshold(offer["score"], offer["score_is_number"])
-    dti = clean_numeric(offer["dti"])
-    out = {f"{prefix}_missing_": F.when(absent, 1).otherwise(0),
-           f"{prefix}_Name": pick("NA", F.lit(raw_name))}
-    if debt:
-        hidden = (status == "Declined") & score.isNull()
-        out[f"{prefix}_score_missing_"] = pick(-1, F.when(hidden, 1).otherwise(0))
-        score = F.when(hidden, HIDDEN).otherwise(score)
-        dti = F.when((status == "Declined") & dti.isNull(), HIDDEN).otherwise(dti)
-    out |= {
-        f"{prefix}_Score": pick(MISSING, F.coalesce(score, F.lit(MISSING))),
-        f"{prefix}_below_600_": pick(-1, flag),
-        f"{prefix}_Status": pick("NA", status),
-        f"{prefix}_Amount": pick(MISSING, number_or(offer["amount"], 0.0)),
-        f"{prefix}_DebtToIncome": pick(MISSING, F.coalesce(dti, F.lit(MISSING))),
-        f"{prefix}_Details": pick(details, F.when(offer["has_details"], offer["details"]).otherwise(details)),
-        f"{prefix}_Contingencies": pick(
-            contingencies, F.when(offer["has_contingencies"], offer["contingencies"]).otherwise(contingencies)),
+    out = {
+        f"{prefix}_missing_": F.when(absent, 1).otherwise(0),
+        f"{prefix}_Name": pick("NA", F.lit(raw_name)),
+        f"{prefix}_Score": pick(MISSING, offer["score"]),
+        f"{prefix}_below_600_": pick(-1, offer["low"]),
+        f"{prefix}_Status": pick("NA", offer["status"]),
+        f"{prefix}_Amount": pick(MISSING, offer["amount"]),
+        f"{prefix}_DebtToIncome": pick(MISSING, offer["dti"]),
+        f"{prefix}_Details": pick(details, offer["details"]),
+        f"{prefix}_Contingencies": pick(contingencies, offer["contingencies"]),
     }
-    if low:
-        note = F.coalesce(offer["contingencies"], F.lit(""))
-        for name, tag, default in (("PayD", "PayD", 0.0), ("Collections", "Collections", 0.01)):
-            found = F.regexp_extract(note, tag + r"-\$([\d,]+)", 1)
-            value = F.when(found == "", F.lit(default)).otherwise(clean_numeric(found))
-            out[f"{prefix}_{name}"] = pick(MISSING, value)
+    if prefix == OFFERS[1][1]:
+        out[f"{prefix}_PayD"] = pick(MISSING, offer["payd"])
+        out[f"{prefix}_Collections"] = pick(MISSING, offer["coll"])
+    if prefix == OFFERS[2][1]:
+        out[f"{prefix}_score_missing_"] = pick(-1, offer["hidden"])
     return out
 
 
 def latest_contract(contracts: Column) -> Column:
     """Most recent contract by created_at as a struct; ties keep the first element."""
-    items = F.try_variant_get(contracts, "$", "array<variant>")
-    typed = F.transform(items, lambda c, i: F.struct(
-        F.try_to_timestamp(_text(c, "$.created_at")).alias("at"), (-i).alias("pos"),
-        _text(c, "$.status").alias("status"), _text(c, "$.tier").alias("tier"), _text(c, "$.amount").alias("amount"),
+    typed = F.transform(contracts, lambda c, i: F.struct(
+        F.try_to_timestamp(c["created_at"]).alias("at"), (-i).alias("pos"),
+        c["status"].alias("status"), c["tier"].alias("tier"), c["amount"].alias("amount"),
     ))
     return F.array_max(typed)
 
 
 def flatten_records(records: DataFrame) -> DataFrame:
     """One flat row per record: ids, latest contract and the columns of the three offers."""
+    offers = F.col("prefi_data.Offers")
+    if isinstance(records.schema["prefi_data"].dataType["Offers"].dataType, T.VariantType):
+        offers = strict_offers(offers)
     work = records.select(
-        "record_id", "user_initials",
-        clean_numeric(_text(F.col("prefi_data.DataEnhance"), "$.DebtToIncome")).alias("DebtToIncome"),
-        latest_contract(F.col("contracts")).alias("_c"), typed_offers(F.col("prefi_data.Offers")).alias("_o"),
+        "record_id", "user_initials", clean_numeric(F.col("prefi_data.DataEnhance.DebtToIncome")).alias("DebtToIncome"),
+        latest_contract(F.col("contracts")).alias("_c"), clean_offers(offers).alias("_o"),
     )
-    picked = work.select("*", *[
-        F.get(F.filter("_o", lambda o: o["name"] == prefix), F.size(F.filter("_o", lambda o: o["name"] == prefix)) - 1).alias(f"_o{i}")
-        for i, (_, prefix, _, _) in enumerate(OFFERS)
-    ])
+    last = lambda name: F.try_element_at(F.filter("_o", lambda o: o["name"] == name), F.lit(-1))
+    picked = work.select("*", *[last(prefix).alias(f"_o{i}") for i, (_, prefix, _, _) in enumerate(OFFERS)])
     has = F.col("_c").isNotNull()
     flat = {
         "final_contract_status": F.when(has, F.coalesce("_c.status", F.lit("NA"))),
@@ -201,9 +213,11 @@ def merge_medians(df: DataFrame, specs: Sequence[ColumnSpec], hidden_is_missing:
     mutual = (first in by_name and second in by_name
               and by_name[first].median_with == second and by_name[second].median_with == first)
     if mutual and first in df.columns and second in df.columns:
-        both = [clean_numeric(F.col(first)), clean_numeric(F.col(second))]
+        both = [to_number(F.col(c), df.schema[c].dataType) for c in (first, second)]
         return df.withColumn(first, row_median(both)).drop(second)
-    return df.withColumns({c: number_or(F.col(c), MISSING) for c in (first, second) if c in df.columns})
+    return df.withColumns({
+        c: number_or(F.col(c), MISSING, df.schema[c].dataType) for c in (first, second) if c in df.columns
+    })
 
 
 def drop_text(df: DataFrame) -> DataFrame:
@@ -218,10 +232,10 @@ def feature_table(flat: DataFrame, specs: Sequence[ColumnSpec], check: bool = Fa
     out = align(encode(flat, specs), [s.name for s in specs])
     out = clean_text_columns(out)
     hot = {c for s in specs for c in (s.ohe or {}).values()} | {s.name for s in specs if s.ohe_from and s.ohe_key}
-    out = out.withColumns({c: as_flag(F.col(c)) for c in out.columns if c in hot})
+    out = out.withColumns({c: as_flag(F.col(c), out.schema[c].dataType) for c in out.columns if c in hot})
     out = merge_medians(out, specs)
     zero = [c for c in [*AMOUNT_COLUMNS, *DTI_COLUMNS] if c in out.columns]
-    out = drop_text(out.withColumns({c: number_or(F.col(c), 0.0) for c in zero}))
+    out = drop_text(out.withColumns({c: number_or(F.col(c), 0.0, out.schema[c].dataType) for c in zero}))
     if check:
         required = [f.name for f in out.schema.fields if not isinstance(f.dataType, T.StringType)]
         require_columns(out, required)

@@ -50,12 +50,14 @@ def main(sf_dir, names):
     from pyspark.sql import SparkSession
 
     from creditloom.catalog import entries
+    from creditloom.session import tune
 
     spark = (
         SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    tune(spark)
     con = duck(sf_dir)
     failed = []
     for name, (fn, sql) in entries().items():
