@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["records", "classes"]
+MODULES = ["records", "classes", "report_text", "models"]
 
 
 def entries() -> dict:

@@ -44,9 +44,9 @@ def lookup(c: Column, mapping: dict[str, str], dtype: T.DataType | None = None)
     return F.try_element_at(table, c.cast("double" if numeric else "string"))
 
 
-def map_label(c: Column, labels: dict[str, str], dtype: T.DataType | None = None) -> Column:
-    """Integer label of a raw value; -1 where the value is unknown."""
-    return F.coalesce(lookup(c, labels, dtype).try_cast("int"), F.lit(-1))
+def map_label(c: Column, labels: dict[str, str], dtype: T.DataType | None = None, other: int = -1) -> Column:
+    """Integer label of a raw value; -1 (or ``other``) where the value is unknown."""
+    return F.coalesce(lookup(c, labels, dtype).try_cast("int"), F.lit(other))
 
 
 def map_value(c: Column, mapping: dict[str, str], dtype: T.DataType | None = None) -> Column:

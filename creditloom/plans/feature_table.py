@@ -7,6 +7,7 @@ labels, which count distinct values.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -168,10 +169,32 @@ def _derive(df: DataFrame, spec: ColumnSpec, by_name: dict[str, ColumnSpec]) ->
         if src is not None and src.labels == AUTO and src.methods:
             return auto_labels(df, source, spec.name, src.methods)
         table = src.labels if src is not None and isinstance(src.labels, dict) else {}
-        return df.withColumn(spec.name, L.map_label(F.col(source), table, dtype))
+        other = src.other_label if src is not None else -1
+        return df.withColumn(spec.name, L.map_label(F.col(source), table, dtype, other))
     return df.withColumn(spec.name, L.map_value(F.col(source), (src.mapping if src else None) or {}, dtype))
 
 
+def freeze_labels(flat: DataFrame, specs: Sequence[ColumnSpec], max_values: int = 1000) -> list[ColumnSpec]:
+    """The schema with generated labels replaced by the tables they give on this data.
+
+    Scoring then labels new records as in training, without counting anything, so it also works
+    on a stream. Values outside the table get the label of the "other" group. Only groupings
+    that leave at most ``max_values`` labels can be frozen.
+    """
+    out = []
+    for s in specs:
+        if s.labels == AUTO and s.methods:
+            pairs = auto_labels(flat, s.name, "_l", s.methods).select(F.col(s.name).cast("string").alias("v"), "_l").distinct()
+            sizes = pairs.groupBy("_l").agg(F.count("*").alias("k"), F.min("v").alias("v")).limit(max_values + 1).collect()
+            if len(sizes) > max_values:
+                raise ValueError(f"{s.name} has more than {max_values} labels")
+            alone = {r["v"]: str(r["_l"]) for r in sizes if r["k"] == 1 and r["v"] is not None}
+            grouped = [int(r["_l"]) for r in sizes if r["k"] > 1]
+            s = replace(s, labels=alone, methods=[], other_label=grouped[0] if grouped else -1)
+        out.append(s)
+    return out
+
+
 def encode(df: DataFrame, specs: Sequence[ColumnSpec]) -> DataFrame:
     """Labels, mappings and one-hot columns, in schema order."""
     by_name = {s.name: s for s in specs}
