@@ -100,7 +100,7 @@ def ensemble_votes(spark, sf):
 
 
 def _trained(spark, sf):
-    flat = flat_records(spark, sf)
+    flat = settle(flat_records(spark, sf))
     specs = freeze_labels(flat, default_schema())
     features = settle(feature_table(flat, specs))
     roles = resolve_roles(specs, features.columns, allow_missing=True)
@@ -149,7 +149,7 @@ STREAM_FEATURES_SQL = f"select record_id, uf_missing, uf_status, uf_amount, dr_m
 
 def stream_balance(spark, sf):
     path = f"{sf}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    events = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     out = scratch(spark, "balance")
     jobs.stream_balance(events, "ts", "event_type", out, scratch(spark, "state"), once=True).awaitTermination()
     return jobs.current_balance(spark, out).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "label", "n_rows")

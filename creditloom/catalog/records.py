@@ -10,6 +10,7 @@ from creditloom.functions import labels as L
 from creditloom.functions.numeric import as_flag, clean_numeric, number_or, row_median
 from creditloom.operators import filters
 from creditloom.operators.autolabel import auto_labels
+from creditloom.operators.sizing import settle
 from creditloom.plans import feature_table as ft
 from creditloom.plans.column_schema import TIER_LABELS, default_schema
 from creditloom.sources.applications import parse_records
@@ -181,7 +182,8 @@ from orders
 
 
 def feature_table(spark, sf):
-    out = ft.feature_table(flat_records(spark, sf), default_schema())
+    # Two passes follow, one of them for label counts, so the parsed rows are written once.
+    out = ft.feature_table(settle(flat_records(spark, sf)), default_schema())
     return out.select(
         F.col("record_id").cast("bigint").alias("record_id"), "user_initials", "user_initials_label",
         "DebtToIncome", "Merged_DebtToIncome", "AutomaticFinancing_Score", "DebtResolution_Score",

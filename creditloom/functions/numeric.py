@@ -52,14 +52,16 @@ def is_bad_number(c: Column) -> Column:
 
 def row_median(cols: list[Column], ignore=(MISSING,), missing: float = MISSING) -> Column:
     """Median over several columns of one row, skipping null, NaN and the ignored values."""
-    values = F.array(*[c.cast("double") for c in cols])
-    kept = F.array_sort(
-        F.filter(values, lambda x: x.isNotNull() & ~F.isnan(x) & ~x.isin(*[float(v) for v in ignore]))
-    )
-    n = F.size(kept)
-    low = F.get(kept, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(kept, F.floor(n / 2).cast("int"))
-    return F.when(n == 0, F.lit(float(missing))).otherwise((low + high) / 2)
+    def kept(c: Column) -> Column:
+        d = c.cast("double")
+        return F.when(~F.isnan(d) & ~d.isin(*[float(v) for v in ignore]), d)
+
+    values = [kept(c) for c in cols]
+    # Descending order puts the nulls last; sort_array is compiled, unlike lambda-based sorts.
+    ordered = F.sort_array(F.array(*values), asc=False)
+    n = sum((v.isNotNull().cast("int") for v in values), F.lit(0))
+    middle = (F.get(ordered, F.shiftright(n - 1, 1)) + F.get(ordered, F.shiftright(n, 1))) / 2
+    return F.when(n == 0, F.lit(float(missing))).otherwise(middle)
 
 
 def below_threshold(score: Column, is_number: Column, limit: float = 600.0) -> tuple[Column, Column]:
