@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -214,22 +214,26 @@ def to_integers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 class StepLog:
-    """Row and column counts of a chain of steps, gathered while the data flows."""
+    """Row and column counts, durations and small snapshots of a chain of steps.
+
+    Counting is its own job, so log settled tables: there it reads only the file footers. (An
+    attached Observation would count for free, but a session that has used one can no longer
+    ship fitted ensemble models to its tasks.)
+    """
 
     def __init__(self) -> None:
-        self._steps: list[tuple[str, Observation, int, float]] = []
+        self._steps: list[tuple[str, int, int, float, str]] = []
         self.snapshots: dict[str, dict] = {}
 
-    def watch(self, df: DataFrame, step: str, duration: float = 0.0) -> DataFrame:
-        """Count the rows of a step without an extra job; read after the first action."""
-        seen = Observation(f"{step}-{len(self._steps)}")
-        self._steps.append((step, seen, len(df.columns), duration))
-        return df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    def record(self, df: DataFrame, step: str, seconds: float = 0.0, status: str = "success") -> DataFrame:
+        """Log a step's output and pass it on."""
+        self._steps.append((step, df.count(), len(df.columns), float(seconds), status))
+        return df
 
     def snapshot(self, df: DataFrame, step: str) -> None:
         """Column types and three sample rows."""
         self.snapshots[step] = {"types": dict(df.dtypes), "sample": [r.asDict() for r in df.limit(3).collect()]}
 
     def table(self, spark) -> DataFrame:
-        rows = [(s, int(o.get["rows"]), n, d, "success") for s, o, n, d in self._steps]
-        return spark.createDataFrame(rows, "step string, n_rows bigint, n_columns int, seconds double, status string")
+        return spark.createDataFrame(
+            self._steps, "step string, n_rows bigint, n_columns int, seconds double, status string")
