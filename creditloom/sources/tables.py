@@ -22,7 +22,8 @@ NA_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan"
 def read_csv_text(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """CSV in which 'NA' and empty fields stay text."""
     reader = spark.read.option("header", True).option("nullValue", "\u0000").option("emptyValue", "")
-    return (reader.schema(schema) if schema else reader).csv(path)
+    # Unquoted empty fields arrive as nulls whatever the null marker is.
+    return (reader.schema(schema) if schema else reader).csv(path).fillna("")
 
 
 def read_csv_nulls(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -58,7 +58,7 @@ def test_section_when_candidates_are_rejected(spark):
 def test_addresses(spark):
     cases = [
         (["12 Oak st", "Aurora, co 80014"], ["12 Oak St, Aurora, CO 80014"]),
-        (["1 A rd", "2 B rd", "X, mi 48104", "Y, oh 43004"], ["1 A Rd, X, MI 48104", "2 B Rd, Y, OH 43004"]),
+        (["1 Q rd", "2 B rd", "X, mi 48104", "Y, oh 43004"], ["1 Q Rd, X, MI 48104", "2 B Rd, Y, OH 43004"]),
         (["no street"], []), (["5 Elm ave"], ["5 Elm Ave"]),
     ]
     df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, c array<string>")
