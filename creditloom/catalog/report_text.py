@@ -233,6 +233,18 @@ def trivial_lines(spark, sf):
     return src.where(X.trivial_factor(F.col("text"), F.col("color"))).groupBy("text").agg(F.count("*").alias("n_lines"))
 
 
+_LIST = lambda words: ", ".join(f"'{w}'" for w in words)
+TRIVIAL_SQL = rf"""with {LINES}, t as (select *, trim(text) t, len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '')) n from lines)
+select text, count(*) n_lines from t where
+  (n < 2 and not regexp_matches(t, '\d') and c = 3 and not regexp_matches(t, '(?i)charged off|unpaid collection|over limit|closed|seasoned'))
+  or lower(t) in ({_LIST(X.HEADER_WORDS)})
+  or (regexp_matches(t, '^\s*\$[\d,]+(?:\s+[A-Z0-9/()\-]+)+\s*$') and not regexp_matches(t, '[a-z]'))
+  or regexp_matches(t, '(?i)^\s*\$[\d,]+\s+(Account|Balance)\s*$')
+  or (contains(t, '/') and not regexp_matches(t, '(?i)rev|late|charged|collection|account|credit'))
+  or (t = upper(t) and n <= 5 and not regexp_matches(t, '\d') and length(t) > 2)
+  or (n = 1 and lower(t) in ({_LIST(X.TRIVIAL_WORDS)})) group by text"""
+
+
 def phrase_lines(spark, sf):
     src = report_lines(spark, sf)
     return src.where(X.contains_any(F.col("text"), X.FACTOR_PHRASES)).select("report_id", "pos")
@@ -482,7 +494,7 @@ QUERIES = {
     "factor_counts": (factor_counts, COUNTS_SQL),
     "right_column": (right_column, RIGHT_SQL),
     "table_rejects": (table_rejects, REJECT_SQL),
-    "trivial_lines": (trivial_lines, None),
+    "trivial_lines": (trivial_lines, TRIVIAL_SQL),
     "phrase_lines": (phrase_lines, PHRASE_SQL),
     "colour_overrides": (colour_overrides, OVERRIDE_SQL),
     "phrase_match": (phrase_match, PHRASE_MATCH_SQL),
