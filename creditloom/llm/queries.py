@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from creditloom.llm.language import identify
+from creditloom.llm.mixing import mix
 from creditloom.llm.simhash import near_duplicates
 from creditloom.llm.token_counts import token_counts
 
@@ -26,7 +28,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op4_simhash": (op4_simhash, None),
+    "op9_source_mixing": (op9_source_mixing, None),
+    "op10_language_id": (op10_language_id, None),
 }
