@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from creditloom.llm.decontaminate import overlaps
 from creditloom.llm.language import identify
 from creditloom.llm.mixing import mix
 from creditloom.llm.simhash import near_duplicates
@@ -28,6 +29,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op4_simhash": (op4_simhash, None),
+    "op5_decontamination": (op5_decontamination, None),
     "op9_source_mixing": (op9_source_mixing, None),
     "op10_language_id": (op10_language_id, None),
 }
