@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from creditloom.llm.decontaminate import overlaps
+from creditloom.llm.files import run_folder
 from creditloom.llm.language import identify
 from creditloom.llm.mixing import mix
 from creditloom.llm.simhash import near_duplicates
 from creditloom.llm.token_counts import token_counts
+from creditloom.llm.token_files import read_tokens, with_starts, write_tokens
+from creditloom.operators.sizing import settle
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,6 +29,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def token_file_digests(docs: DataFrame, folder: str) -> DataFrame:
+    """Write the documents' ids to ``folder`` and describe what reading them back gives."""
+    write_tokens(docs, folder, tokenizer_path("word_bpe_49k.json"))
+    got = settle(read_tokens(docs.sparkSession, folder).select(
+        "part", "shard", "position", "doc_id", F.floor(F.length("tokens") / 4).alias("n_tokens"), F.crc32("tokens").alias("ids_crc32")))
+    return with_starts(got).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digests(read(spark, sf_dir, "documents"), run_folder(spark, "tokens"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -43,6 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
+    "op3_token_files": (op3_token_files, None),
     "op4_simhash": (op4_simhash, None),
     "op5_decontamination": (op5_decontamination, None),
     "op9_source_mixing": (op9_source_mixing, None),
