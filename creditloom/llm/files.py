@@ -28,5 +28,5 @@ def write_files(rows: DataFrame, column: str, folder: str, closing: bytes) -> No
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``content`` of every file that is not empty."""
-    return spark.read.format("binaryFile").load(folder).where("length > 0").select("content")
+    """``path, content`` of every file that is not empty."""
+    return spark.read.format("binaryFile").load(folder).where("length > 0").select("path", "content")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from creditloom.llm.archives import arc_to_warc, warc_captures, with_originals, write_arc
+from creditloom.llm.chat import digests, format_conversations
 from creditloom.llm.decontaminate import overlaps
 from creditloom.llm.files import run_folder
 from creditloom.llm.language import identify
@@ -49,6 +51,46 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arc, warc = run_folder(spark, "arc"), run_folder(spark, "warc")
+    write_arc(read(spark, sf_dir, "pages"), arc)
+    arc_to_warc(spark, arc, warc)
+    return with_originals(warc_captures(spark, warc))
+
+
+OP7_SQL = """
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id > first then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id > first then first end as refers_to
+from (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest,
+             min(page_id) over (partition by coalesce(html, '')) as first from pages)
+"""
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    path = tokenizer_path("byte_bpe_50k.json")
+    return digests(settle(format_conversations(turns, path)), path)
+
+
+OP8_SQL = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), shown as (
+  select *, regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g') as r, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') as t from turns
+)
+select conv_id, count(*)::bigint as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(length('<|turn|>') + length(r) + length('<|text|>') + length(t) + length('<|end|>'))::bigint as formatted_chars
+from shown group by conv_id
+"""
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
@@ -62,6 +104,8 @@ QUERIES = {
     "op3_token_files": (op3_token_files, None),
     "op4_simhash": (op4_simhash, None),
     "op5_decontamination": (op5_decontamination, None),
+    "op7_arc_to_warc": (op7_arc_to_warc, OP7_SQL),
+    "op8_chat_format": (op8_chat_format, OP8_SQL),
     "op9_source_mixing": (op9_source_mixing, None),
     "op10_language_id": (op10_language_id, None),
 }

@@ -181,7 +181,7 @@ def read_tokens(spark: SparkSession, folder: str, wanted: list[int] | None = Non
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
                                           ["part", "shard", "position", "doc_id", "tokens"])
 
-    return read_files(spark, folder).mapInArrow(run, "part int, shard int, position long, doc_id long, tokens binary")
+    return read_files(spark, folder).select("content").mapInArrow(run, "part int, shard int, position long, doc_id long, tokens binary")
 
 
 def with_starts(digests: DataFrame) -> DataFrame:
