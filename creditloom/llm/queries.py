@@ -14,6 +14,7 @@ from creditloom.llm.mixing import mix
 from creditloom.llm.simhash import near_duplicates
 from creditloom.llm.token_counts import token_counts
 from creditloom.llm.token_files import read_tokens, with_starts, write_tokens
+from creditloom.llm.winnowing import edit_likeness
 from creditloom.operators.sizing import settle
 
 
@@ -51,6 +52,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_likeness(read(spark, sf_dir, "documents"))
+
+
 def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arc, warc = run_folder(spark, "arc"), run_folder(spark, "warc")
     write_arc(read(spark, sf_dir, "pages"), arc)
@@ -104,6 +109,7 @@ QUERIES = {
     "op3_token_files": (op3_token_files, None),
     "op4_simhash": (op4_simhash, None),
     "op5_decontamination": (op5_decontamination, None),
+    "op6_winnowing": (op6_winnowing, None),
     "op7_arc_to_warc": (op7_arc_to_warc, OP7_SQL),
     "op8_chat_format": (op8_chat_format, OP8_SQL),
     "op9_source_mixing": (op9_source_mixing, None),
