@@ -12,6 +12,7 @@ from creditloom.llm.files import run_folder
 from creditloom.llm.language import identify
 from creditloom.llm.mixing import mix
 from creditloom.llm.simhash import near_duplicates
+from creditloom.llm.substring_dedup import remove_repeats
 from creditloom.llm.token_counts import token_counts
 from creditloom.llm.token_files import read_tokens, with_starts, write_tokens
 from creditloom.llm.winnowing import edit_likeness
@@ -32,6 +33,30 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (
+  select doc_id, s, array_to_string(w[s:s + 49], ' ') as t from w, unnest(range(1, len(w) - 48)) as u(s) where len(w) >= 50
+), firsts as (
+  select doc_id, s, min(doc_id) over (partition by t) as first from windows
+), gone as (
+  select distinct doc_id, s + k as p from firsts, range(50) as r(k) where first < doc_id
+), kept as (
+  select w.doc_id, p, w.w[p] as word from w, unnest(range(1, len(w.w) + 1)) as u(p)
+  where not exists (select 1 from gone where gone.doc_id = w.doc_id and gone.p = u.p)
+), joined as (
+  select doc_id, count(*) as n, string_agg(word, ' ' order by p) as t from kept group by doc_id
+)
+select w.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from w left join joined using (doc_id)
+"""
+
+
 def token_file_digests(docs: DataFrame, folder: str) -> DataFrame:
     """Write the documents' ids to ``folder`` and describe what reading them back gives."""
     write_tokens(docs, folder, tokenizer_path("word_bpe_49k.json"))
@@ -106,6 +131,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
+    "op2_substring_dedup": (op2_substring_dedup, OP2_SQL),
     "op3_token_files": (op3_token_files, None),
     "op4_simhash": (op4_simhash, None),
     "op5_decontamination": (op5_decontamination, None),

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from creditloom.llm.common import id_text, slices, texts_of
 from creditloom.llm.words import mixed
 
-K, WINDOW = 16, 16
+K, WINDOW = 10, 10
 BUCKETS = 2048
 BUCKET_ROWS = 512
 _BASE = 0x9E3779B97F4A7C15
