@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from creditloom.llm.decontaminate import clean
+from creditloom.llm.files import run_folder
+from creditloom.llm.language import identify
+from creditloom.llm.mixing import mix
+from creditloom.llm.queries import token_file_digests
 from creditloom.llm.simhash import near_duplicates
 from creditloom.operators.sizing import settle
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
+WORST_RATE = 8.0
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID. Rejected are texts without a letter, and texts that the closest language codes
+    worse than plain bytes would be (more than 8 bits per symbol). Rows are judged one by one."""
+    judged = identify(docs, keep_row=True)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("rate") <= WORST_RATE)).select("row.*").select(*DOCUMENTS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +33,28 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return kept.union(docs.where("doc_id is null")).select(*DOCUMENTS)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat 13 words or more of a benchmark item, up to a fifth of them changed, go."""
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*DOCUMENTS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as its source's target asks for: not at all, once or twice."""
+    copies = mix(docs).where("copies > 0").select("doc_id", F.expr("explode(sequence(1, copies))")).select("doc_id")
+    return docs.join(copies, "doc_id").select(*DOCUMENTS)
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in seekable shards; the rows tell what reading them back gives."""
+    return token_file_digests(docs, run_folder(spark, "pipeline-tokens"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", keep_known_languages),
     ("simhash_near_dedup", keep_one_of_each_group),
+    ("benchmark_decontamination", drop_contaminated),
+    ("source_mixing", mix_sources),
+    ("token_files", write_token_files),
 ]
 
 ORACLE_SQL = None

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from creditloom.llm.common import slices, texts_of
 
@@ -168,8 +169,9 @@ def rates(texts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             rows: int = ROWS, row_chars: int = ROW_CHARS, sample: int = SAMPLE) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score, rate`` per document.
+             rows: int = ROWS, row_chars: int = ROW_CHARS, sample: int = SAMPLE, keep_row: bool = False) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score, rate`` per document, and with ``keep_row`` the whole
+    document as the struct ``row``, so that its columns need no join.
 
     ``rate`` is the best language's normalised phrases per symbol (an entropy in bits), ``score``
     the runner-up's rate as a share of both (1.0 if only one language was learned). Null texts,
@@ -195,7 +197,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 pa.array(["und" if x else langs[best[i]] for i, x in enumerate(none)], pa.string()),
                 pa.array([0.0 if x else float(score[i]) for i, x in enumerate(none)], pa.float64()),
                 pa.array([None if x else float(first[i]) for i, x in enumerate(none)], pa.float64()),
-            ], ["doc_id", "held_out", "lang_pred", "score", "rate"])
-
-    rows_in = docs.select(F.col(id_col).cast("long").alias("_id"), held_out(id_col).alias("_held"), F.col(text_col).cast("string").alias("_text"))
-    return rows_in.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rate double")
+                *([part.column("row")] if keep_row else []),
+            ], names)
+
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows_in = docs.select(F.col(id_col).cast("long").alias("_id"), held_out(id_col).alias("_held"), F.col(text_col).cast("string").alias("_text"),
+                          *([whole] if keep_row else []))
+    types = T.StructType.fromDDL("doc_id long, held_out boolean, lang_pred string, score double, rate double")
+    names = types.names + ["row"] * keep_row
+    return rows_in.mapInArrow(run, types.add(rows_in.schema["row"]) if keep_row else types)
