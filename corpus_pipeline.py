@@ -12,7 +12,7 @@ from creditloom.llm.files import run_folder
 from creditloom.llm.language import identify
 from creditloom.llm.mixing import mix
 from creditloom.llm.queries import token_file_digests
-from creditloom.llm.simhash import near_duplicates
+from creditloom.llm.simhash import similar_groups
 from creditloom.operators.sizing import settle
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,8 +27,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicates by SimHash; the smallest id of a group stays. Rows without an id stay."""
-    firsts = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Near-duplicates by SimHash of five-word shingles at a similarity of 0.8 or more; the smallest
+    id of a group stays. Rows without an id stay."""
+    firsts = similar_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.union(docs.where("doc_id is null")).select(*DOCUMENTS)
 

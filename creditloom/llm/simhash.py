@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from creditloom.llm.common import bytes_of, id_text, slices
 from creditloom.llm.graph import components
+from creditloom.llm.words import mixed
 from creditloom.operators.sizing import settle
 
 SEED = 42
@@ -28,24 +29,27 @@ BUCKET = 2048
 BLOCK = 256
 
 
-def text_fingerprint(text: bytes, words: int = 3) -> int:
-    """64-bit SimHash of the word shingles of one text, as a signed number."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of the word shingles of a text; a shorter text is one shingle."""
     import xxhash
 
     w = text.lower().split()
-    if not w:
-        return 0
     digest = xxhash.xxh64_intdigest
-    if len(w) < words:
-        shingles = [b" ".join(w)]
-    else:
-        shingles = map(b" ".join, zip(*(w[i:] for i in range(words))))
-    h = np.array([digest(x, SEED) for x in shingles], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), 1 << 16):
-        piece = h[at: at + (1 << 16)]
-        ones += np.unpackbits(piece.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)] if w else []
+    return np.array([digest(x, SEED) for x in shingles], dtype="<u8")
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """The bits that more than half of the hashes (rows of 64-bit words) have; no hash: none."""
+    ones = np.zeros(h.shape[1] * 64, dtype=np.int64)
+    for at in range(0, len(h), 1 << 15):
+        ones += np.unpackbits(np.ascontiguousarray(h[at: at + (1 << 15)]).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
+
+
+def text_fingerprint(text: bytes, words: int = 3) -> int:
+    """64-bit SimHash of the word shingles of one text, as a signed number."""
+    return int(majority(shingle_hashes(text, words)[:, None]).view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -71,39 +75,53 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose vertical counter is greater than ``radius``."""
+    more, level = np.zeros_like(counters[0]), ~np.zeros_like(counters[0])
+    for k in reversed(range(len(counters))):
+        if radius >> k & 1:
+            level &= counters[k]
+        else:
+            more |= level & counters[k]
+            level &= ~counters[k]
+    return more
+
+
 def within_radius(values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of distinct 64-bit values that differ in at most ``radius`` (<= 2) bits."""
-    n = len(values)
+    """Index pairs i < j of fingerprints (rows of 64-bit words) that differ in at most ``radius`` bits."""
+    n, planes_of = len(values), values.shape[1] * 64
     lanes = -(-n // 64) * 64
-    bits = np.zeros((64, lanes), dtype=np.uint8)
-    bits[:, :n] = np.unpackbits(values.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").T
+    bits = np.zeros((planes_of, lanes), dtype=np.uint8)
+    bits[:, :n] = np.unpackbits(np.ascontiguousarray(values).view(np.uint8), axis=1, bitorder="little").T
     planes = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    later = np.arange(lanes)
     left, right = [], []
     for at in range(0, n, BLOCK):
-        some = bits[:, at: min(at + BLOCK, n)].astype("<u8")
-        ones = np.zeros((some.shape[1], lanes // 64), dtype="<u8")
-        twos, over = np.zeros_like(ones), np.zeros_like(ones)
-        for f in range(64):
-            differ = planes[f][None, :] ^ (np.uint64(0) - some[f])[:, None]
-            carry = ones & differ
-            ones ^= differ
-            over |= twos & carry
-            twos ^= carry
+        rows = np.arange(at, min(at + BLOCK, n))
+        ask = (np.uint64(0) - bits[:, rows].astype("<u8"))[:, :, None]
+        first = at // 64  # only later lanes are asked for
+        # A lane is lost once its counter is above the radius; earlier lanes and the own one start lost.
+        lost = np.packbits((later[None, first * 64:] <= rows[:, None]) | (later[None, first * 64:] >= n), axis=1, bitorder="little").view("<u8")
+        counters = [np.zeros_like(lost) for _ in range(radius.bit_length())]
+        for f in range(planes_of):
+            carry = planes[f, first:][None, :] ^ ask[f]
+            for k, c in enumerate(counters):
+                counters[k], carry = c ^ carry, c & carry
+            lost |= carry
             if f % 8 == 7:
-                beyond = over | (twos & ones if radius == 2 else twos if radius == 1 else twos | ones)
-                if bool((beyond == np.uint64(0xFFFFFFFFFFFFFFFF)).all()):
+                lost |= _above(counters, radius)
+                if (lost == np.uint64(0xFFFFFFFFFFFFFFFF)).all():
                     break
-        near = np.unpackbits(np.ascontiguousarray(~beyond).view(np.uint8), axis=1, bitorder="little")[:, :n]
-        i, j = np.nonzero(near)
-        keep = i + at < j
-        left.append(i[keep] + at)
-        right.append(j[keep])
-    return np.concatenate(left), np.concatenate(right)
+        else:
+            i, j = np.nonzero(np.unpackbits((~lost).view(np.uint8), axis=1, bitorder="little"))
+            left.append(i + at)
+            right.append(j + first * 64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _spanning(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each value to the first of its group: as few as keep every group connected."""
-    i, j = within_radius(values)
+def _spanning(values: np.ndarray, names: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each name to the first of its group: as few as keep every group connected."""
+    i, j = within_radius(values, radius)
     label = np.arange(len(values))
     while True:
         low = np.minimum(label[i], label[j])
@@ -115,40 +133,57 @@ def _spanning(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         label = new
     moved = np.nonzero(label != np.arange(len(values)))[0]
-    return values[moved], values[label[moved]]
+    return names[moved], names[label[moved]]
 
 
-def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Links ``u, v`` that connect all distinct fingerprints ``fp`` within radius 2 of each other."""
+def bucket_links(rows: DataFrame, words: list[str], radius: int) -> DataFrame:
+    """Links ``u, v`` between the names of fingerprints of the same bucket.
+
+    ``rows`` has ``bucket`` (a struct), ``name`` and the fingerprint's ``words``. Buckets are read one
+    after the other; neighbours are compared together in blocks, as any link found is a true one.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket; whole buckets are gathered into blocks and compared."""
         held: list[np.ndarray] = []
-        rows, last = 0, None
+        size, last, rest = 0, None, None
 
         def flush():
-            u, v = _spanning(np.unique(np.concatenate(held)))
+            both = np.unique(np.concatenate(held), axis=0)
+            u, v = _spanning(both[:, 1:], both[:, 0].view(np.int64), radius)
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fp, mask, key = (batch.column(c).to_numpy() for c in ("fp", "mask", "key"))
-            new = np.ones(len(fp), dtype=bool)
-            new[1:] = (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])
-            new[0] = (mask[0], key[0]) != last
-            last = (mask[-1], key[-1])
-            start = 0
-            for cut in np.nonzero(new)[0]:
-                if rows + cut - start >= BLOCK:
-                    held.append(fp[start:cut])
+            key = np.column_stack([x.to_numpy() for x in batch.column("bucket").flatten()])
+            value = np.column_stack([batch.column(c).to_numpy().view(np.uint64) for c in ("name", *words)])
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]).any(axis=1)
+            new[0] = last is None or (key[0] != last).any()
+            last = key[-1]
+            if rest is not None:  # the last bucket of the batch before may go on here
+                value, new = np.concatenate((rest, value)), np.concatenate(([True], np.zeros(len(rest) - 1, dtype=bool), new))
+            cuts = np.append(np.nonzero(new)[0], len(value))
+            rest = value[cuts[-2]:]
+            sizes = np.diff(cuts[:-1])
+            for a, n in zip(cuts[:-2][sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+                held.append(value[a: a + n])
+                size += n
+                if size >= BLOCK:
                     yield flush()
-                    held, rows, start = [], 0, cut
-            held.append(fp[start:])
-            rows += len(fp) - start
-        if rows:
+                    held, size = [], 0
+        if rest is not None and len(rest) > 1:
+            held.append(rest)
+        if held:
             yield flush()
 
+    return (rows.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "name", *words)
+            .mapInArrow(compare, "u long, v long"))
+
+
+def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Links ``u, v`` that connect all distinct fingerprints ``fp`` within radius 2 of each other."""
+
     level, masks, out = distinct.select("fp", F.lit(0).cast("long").alias("mask")), [0], None
     while True:
         finer = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(y)) for y in refine(m)]))])
@@ -156,8 +191,7 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
                 .withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))))
         sizes = settle(rows.groupBy("mask", "key").count().where("count > 1"))
         fit = rows.join(sizes.where(F.col("count") <= bucket).select("mask", "key"), ["mask", "key"], "left_semi")
-        found = settle(fit.repartition("mask", "key").sortWithinPartitions("mask", "key")
-                       .select("fp", "mask", "key").mapInArrow(compare, "u long, v long"))
+        found = settle(bucket_links(fit.select(F.struct("mask", "key").alias("bucket"), F.col("fp").alias("name"), "fp"), ["fp"], RADIUS))
         out = found if out is None else out.union(found)
         over = sizes.where(F.col("count") > bucket).select("mask", "key")
         masks = [y for m in masks for y in refine(m)]
@@ -183,3 +217,82 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = roots.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(
         F.col("_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ---- Groups by similarity of five-word shingles, for stages that drop near copies.
+
+WIDE_WORDS, WIDE_SIMILARITY, KEYS, KEY_BITS, MORE_KEYS, MORE_BITS, WIDE_BUCKET = 5, 0.8, 80, 16, 8, 8, 4096
+
+
+def wide_radius(similarity: float, bits: int = 128) -> int:
+    """The distance that nearly all pairs of that Jaccard similarity keep: its mean, by the angle
+    between shingle sets, and two standard deviations."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(bits * share + 2 * np.sqrt(bits * share * (1 - share))))
+
+
+def _pick(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The bits of fingerprints at ``places``, a row of places per key, as numbers."""
+    out = np.zeros((len(words), len(places)), dtype=np.int64)
+    for k in range(places.shape[1]):
+        at = places[:, k]
+        out |= (words[:, at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)).astype(np.int64) << k
+    return out
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS,
+                   similarity: float = WIDE_SIMILARITY, keys: int = KEYS, key_bits: int = KEY_BITS, bucket: int = WIDE_BUCKET) -> DataFrame:
+    """``doc_id, component_id`` per document: groups linked by similarity of word shingles.
+
+    128-bit SimHash fingerprints of the sets of shingles link within ``wide_radius(similarity)``. Pairs meet if they agree on one
+    of ``keys`` fixed random choices of ``key_bits`` bits; buckets above ``bucket`` fingerprints are
+    split by further bits in several ways at once, so that a pair is lost in a split with a
+    chance of about one in a hundred, and meets in several buckets. Equal fingerprints are compared
+    once. Null ids are left out; texts without words are alike; repeated rows count once.
+    """
+    names = ["doc_id", "f0", "f1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            fps = [majority(np.column_stack((h, mixed(h)))) for h in (np.unique(shingle_hashes(t, words)) for t in bytes_of(part))]
+            fps = np.array(fps, dtype="<u8").reshape(-1, 2).view("<i8")
+            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(fps[:, 0]), pa.array(fps[:, 1])], names)
+
+    rng = np.random.default_rng(SEED)
+    base = np.array([rng.permutation(128)[:key_bits] for _ in range(keys)])
+    more = np.array([rng.permutation(128)[:MORE_BITS] for _ in range(MORE_KEYS)])
+
+    def keyed(places: np.ndarray, level: int):
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 4096):
+                    batch = whole.slice(at, 4096)
+                    fp = np.column_stack([batch.column(c).to_numpy().view(np.uint64) for c in ("f0", "f1")])
+                    n, m = len(fp), len(places)
+                    key = _pick(fp, places).ravel()
+                    way = np.tile(np.arange(m), n)
+                    if level:  # a split: what the rows had before stays part of the key
+                        way = np.repeat(batch.column("way").to_numpy(), m) * m + way
+                        key = np.repeat(batch.column("key").to_numpy(), m) << MORE_BITS | key
+                    again = [np.repeat(batch.column(c).to_numpy(), m) for c in ("name", "f0", "f1")]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (way.astype(np.int64), key, *again)], ["way", "key", "name", "f0", "f1"])
+
+        return spread
+
+    schema = "way long, key long, name long, f0 long, f1 long"
+    marked = settle(id_text(docs, id_col, text_col).where("_id is not null").mapInArrow(run, "doc_id long, f0 long, f1 long"))
+    distinct = settle(marked.groupBy("f0", "f1").agg(F.min("doc_id").alias("name")))
+    rows, found, level = distinct.mapInArrow(keyed(base, 0), schema), None, 0
+    while True:
+        over = settle(rows.groupBy("way", "key").count().where(F.col("count") > bucket).select("way", "key"))
+        last = level == 4 or over.isEmpty()
+        fit = rows if last else rows.join(over, ["way", "key"], "left_anti")
+        got = settle(bucket_links(fit.select(F.struct("way", "key").alias("bucket"), "name", "f0", "f1"), ["f0", "f1"], wide_radius(similarity)))
+        found = got if found is None else found.union(got)
+        if last:
+            break
+        level += 1
+        rows = settle(rows.join(over, ["way", "key"], "left_semi").select("way", "key", "name", "f0", "f1").mapInArrow(keyed(more, level), schema))
+    group = components(found)
+    grouped = distinct.join(group, distinct["name"] == group["node"], "left").select("f0", "f1", F.coalesce("root", "name").alias("component_id"))
+    return marked.join(grouped, ["f0", "f1"]).select("doc_id", "component_id")
