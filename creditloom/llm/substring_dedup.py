@@ -4,11 +4,11 @@ A suffix is a document's words from one place on; windows of ``window`` words th
 inner nodes at depth ``window`` of the suffix tree of all documents. The tree is never built whole:
 
 1. Sieve. Of the k-word runs in each window the one with the smallest hash is its anchor. Equal
-   windows have equal anchors, about one word in seventeen is one, and only anchors that stand in
-   two documents or more can lie in a repeated window. Texts are not shuffled for this.
+   windows have equal anchors, consecutive windows mostly share theirs, and only anchors that stand
+   in two documents or more can lie in a repeated window. Texts are not shuffled for this.
 2. Partition. Suffixes go to the group of a prefix: those around a sieved anchor share its words, and
-   the anchor names the group. A prefix shared by more than ``group`` suffix runs is lengthened to
-   the whole window, where a group needs no tree: its only node is an aggregate.
+   the anchor names the group. A prefix whose group would hold more than ``group_words`` words is
+   lengthened to the whole window, where a group needs no tree: its only node is an aggregate.
 3. Trees. A task reads its groups one after the other and holds a bounded number of words at a
    time. It sorts the suffixes by doubling the compared depth; neighbours that agree on ``window``
    words hang under one deep node. A suffix is a repeat if its node holds a smaller document id.
@@ -30,26 +30,22 @@ from creditloom.llm.winnowing import gram_hashes
 from creditloom.llm.words import spans, word_hashes
 from creditloom.operators.sizing import settle
 
-GROUP = 1024
+GROUP_WORDS = 1_000_000
 CHUNK_WORDS = 400_000
 _LAST = np.iinfo(np.int64).max  # stands for a null id: later than any other
 
 
-def anchors_of(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each anchor of a text with these word hashes, its place, and the first and last start
-    of the windows it serves."""
+def anchors_of(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hashes of a text with these word hashes, and the first and last window start that each
+    serves. Neighbouring windows with equal anchor hashes go together, so a text that repeats itself
+    over and over has few."""
     reach = max(1, 2 * window // 3)
-    grams = gram_hashes(hashes, window - reach + 1)
-    best, done = np.arange(len(grams)), 1
+    least, done = gram_hashes(hashes, window - reach + 1), 1
     while done < reach:
         step = min(done, reach - done)
-        right = best[step:]
-        left = best[: len(right)]
-        best = np.where(grams[right] < grams[left], right, left)
-        done += step
-    new = np.nonzero(np.concatenate(([True], best[1:] != best[:-1])))[0]
-    last = np.concatenate((new[1:], [len(best)])) - 1
-    return grams[best[new]], best[new], new, last
+        least, done = np.minimum(least[: len(least) - step], least[step:]), done + step
+    new = np.nonzero(np.concatenate(([True], least[1:] != least[:-1])))[0]
+    return least[new], new, np.concatenate((new[1:], [len(least)])) - 1
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -63,7 +59,7 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
             ids, rows = part.column("_id").to_pylist(), part.column("_row").to_pylist()
             out: list[list] = [[], [], [], [], []]
             for i in np.nonzero(counts >= window)[0].tolist():
-                h, _, lo, hi = anchors_of(words[stops[i] - counts[i]: stops[i]], window)
+                h, lo, hi = anchors_of(words[stops[i] - counts[i]: stops[i]], window)
                 out[0].append(h.view(np.int64))
                 out[1].append(np.full(len(h), _LAST if ids[i] is None else ids[i]))
                 out[2].append(np.full(len(h), rows[i]))
@@ -119,8 +115,9 @@ def tree_repeats(segments: list[list[bytes]], ids: np.ndarray, depth: int) -> li
     return out
 
 
-def repeated_spans(texts: DataFrame, window: int, group: int) -> DataFrame:
-    """``_row, a, b``: spans of words to remove from the texts with their sieved anchors.
+def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
+    """``_row, a, b``: words to remove from the texts with their sieved anchors: from each place in ``a``
+    up to ``b``, or for the length of a window where that is null.
 
     ``texts`` has ``_id, _row, _text, marks``; a mark is an anchor (h, lo, hi, over) and ``over`` tells
     that its group is too large for a tree.
@@ -162,27 +159,33 @@ def repeated_spans(texts: DataFrame, window: int, group: int) -> DataFrame:
             yield flush()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["w1", "w2", "_id", "_row", "lo"], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        """Each different window of a document once, with its starts."""
+        names, types = ["w1", "w2", "_id", "_row", "starts"], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
         for part in slices(batches, most=1 << 20):
             for i, row, text, marks in zip(part.column("_id").to_pylist(), part.column("_row").to_pylist(), bytes_of(part), part.column("marks").to_pylist()):
                 over = [(m["lo"], m["hi"]) for m in marks if m["over"]]
                 if over:
                     buf, starts, ends, _ = spans([text])
-                    at = np.concatenate([np.arange(lo, hi + 1) for lo, hi in over])
-                    w1, w2 = (gram_hashes(word_hashes(buf, starts, ends, seed), window)[at].view(np.int64) for seed in (1, 2))
-                    cols = (w1, w2, np.full(len(at), _LAST if i is None else i), np.full(len(at), row), at)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+                    at = np.unique(np.concatenate([np.arange(lo, hi + 1) for lo, hi in over]))
+                    w = np.column_stack([gram_hashes(word_hashes(buf, starts, ends, seed), window)[at].view(np.int64) for seed in (1, 2)])
+                    order = np.lexsort((at, w[:, 1], w[:, 0]))
+                    w, at = w[order], at[order]
+                    heads = np.nonzero(np.concatenate(([True], (w[1:] != w[:-1]).any(axis=1))))[0]
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(at)), pa.int32()), pa.array(at, pa.int32()))
+                    n = len(heads)
+                    yield pa.RecordBatch.from_arrays([pa.array(w[heads, 0]), pa.array(w[heads, 1]), pa.array(np.full(n, _LAST if i is None else i)),
+                                                      pa.array(np.full(n, row)), lists], names)
 
     parts = texts.select("_id", "_row", "_text", "marks")
     small = (parts.mapInArrow(segments, "h long, _id long, _row long, lo int, words string")
              .repartition("h").sortWithinPartitions("h").mapInArrow(trees, "_row long, a int, b int"))
-    long_prefix = settle(parts.where(F.exists("marks", lambda m: m["over"])).mapInArrow(windows, "w1 long, w2 long, _id long, _row long, lo int"))
+    long_prefix = settle(parts.where(F.exists("marks", lambda m: m["over"])).mapInArrow(windows, "w1 long, w2 long, _id long, _row long, starts array<int>"))
     least = long_prefix.groupBy("w1", "w2").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).where("least < most").drop("most")
-    again = long_prefix.join(least, ["w1", "w2"]).where("least < _id").select("_row", F.col("lo").alias("a"), (F.col("lo") + window).alias("b"))
-    return small.union(again)
+    again = long_prefix.join(least, ["w1", "w2"]).where("least < _id")
+    return small.select("_row", F.array("a").alias("a"), "b").union(again.select("_row", F.col("starts").alias("a"), F.lit(None).cast("int").alias("b")))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, group: int = GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, group_words: int = GROUP_WORDS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text`` per document.
 
     A word goes if a window of ``window`` consecutive words covers it whose word sequence also starts
@@ -193,8 +196,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = id_text(docs, id_col, text_col).select("_id", F.coalesce("_text", F.lit("")).alias("_text"))
     rows = rows.withColumn("_row", F.xxhash64("_id", "_text"))
     anchors = settle(_anchors(rows, window))
-    repeated = (anchors.groupBy("h").agg(F.min("_id").alias("least"), F.max("_id").alias("most"), F.count("*").alias("n"))
-                .where("least < most").select("h", (F.col("n") > group).alias("over")))
+    repeated = (anchors.groupBy("h").agg(F.min("_id").alias("least"), F.max("_id").alias("most"), F.sum(F.col("hi") - F.col("lo") + window).alias("n"))
+                .where("least < most").select("h", (F.col("n") > group_words).alias("over")))
     marks = (anchors.join(repeated, "h").groupBy("_row")
              .agg(F.collect_set(F.struct("h", "lo", "hi", "over")).alias("marks")))
     words = F.regexp_extract_all("_text", F.lit(f"({WORD})"), 0)
@@ -205,7 +208,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(untouched, F.concat_ws(" ", words)).alias("_kept"), F.when(untouched, F.size(words)).cast("long").alias("_n")))
     done = joined.where("marks is null").select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("_kept").alias("kept_text"))
     marked = joined.where("marks is not null").select("_id", "_row", "_text", "marks")
-    found = repeated_spans(marked, window, group).groupBy("_row").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
+    found = repeated_spans(marked, window).groupBy("_row").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -213,9 +216,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for i, text, cuts in zip(part.column("_id").to_pylist(), bytes_of(part), part.column("cuts").to_pylist()):
                 words = text.split()
                 steps = np.zeros(len(words) + 1, dtype=np.int64)
-                if cuts:
-                    np.add.at(steps, [c["a"] for c in cuts], 1)
-                    np.add.at(steps, [c["b"] for c in cuts], -1)
+                for c in cuts or ():
+                    a = np.array(c["a"])
+                    np.add.at(steps, a, 1)
+                    np.add.at(steps, a + window if c["b"] is None else c["b"], -1)
                 keep = np.cumsum(steps)[:-1] == 0
                 kept = [w for w, k in zip(words, keep.tolist()) if k]
                 out.append((i, len(words), len(words) - len(kept), b" ".join(kept).decode()))
