@@ -64,8 +64,9 @@ def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def automaton(text: np.ndarray) -> np.ndarray:
     """The suffix automaton of ``text`` as a parsing table.
 
-    ``table[state + symbol]`` is twice the next state (a multiple of CLASSES) plus 1 if the match
-    could not go on and a new phrase began with the symbol.
+    ``table[state + symbol]`` is four times the next state (a multiple of CLASSES) plus the phrases that
+    end here: the one before, if it could not go on and a new one began with the symbol, and the
+    symbol alone if the sample lacks it.
     """
     steps: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -94,13 +95,12 @@ def automaton(text: np.ndarray) -> np.ndarray:
         last = new
     restart = np.zeros(CLASSES, dtype=np.int32)
     for c, s in steps[0].items():
-        restart[c] = 2 * CLASSES * s
-    table = np.tile(restart | 1, (len(steps), 1))
+        restart[c] = 4 * CLASSES * s
+    table = np.tile(np.where(restart > 0, restart | 1, 2).astype(np.int32), (len(steps), 1))
     for s, out in enumerate(steps):
         for c, t in out.items():
-            table[s, c] = 2 * CLASSES * t
-    table[0] = restart
-    table[0, restart == 0] |= 1  # a symbol that the sample lacks is a phrase of its own
+            table[s, c] = 4 * CLASSES * t
+    table[0] = np.where(restart > 0, restart, 1)
     return table.ravel()
 
 
@@ -114,8 +114,8 @@ def phrases(blocks: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndar
         if n == 0:
             break
         got = table.take(state[:n] + blocks[t, :n])
-        count[:n] += got & 1
-        np.right_shift(got, 1, out=state[:n])
+        count[:n] += got & 3
+        np.right_shift(got, 2, out=state[:n])
     return count + (state > 0)
 
 
