@@ -121,8 +121,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     steps = [i / BUCKETS for i in range(1, BUCKETS)]
     n, cuts = rows.agg(F.count("*"), F.percentile_approx("_key", F.array(*[F.lit(x) for x in steps]), 20 * BUCKETS)).first()
     every = max(1, BUCKETS * BUCKET_ROWS // max(1, n))
-    bounds = sorted({float(x) for x in (cuts or [])[::every]})
-    cut = Bucketizer(splits=[-float("inf"), *(b for b in bounds if b > -2.0**63), float("inf")], inputCol="_at", outputCol="_bucket")
+    bounds = sorted({float(x) for x in (cuts or [])[::every] if float(x) > -2.0**63}) or [0.0]
+    cut = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="_at", outputCol="_bucket")
     rows = cut.transform(rows.withColumn("_at", F.col("_key").cast("double"))).withColumn("_bucket", F.col("_bucket").cast("int"))
     heads = sorted(rows.groupBy("_bucket").agg(F.max(F.struct("_key", "_hash")).alias("_head")).collect(), reverse=True)
     follow = [(h["_head"]["_key"], h["_head"]["_hash"], heads[i - 1]["_bucket"]) for i, h in enumerate(heads)]
