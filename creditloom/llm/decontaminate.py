@@ -4,8 +4,8 @@ A mask names the word positions of a window that count and skips the rest. Seeds
 windows are held in a table of bounded size, document seeds are looked up in it inside the scan,
 and around each hit the whole alignment of item and document is compared, so that overlaps with
 substituted words are found and chance hits are not. The three masks hit every 13-word window that
-differs from the benchmark in at most two words; shorter items must match whole. A large benchmark
-is taken in blocks of bounded size, each against all documents.
+differs from the benchmark in at most two words, which is what counts as an overlap; shorter items
+must match whole. A large benchmark is taken in blocks of bounded size, each against all documents.
 """
 
 from __future__ import annotations
@@ -92,23 +92,27 @@ class SeedTable:
         return found
 
     def overlap(self, h: np.ndarray, item: int, start: int, least: int, share: float) -> tuple[int, int, int] | None:
-        """First word and length of the best overlap on one alignment, and its equal words.
+        """First word, length and equal words of the best overlap on one alignment.
 
-        An overlap begins and ends with equal words, has at least ``share`` equal ones in it and
-        spans ``least`` words, or the whole item if that is shorter.
+        Windows of ``least`` words count if ``share`` of their words are equal; the longest run of such
+        windows is the overlap, without unequal words at its ends. An item with fewer words counts
+        if all are equal.
         """
-        lo, hi = max(0, start), min(len(h), start + int(self.sizes[item]))
-        mine = self.words[int(self.first[item]) + lo - start: int(self.first[item]) + hi - start]
-        same = h[lo:hi] == mine
-        # Score +(1 - share) for an equal word, -share for another: the best run keeps the share.
-        score = np.where(same, 1 - share, -share)
-        total = np.concatenate(([0.0], np.cumsum(score)))
-        gain = total - np.minimum.accumulate(total)
-        end = int(np.argmax(np.round(gain, 9)))
-        begin = int(np.argmin(np.round(total[: end + 1], 9)))
-        need = min(least, int(self.sizes[item]))
-        equal = int(same[begin:end].sum())
-        return (lo + begin, end - begin, equal) if end - begin >= need and equal >= share * (end - begin) else None
+        size = int(self.sizes[item])
+        need = min(least, size)
+        lo, hi = max(0, start), min(len(h), start + size)
+        if hi - lo < need:
+            return None
+        first = int(self.first[item])
+        same = h[lo:hi] == self.words[first + lo - start: first + hi - start]
+        total = np.concatenate(([0], np.cumsum(same)))
+        good = total[need:] - total[:-need] >= (need if size < least else int(np.ceil(share * need - 1e-9)))
+        edge = np.nonzero(np.diff(np.concatenate(([False], good, [False])).astype(np.int8)))[0]
+        if not len(edge):
+            return None
+        k = int(np.argmax(edge[1::2] - edge[::2]))
+        equal = np.nonzero(same[edge[2 * k]: edge[2 * k + 1] - 1 + need])[0] + edge[2 * k]
+        return lo + int(equal[0]), int(equal[-1] - equal[0]) + 1, len(equal)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -117,7 +121,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """``doc_id, item_id, doc_start, n_words, n_equal`` per document and benchmark item it repeats.
 
     Words are lower-cased runs without white space and ASCII punctuation; ``doc_start`` counts
-    them. The longest overlap of the pair is given, the first of equals. Items with equal texts count
+    them. The longest overlap of the pair is given, the first of equals; see ``SeedTable.overlap``. Items with equal texts count
     as the one with the smallest id; items without words, null texts and documents without words
     meet nothing. Documents that repeat nothing give no row. Repeated document rows give theirs
     each. Null document ids stay null.
