@@ -217,7 +217,8 @@ def arc_to_warc(spark: SparkSession, arc_folder: str, warc_folder: str, least: i
                 data = b"".join(member(x) for x in convert(path, content.as_buffer().to_pybytes(), refers)) + LAST_MEMBER[: -len(CLOSING)]
                 yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["file"])
 
-    files = read_files(spark, arc_folder).join(repeats, "path", "left").select("path", "content", "repeats")
+    # The decisions are settled first, so that few of them are sent to the files and not both shuffled.
+    files = read_files(spark, arc_folder).join(settle(repeats), "path", "left").select("path", "content", "repeats")
     write_files(files.mapInArrow(run, "file binary"), "file", warc_folder, CLOSING)
 
 
