@@ -102,7 +102,7 @@ def within_radius(values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray,
         first = at // 64  # only later lanes are asked for
         # A lane is lost once its counter is above the radius; earlier lanes and the own one start lost.
         lost = np.packbits((later[None, first * 64:] <= rows[:, None]) | (later[None, first * 64:] >= n), axis=1, bitorder="little").view("<u8")
-        counters = [np.zeros_like(lost) for _ in range(radius.bit_length())]
+        counters = [np.zeros_like(lost) for _ in range(max(1, radius.bit_length()))]
         for f in range(planes_of):
             carry = planes[f, first:][None, :] ^ ask[f]
             for k, c in enumerate(counters):
@@ -184,6 +184,7 @@ def bucket_links(rows: DataFrame, words: list[str], radius: int) -> DataFrame:
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links ``u, v`` that connect all distinct fingerprints ``fp`` within radius 2 of each other."""
 
+    # A finer mask may come from several coarser ones; it is taken once.
     level, masks, out = distinct.select("fp", F.lit(0).cast("long").alias("mask")), [0], None
     while True:
         finer = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(y)) for y in refine(m)]))])
@@ -194,10 +195,10 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
         found = settle(bucket_links(fit.select(F.struct("mask", "key").alias("bucket"), F.col("fp").alias("name"), "fp"), ["fp"], RADIUS))
         out = found if out is None else out.union(found)
         over = sizes.where(F.col("count") > bucket).select("mask", "key")
-        masks = [y for m in masks for y in refine(m)]
+        masks = list(dict.fromkeys(y for m in masks for y in refine(m)))
         if over.isEmpty():
             return out
-        level = settle(rows.join(over, ["mask", "key"], "left_semi").select("fp", "mask"))
+        level = settle(rows.join(over, ["mask", "key"], "left_semi").select("fp", "mask").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
