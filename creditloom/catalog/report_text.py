@@ -305,22 +305,51 @@ select f.report_id, f.pos, factor, line_pos, case c when 0 then 'red' when 1 the
 
 
 def phrase_colours(spark, sf):
-    src = R.colored(report_lines(spark, sf))
-    phrases = src.select("report_id").distinct().select("report_id", F.explode(F.array(*[F.lit(p) for p in (
-        "charged off", "rev lates in 0-3", "Credit Freeze")])).alias("phrase"))
+    """Lines of two spans each, cut in the middle, with colours of their own."""
+    src = report_lines(spark, sf).withColumn("_n", F.floor(F.length("text") / 2).cast("int"))
+    key = F.col("report_id") * 7 + F.col("pos") * 3
+    rgb = lambda k: F.get(F.array(*[F.array(*[F.lit(int(v)) for v in c.split(",")]) for c in RGBS]), F.pmod(k, F.lit(5)).cast("int"))
+    box = F.col("spans")[0]["bbox"].alias("bbox")
+    spans = F.array(F.struct(F.expr("substring(text, 1, _n)").alias("text"), rgb(key).alias("rgb"), box),
+                    F.struct(F.expr("substring(text, _n + 1)").alias("text"), rgb(key + F.col("pos")).alias("rgb"), box))
+    src = src.withColumn("spans", spans).drop("_n")
+    asked = ["charged off", "rev lates in 0-3", "Credit Freeze", "9 rev lates in 0-3 mo", "open age", "Accts charged", "lates in", "Remarks!"]
+    phrases = src.select("report_id").distinct().select("report_id", F.explode(F.array(*[F.lit(p) for p in asked])).alias("phrase"))
+    phrases = phrases.withColumn("expected", F.when((F.col("phrase") == "lates in") & (F.col("report_id") % 2 == 0), "red"))
     out = J.phrase_colors(phrases, src).where(F.col("pos").isNotNull())
-    return out.select("report_id", "phrase", "pos", "color", "uncertain")
-
-
-PHRASE_COLOUR_SQL = f"""with {LINES}, q as (select * from (values ('charged off', ['charged', 'off'], 2), ('rev lates in 0-3', ['rev', 'lates', '0', '3'], 4), ('Credit Freeze', ['credit', 'freeze'], 2)) t(phrase, u, n)),
-l as (select *, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: x <> '') lt,
-  case c when 0 then 'red' when 1 then 'green' when 4 then 'amber' end color from lines),
-m as (select report_id, phrase, pos, page, color, contains(lower(text), lower(phrase)) ex, list_intersect(u, lt) hit, n, text from l, q where color is not null),
-k as (select *, len(hit) / n sh from m),
-r as (select *, case when ex then 1 else 2 end a, case when ex then case color when 'green' then 0.0 when 'red' then 1.0 else 2.0 end
-   else -(sh - case when contains(lower(text), 'charg') then 0.2 else 0 end) end b from k
-   where ex or (sh >= 0.33 and len(list_filter(hit, lambda x: regexp_full_match(x, '[a-z]+') and length(x) > 2)) > 0))
-select report_id, phrase, pos, color, a = 2 uncertain from (select *, row_number() over (partition by report_id, phrase order by page, a, b, pos) rn from r) where rn = 1"""
+    return out.select("report_id", "phrase", "page", "pos", "color", "uncertain")
+
+
+# Written from the rule itself. Colours by number: 0 red, 1 green, 2 a dark grey that counts as
+# black, 3 pure black (no colour), 4 amber; two different ones of red, green, amber mix to none.
+PHRASE_COLOUR_SQL = f"""with {LINES}, q as (
+  select * from (values ('charged off', ['charged', 'off'], []), ('rev lates in 0-3', ['rev', 'lates', '0', '3'], ['0', '3']),
+    ('Credit Freeze', ['credit', 'freeze'], []), ('9 rev lates in 0-3 mo', ['9', 'rev', 'lates', '0', '3'], ['9', '0', '3']),
+    ('open age', ['open', 'age'], []), ('Accts charged', ['accts', 'charged'], []), ('lates in', ['lates'], []), ('Remarks!', ['remarks'], [])) t(phrase, u, nums)),
+l as (select *, length(text) // 2 n1, (report_id * 7 + pos * 3) % 5 a, (report_id * 7 + pos * 4) % 5 b,
+  list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: x <> '') lt from lines),
+m as (select l.*, q.*, case when phrase = 'lates in' and report_id % 2 = 0 then 'red' end wanted, strpos(lower(text), lower(phrase)) - 1 st,
+  trim(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g')) = trim(regexp_replace(lower(phrase), '[^a-z0-9 ]', '', 'g')) same,
+  list_intersect(list_distinct(u), lt) hit, len(u) n from l, q),
+c as (select *, case when n1 > 0 then a else 3 end wa, b wb,
+  case when st >= 0 and st < n1 then a else 3 end pa, case when st >= 0 and st + length(phrase) > n1 then b else 3 end pb from m),
+k as (select *, case when wa in (0, 1, 4) and wb in (0, 1, 4) then case when wa = wb then wa else 9 end when wa in (0, 1, 4) then wa when wb in (0, 1, 4) then wb
+    when wa = 2 or wb = 2 then 2 else 9 end wc,
+  case when pa in (0, 1, 4) and pb in (0, 1, 4) then case when pa = pb then pa else 9 end when pa in (0, 1, 4) then pa when pb in (0, 1, 4) then pb
+    when pa = 2 or pb = 2 then 2 else 9 end pc from c),
+t as (select *, case pc when 0 then 'red' when 1 then 'green' when 2 then 'black' when 4 then 'amber' else 'neutral' end pcol,
+  case wc when 0 then 'red' when 1 then 'green' when 2 then 'black' when 4 then 'amber' else 'neutral' end wcol from k),
+e as (select *, (st >= 0 and pcol <> 'neutral' and (wanted is null or pcol = wanted)) cov from t),
+f as (select *, (cov or same) ex, case when cov then pcol else wcol end color from e),
+g as (select *, min(case when ex then page end) over (partition by report_id, phrase) fp from f),
+r as (select *, case when ex then 1 else 2 end kind,
+   case when ex then case color when 'green' then 1.0 when 'red' then 2.0 when 'amber' then 3.0 else 9.0 end
+     else -(len(hit) / n - case when contains(lower(text), 'charg') then 0.2 else 0 end) end rk from g
+   where color <> 'neutral' and (wanted is null or color = wanted)
+     and (ex or ((fp is null or page < fp) and len(hit) >= greatest(1, n // 2) and len(hit) / n >= 0.33
+       and (len(nums) = 0 or len(list_intersect(nums, lt)) > 0) and len(list_filter(hit, lambda x: regexp_full_match(x, '[a-z]+') and length(x) > 2)) > 0)))
+select report_id, phrase, page, pos, color, kind = 2 uncertain
+from (select *, row_number() over (partition by report_id, phrase order by page, kind, rk, pos) rn from r) where rn = 1"""
 
 
 def asof_pair(spark, sf):

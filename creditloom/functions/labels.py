@@ -84,23 +84,38 @@ def tier_text(tier: Column) -> Column:
     return F.concat(F.lit("Tier "), F.when(t < 4, t + 1).otherwise(t).cast("string"))
 
 
-def _offer_renames() -> dict[str, str]:
-    """Rename table for raw offer names and the per-offer field names."""
-    short = {
-        "Automatic Financing": "AutomaticFinancing",
-        "0% Unsecured Funding": "0UnsecuredFunding",
-        "Debt Resolution": "DebtResolution",
-    }
-    fields = ["missing?", "Score", "below_600?", "Status", "Amount", "DebtToIncome", "Details",
-              "Contingencies", "score_missing?"]
-    out = dict(short)
-    for raw, name in short.items():
-        for field in fields:
-            out[f"{raw}_{field}"] = f"{name}_{field}"
-    return out
-
-
-NAME_RENAMES = _offer_renames()
+# Raw names and their clean form. Two offers have no entry for a missing score, so
+# those names are only cleaned of special characters.
+NAME_RENAMES = {
+    "Automatic Financing": "AutomaticFinancing",
+    "0% Unsecured Funding": "0UnsecuredFunding",
+    "Debt Resolution": "DebtResolution",
+    "Automatic Financing_missing?": "AutomaticFinancing_missing?",
+    "Automatic Financing_Score": "AutomaticFinancing_Score",
+    "Automatic Financing_below_600?": "AutomaticFinancing_below_600_",
+    "Automatic Financing_Status": "AutomaticFinancing_Status",
+    "Automatic Financing_Amount": "AutomaticFinancing_Amount",
+    "Automatic Financing_DebtToIncome": "AutomaticFinancing_DebtToIncome",
+    "Automatic Financing_Details": "AutomaticFinancing_Details",
+    "Automatic Financing_Contingencies": "AutomaticFinancing_Contingencies",
+    "0% Unsecured Funding_missing?": "0UnsecuredFunding_missing_",
+    "0% Unsecured Funding_Score": "0UnsecuredFunding_Score",
+    "0% Unsecured Funding_below_600?": "0UnsecuredFunding_below_600_",
+    "0% Unsecured Funding_Status": "0UnsecuredFunding_Status",
+    "0% Unsecured Funding_Amount": "0UnsecuredFunding_Amount",
+    "0% Unsecured Funding_DebtToIncome": "0UnsecuredFunding_DebtToIncome",
+    "0% Unsecured Funding_Details": "0UnsecuredFunding_Details",
+    "0% Unsecured Funding_Contingencies": "0UnsecuredFunding_Contingencies",
+    "Debt Resolution_missing?": "DebtResolution_missing_",
+    "Debt Resolution_Score": "DebtResolution_Score",
+    "Debt Resolution_below_600?": "DebtResolution_below_600_",
+    "Debt Resolution_Status": "DebtResolution_Status",
+    "Debt Resolution_Amount": "DebtResolution_Amount",
+    "Debt Resolution_DebtToIncome": "DebtResolution_DebtToIncome",
+    "Debt Resolution_Details": "DebtResolution_Details",
+    "Debt Resolution_Contingencies": "DebtResolution_Contingencies",
+    "Debt Resolution_score_missing?": "DebtResolution_score_missing_",
+}
 
 
 def sanitize_name(name: str) -> str:
