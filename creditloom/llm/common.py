@@ -50,3 +50,29 @@ def texts_of(batch: pa.RecordBatch, column: str = "_text") -> list[str]:
 def bytes_of(batch: pa.RecordBatch, column: str = "_text") -> list[bytes]:
     """UTF-8 bytes with null as the empty text."""
     return batch.column(column).cast(pa.binary()).fill_null(b"").to_pylist()
+
+
+class RecentCache:
+    """A bounded look-up table that keeps what was used lately.
+
+    Entries live in two halves. When the young half is full it becomes the old one and what was old
+    is forgotten; an old entry that is asked for again becomes young.
+    """
+
+    def __init__(self, most: int, longest: int):
+        self.half, self.longest = most // 2, longest
+        self.young, self.old = {}, {}
+
+    def look_up(self, keys: list, make) -> list:
+        """The values of all keys; ``make`` turns a list of unknown keys into their values."""
+        got = list(map(self.young.get, keys))
+        if None in got:
+            missed = {k for k, v in zip(keys, got) if v is None}
+            found = {k: self.old[k] for k in missed if k in self.old}
+            unknown = [k for k in missed if k not in found]
+            found.update(zip(unknown, make(unknown) if unknown else ()))
+            got = [found[k] if v is None else v for k, v in zip(keys, got)]
+            if len(self.young) + len(found) > self.half:
+                self.young, self.old = {}, self.young
+            self.young.update((k, v) for k, v in found.items() if len(k) <= self.longest)
+        return got

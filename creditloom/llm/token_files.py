@@ -16,8 +16,9 @@ Files are ordinary input for zstandard tools: decompressed whole they give all i
 from __future__ import annotations
 
 import os
+import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import bytes_of, id_text, slices, worker_cache
+from creditloom.llm.common import RecentCache, bytes_of, id_text, slices, worker_cache
 from creditloom.llm.files import read_files, write_files
 from creditloom.operators.scans import prefix_scan
 
@@ -34,43 +35,76 @@ SKIPPABLE, SEEK_FRAME, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x80
 CLOSING = (0x8F92EAB1).to_bytes(4, "little")
 
 SHARD_BYTES = 8 << 20
-CACHED = 400_000
+CACHED = 600_000
 LONGEST_KEY = 64
 
 
 def tokenizer(path: str):
-    """The tokenizer, loaded once per worker, after a check that white space parts tokens."""
+    """The tokenizer, loaded once per worker, after a check that words can be encoded one by one:
+    white space parts tokens, ASCII case does not matter, and neither does a space before a comma
+    or full stop that ends a word."""
     cache = worker_cache("tokenizers")
     if path not in cache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        whole = t.encode("ab's  <c \t1\n,d e", add_special_tokens=False).ids
-        if whole != [i for w in ("ab's", "<c", "1", ",d", "e") for i in t.encode(w, add_special_tokens=False).ids]:
-            raise ValueError("this tokenizer does not part words at white space")
+        probe = "Ab's  <c \t1\n,d e, F's. g-H. \u00c9\u0301x."
+        whole = t.encode(probe, add_special_tokens=False).ids
+        if whole != [i for w in text_words(probe.encode()) for i in t.encode(w.decode(), add_special_tokens=False).ids]:
+            raise ValueError("this tokenizer does not encode words one by one")
         cache[path] = t
     return cache[path]
 
 
-def encode_words(t, words: Iterable[bytes]) -> dict[bytes, bytes]:
-    """Ids of each word as little-endian u32."""
-    words = list(words)
-    got = t.encode_batch([w.decode() for w in words], add_special_tokens=False)
-    return {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, got)}
+_ENDING = re.compile(rb"(?<=[a-z])[,.](?=[ \n]|$)")
 
 
-def encode_text(t, known: dict[bytes, bytes], text: bytes) -> bytes:
-    """Ids of a whole text; ``known`` keeps the words met before."""
-    words = text.split()
-    got = list(map(known.get, words))
-    if None in got:
-        new = encode_words(t, {w for w, ids in zip(words, got) if ids is None})
-        got = [new[w] if ids is None else ids for w, ids in zip(words, got)]
-        if len(known) > CACHED:
-            known.clear()
-        known.update((w, ids) for w, ids in new.items() if len(w) <= LONGEST_KEY)
-    return b"".join(got)
+def text_words(text: bytes) -> list[bytes]:
+    """The words of a text in a form that many share; what may be a special token stays as it is."""
+    if b"<|" in text:
+        return text.split()
+    return _ENDING.sub(rb" \g<0>", text.lower()).split()
+
+
+def encode_words(t, words: list[bytes]) -> list[bytes]:
+    """Ids of each word as little-endian u32.
+
+    Words of letters alone are encoded in one go, as each of them ends at the next token that ends a
+    word. Should the count not come out (a letter may turn into two), and for all other words, each
+    word is encoded by itself.
+    """
+    texts = [w.decode() for w in words]
+    plain = [k for k, x in enumerate(texts) if x.isalpha()]
+    out: list = [None] * len(words)
+    if plain:
+        ids = np.array(t.encode_batch_fast([" ".join([texts[k] for k in plain])], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.nonzero(word_ends(t)[ids])[0] + 1
+        if len(ends) == len(plain) and ends[-1] == len(ids):
+            raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            for n, k in enumerate(plain):
+                out[k] = raw[at[n]: at[n + 1]]
+    rest = [k for k, x in enumerate(out) if x is None]
+    if rest:
+        for k, e in zip(rest, t.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
+            out[k] = struct.pack(f"<{len(e)}I", *e.ids)
+    return out
+
+
+def word_ends(t) -> np.ndarray:
+    """Which ids are tokens that end a word."""
+    cache = worker_cache("word ends")
+    if id(t) not in cache:
+        table = np.zeros(t.get_vocab_size(with_added_tokens=True), dtype=bool)
+        for token, i in t.get_vocab(with_added_tokens=True).items():
+            table[i] = token.endswith("</w>")
+        cache[id(t)] = table
+    return cache[id(t)]
+
+
+def encode_text(t, known: RecentCache, text: bytes) -> bytes:
+    """Ids of a whole text; ``known`` keeps the words met lately."""
+    return b"".join(known.look_up(text_words(text), lambda words: encode_words(t, words)))
 
 
 def shard_bytes(part: int, number: int, ids: list[int | None], frames: list[bytes], sizes: list[int], sums: list[int]) -> bytes:
@@ -124,7 +158,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None = 2
         import xxhash
         import zstandard
 
-        t, known = tokenizer(path), worker_cache(f"ids {path}")
+        t, known = tokenizer(path), worker_cache("ids").setdefault(path, RecentCache(CACHED, LONGEST_KEY))
         pack = zstandard.ZstdCompressor(level=level)
         part, number = TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
