@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import id_text, slices, texts_of, worker_cache
+from creditloom.llm.common import RecentCache, id_text, slices, texts_of, worker_cache
 
 FREQUENT = 32_768
 PER_TASK = 8_192
@@ -94,23 +94,19 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     first = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, text_col, model_path, frequent))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, known = processor(model_path), worker_cache(f"lengths {model_path}")
-        known.update(first.value)
+        sp, frequent_ones = processor(model_path), first.value
+        recent = worker_cache("lengths").setdefault(model_path, RecentCache(CACHED, LONGEST_KEY))
         for part in slices(batches):
             sizes, counts = [], []
             for text in texts_of(part):
                 keys = pre_tokens(text)
-                got = list(map(known.get, keys))
+                got = list(map(frequent_ones.get, keys))
+                total = sum(filter(None, got))
                 if None in got:
-                    missed = list({k for k, n in zip(keys, got) if n is None})
-                    new = dict(zip(missed, lengths_of(sp, missed)))
-                    got = [new[k] if n is None else n for k, n in zip(keys, got)]
-                    known.update((k, n) for k, n in new.items() if len(k) <= LONGEST_KEY)
-                    if len(known) > CACHED:
-                        known.clear()
-                        known.update(first.value)
+                    rest = [k for k, n in zip(keys, got) if n is None]
+                    total += sum(recent.look_up(rest, lambda missed: lengths_of(sp, missed)))
                 sizes.append(len(text.encode()))
-                counts.append(sum(got))
+                counts.append(total)
             yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()),
                                               pa.array([n > limit for n in counts], pa.bool_())],
                                              ["doc_id", "n_bytes", "n_tokens", "over_limit"])
