@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm.common import bytes_of, id_text, slices
-from creditloom.llm.graph import components
+from creditloom.llm.graph import components, thin_links
 from creditloom.llm.words import mixed
 from creditloom.operators.sizing import settle
 
@@ -294,6 +294,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             break
         level += 1
         rows = settle(rows.join(over, ["way", "key"], "left_semi").select("way", "key", "name", "f0", "f1").mapInArrow(keyed(more, level), schema))
-    group = components(found)
+    group = components(thin_links(found))  # a name has one link per way and level at most
     grouped = distinct.join(group, distinct["name"] == group["node"], "left").select("f0", "f1", F.coalesce("root", "name").alias("component_id"))
     return marked.join(grouped, ["f0", "f1"]).select("doc_id", "component_id")
