@@ -22,6 +22,7 @@ from creditloom.operators.scans import global_row_number
 from creditloom.operators.sizing import settle
 
 CHUNK = 4096
+SALTS = 64
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -83,7 +84,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     tie = F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")))
     ranked = settle(global_row_number(sized.withColumn("_tie", tie), ["_null", "_source", F.desc("size"), "_tie", "_id"], "_nth"))
     first = ranked.groupBy("_null", "_source").agg(F.min("_nth").alias("_first"))
-    placed = (ranked.join(sources.join(first, ["_null", "_source"]), ["_null", "_source"])
+    # A source may hold a third of all documents: the few facts of each source are dealt to SALTS
+    # places, so that its documents are too.
+    facts = sources.join(first, ["_null", "_source"]).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    placed = (ranked.withColumn("_salt", F.pmod("_nth", F.lit(SALTS))).join(facts, ["_null", "_source", "_salt"])
               .withColumn("_chunk", F.floor((F.col("_nth") - F.col("_first")) / CHUNK)))
 
     def diffuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
