@@ -500,11 +500,12 @@ CORR_SQL = " union all ".join(
 
 def numeric_summary(spark, sf):
     out = Q.numeric_summary(table(spark, sf, "lineitem"), FEATURES[:3])
-    return out.select("column", "n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max")])
+    return out.select("column", "n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
 
 SUMMARY_SQL = " union all ".join(
-    f"select '{c}' as \"column\", count({c}) n, round(avg({c}), 4) mean, round(stddev_samp({c}), 4) std, min({c}) as min, max({c}) as max from lineitem" for c in FEATURES[:3])
+    f"select '{c}' as \"column\", count({c}) n, round(avg({c}), 4) mean, round(stddev_samp({c}), 4) std, min({c}) as min, "
+    f"round(quantile_cont({c}, 0.25), 4) q25, round(quantile_cont({c}, 0.5), 4) q50, round(quantile_cont({c}, 0.75), 4) q75, max({c}) as max from lineitem" for c in FEATURES[:3])
 
 
 def sample_values(spark, sf):

@@ -12,7 +12,7 @@ from creditloom.operators import filters
 from creditloom.operators.autolabel import auto_labels
 from creditloom.operators.sizing import settle
 from creditloom.plans import feature_table as ft
-from creditloom.plans.column_schema import TIER_LABELS, default_schema
+from creditloom.plans.column_schema import AUTO, TIER_LABELS, ColumnSpec, default_schema
 from creditloom.sources.applications import parse_records
 
 # One application per order: its lines are the offers, A/N/R being the three offer types.
@@ -312,6 +312,27 @@ def auto_label_grouped_frequency(spark, sf):
     return auto_labels(table(spark, sf, "part"), "p_brand", "label", ["grouped", "frequency"]).select("p_partkey", "label")
 
 
+def frozen_label_table(spark, sf):
+    """Labels made on two thirds of the orders, given to all of them: nulls, values that training never
+    saw, and one rare value that makes up the group "other"."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 17 == 0, None).when(
+        F.col("o_orderkey") == 3, "rare").when(F.col("o_orderkey") % 99 == 2, "unseen").otherwise(F.col("o_orderpriority")).alias("value"))
+    train = o.where("o_orderkey % 3 = 0 or o_orderkey % 4 = 1").where("o_orderkey % 99 <> 2")
+    schema = [ColumnSpec("value", labels=AUTO, methods=["grouped", "frequency"]), ColumnSpec("value_label", labels_from="value")]
+    out = ft.encode(o, ft.freeze_labels(train, schema))
+    return out.select("o_orderkey", F.col("value_label").alias("label"))
+
+
+FROZEN_SQL = """
+with o as (select o_orderkey k, case when o_orderkey % 17 = 0 then 'None' when o_orderkey = 3 then 'rare' when o_orderkey % 99 = 2 then 'unseen' else o_orderpriority end v from orders),
+train as (select * from o where (k % 3 = 0 or k % 4 = 1) and k % 99 <> 2),
+counted as (select v, count(*) n, case when count(*) < greatest(5, (select count(*) * 2 // 100 from train)) then 'other' else v end g from train group by v),
+labels as (select g, row_number() over (order by sum(n) desc, g) - 1 as label from counted group by g)
+select k o_orderkey, coalesce(l.label, (select label from labels where g = 'other'), -1)::int as label
+from o left join counted c on c.v = o.v left join labels l on l.g = c.g
+"""
+
+
 def auto_label_frequency(spark, sf):
     return auto_labels(table(spark, sf, "orders"), "o_custkey", "label", ["frequency"]).select("o_orderkey", "label")
 
@@ -459,6 +480,7 @@ QUERIES = {
     "failed_map": (failed_map, f"select o_orderkey, o_orderpriority as original, -1 as label from orders where {_case('o_orderpriority', PRIORITY, '-1', False)} = -1"),
     "tier_name_map": (tier_names, TIER_NAMES_SQL),
     "auto_label_grouped_frequency": (auto_label_grouped_frequency, GROUPED_FREQUENCY_SQL),
+    "frozen_label_table": (frozen_label_table, FROZEN_SQL),
     "auto_label_frequency": (auto_label_frequency, FREQUENCY_SQL),
     "auto_label_simple": (auto_label_simple, SIMPLE_SQL),
     "auto_label_grouped": (auto_label_grouped, GROUPED_SQL),

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from creditloom.functions.hashing import index_draw, unit_draw
 from creditloom.operators.nearest import nearest_in_group
-from creditloom.operators.sizing import join_small, measured
+from creditloom.operators.sizing import join_small, measured, settle
 from creditloom.operators.splits import rank_cuts, with_cuts
 
 COPIES_PER_TASK = 10_000
@@ -168,15 +169,19 @@ def improvement_gate(before: float, after: float, classes: int, min_improvement:
 
 def balance(df: DataFrame, label: str, id_col: str, num_cols: Sequence[str], cat_cols: Sequence[str] = (),
             enabled: bool = True, method: str = "smotenc", k: int = 5, seed=42,
-            min_improvement: float = 0.0, allow_fallback: bool = True) -> DataFrame:
+            min_improvement: float = 0.01, allow_fallback: bool = True) -> DataFrame:
     """Original plus added rows, by the strategy that fits the data.
 
     Disabled or ``none``: unchanged. Smallest class of one row or not above k: duplicates.
     Categorical columns present and ``smotenc``: mixed synthetic rows. Else plain synthetic rows.
     The result has the input's feature and label columns and ``synthetic``; the id is kept for
-    the base row. Raises when the minority share does not improve by ``min_improvement``.
+    the base row. Raises when a categorical column is absent, when a column holds nulls or NaN, and when
+    the minority share, as counted in the result, does not improve by ``min_improvement`` (0: not asked).
     """
     present = [c for c in cat_cols if c in df.columns]
+    absent = sorted(set(cat_cols) - set(present))
+    if enabled and method != "none" and absent:
+        raise ValueError(f"categorical columns are absent: {absent}")
     nums = [c for c in num_cols if c not in present]
     cols = [id_col, label, *nums, *present]
     original = df.select(*cols).withColumn("synthetic", F.lit(False))
@@ -186,6 +191,9 @@ def balance(df: DataFrame, label: str, id_col: str, num_cols: Sequence[str], cat
     smallest = before["min_rows"] or 0
     if before["n_rows"] is None:
         raise ValueError("cannot balance an empty table")
+    bad = df.agg(*[F.count_if(_missing(df, c)).alias(c) for c in [*nums, *present]]).first().asDict() if nums or present else {}
+    if any(bad.values()):
+        raise ValueError(f"cannot balance missing values: { {c: n for c, n in bad.items() if n} }")
     use_k = k if k < smallest else max(1, smallest - 1)
     if allow_fallback and (smallest <= 1 or smallest <= use_k):
         extra = random_oversample(df.select(*cols), label, id_col, seed).where("copy_no > 0")
@@ -197,12 +205,20 @@ def balance(df: DataFrame, label: str, id_col: str, num_cols: Sequence[str], cat
         extra.select(*[F.col(c).cast(df.schema[c].dataType) if c in present else F.col(c) for c in cols])
         .withColumn("synthetic", F.lit(True))
     )
-    classes = before["n_classes"]
-    if not improvement_gate(before["minority_share"], 1.0 / classes, classes, min_improvement):
-        raise ValueError("the minority share would not improve enough")
+    if not min_improvement:
+        return full
+    full = settle(full)
+    after = minority_share(full, label).first()["minority_share"]
+    if not improvement_gate(before["minority_share"], after, before["n_classes"], min_improvement):
+        raise ValueError(f"the minority share went from {before['minority_share']:.6f} to {after:.6f}, less than {min_improvement} more")
     return full
 
 
+def _missing(df: DataFrame, name: str) -> Column:
+    c = F.col(f"`{name}`")
+    return c.isNull() | F.isnan(c) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else c.isNull()
+
+
 def resampling_summary(before: DataFrame, after: DataFrame, label: str) -> DataFrame:
     """Per class: rows before, after and added, and the change of the class share."""
     both = (

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from creditloom.operators.scans import prefix_scan, range_chunks
+from creditloom.operators.sizing import settle
+
 SAMPLE_VALUES = 20
 REPORT_SCHEMA = "`check` string, severity string, `column` string, metric double, detail string"
 
@@ -85,8 +88,13 @@ def validate_frame(df: DataFrame, stage: str = "input", categorical: Sequence[st
             fixed.append(("categorical_type", "warning", c, None, df.schema[c].dataType.simpleString()))
     for c in sorted({c for c in df.columns if df.columns.count(c) > 1}):
         fixed.append(("duplicate_column", "issue", c, float(df.columns.count(c)), stage))
-    if len(cols) != len(df.columns):  # ambiguous names cannot be aggregated
-        return spark.createDataFrame(fixed, REPORT_SCHEMA)
+    if len(cols) != len(df.columns):  # names that repeat get their place, and are checked like the rest
+        seen: dict[str, int] = {}
+        names = []
+        for c in df.columns:
+            seen[c] = seen.get(c, 0) + 1
+            names.append(c if seen[c] == 1 else f"{c}#{seen[c]}")
+        df, cols = df.toDF(*names), names
 
     present_ohe = [c for c in ohe if c in cols]
     aggs = [F.count("*").alias("_n")]
@@ -189,20 +197,34 @@ def compare_frames(before: DataFrame, after: DataFrame, corr_threshold: float =
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max per column, in one pass."""
-    aggs = []
-    for i, c in enumerate(columns):
-        v = F.col(c).cast("double")
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-                 F.percentile_approx(v, [0.25, 0.5, 0.75], 10_000).alias(f"q{i}")]
-    lines = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"),
-                 F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.get(f"q{i}", 0).alias("q25"),
-                 F.get(f"q{i}", 1).alias("q50"), F.get(f"q{i}", 2).alias("q75"), F.col(f"hi{i}").alias("max"))
-        for i, c in enumerate(columns)
-    ])
-    return df.agg(*aggs).select(F.explode(lines).alias("x")).select("x.*")
+    """count, mean, std, min, exact quartiles (linear between ranks) and max per column.
+
+    Values are counted before they are ranked, and ranks come from range pieces with carried
+    totals, so no column is sorted in one task.
+    """
+    values = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
+    counts = settle(values.groupBy("column", "v").agg(F.count("*").alias("k")))
+    moments = values.groupBy("column").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+    pieces = range_chunks(counts, ["column", "v"])
+    ranked = prefix_scan(pieces, ["column"], "_chunk", ["v"], {"_to": ("sum", F.col("k"), True)})
+    totals = counts.groupBy("column").agg(F.sum("k").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"))
+    at = ranked.join(totals.select("column", "n"), "column")
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_to") - F.col("k") <= rank) & (rank < F.col("_to")), F.col("v")))
+
+    ends = {}
+    for q in (25, 50, 75):
+        place = (F.col("n") - 1) * F.lit(q / 100)
+        ends |= {f"_l{q}": value_at(F.floor(place)), f"_h{q}": value_at(F.ceil(place))}
+    found = at.groupBy("column", "n").agg(*[c.alias(name) for name, c in ends.items()])
+    share = lambda q: (F.col("n") - 1) * F.lit(q / 100) % 1
+    quartiles = {f"q{q}": F.col(f"_l{q}") + share(q) * (F.col(f"_h{q}") - F.col(f"_l{q}")) for q in (25, 50, 75)}
+    out = totals.join(moments, "column").join(found.drop("n"), "column").withColumns(quartiles)
+    listed = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return listed.join(out, "column", "left").select(
+        "column", F.coalesce("n", F.lit(0)).alias("n"), "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def to_integers(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -17,8 +17,9 @@ from creditloom.functions import labels as L
 from creditloom.functions.numeric import (
     HIDDEN, MISSING, as_flag, below_threshold, clean_numeric, number_or, row_median, to_number,
 )
-from creditloom.operators.autolabel import auto_labels
+from creditloom.operators.autolabel import auto_labels, frozen_labels, label_table
 from creditloom.operators.quality import require_columns
+from creditloom.operators.sizing import settle
 from creditloom.plans.column_schema import AUTO, ColumnSpec
 
 # Offer name, column prefix, and the texts used when the offer is absent.
@@ -166,6 +167,8 @@ def _derive(df: DataFrame, spec: ColumnSpec, by_name: dict[str, ColumnSpec]) ->
         raise ValueError(f"{spec.name} is derived from {source}, which is absent")
     src, dtype = by_name.get(source), df.schema[source].dataType
     if spec.labels_from:
+        if src is not None and src.frozen is not None:
+            return frozen_labels(df, source, spec.name, src.frozen, src.other_label)
         if src is not None and src.labels == AUTO and src.methods:
             return auto_labels(df, source, spec.name, src.methods)
         table = src.labels if src is not None and isinstance(src.labels, dict) else {}
@@ -174,23 +177,19 @@ def _derive(df: DataFrame, spec: ColumnSpec, by_name: dict[str, ColumnSpec]) ->
     return df.withColumn(spec.name, L.map_value(F.col(source), (src.mapping if src else None) or {}, dtype))
 
 
-def freeze_labels(flat: DataFrame, specs: Sequence[ColumnSpec], max_values: int = 1000) -> list[ColumnSpec]:
+def freeze_labels(flat: DataFrame, specs: Sequence[ColumnSpec]) -> list[ColumnSpec]:
     """The schema with generated labels replaced by the tables they give on this data.
 
     Scoring then labels new records as in training, without counting anything, so it also works
-    on a stream. Values outside the table get the label of the "other" group. Only groupings
-    that leave at most ``max_values`` labels can be frozen.
+    on a stream (a static join). Nulls keep the label they had; values outside the table get the
+    label of the group "other", or -1 where training had no such group.
     """
     out = []
     for s in specs:
         if s.labels == AUTO and s.methods:
-            pairs = auto_labels(flat, s.name, "_l", s.methods).select(F.col(s.name).cast("string").alias("v"), "_l").distinct()
-            sizes = pairs.groupBy("_l").agg(F.count("*").alias("k"), F.min("v").alias("v")).limit(max_values + 1).collect()
-            if len(sizes) > max_values:
-                raise ValueError(f"{s.name} has more than {max_values} labels")
-            alone = {r["v"]: str(r["_l"]) for r in sizes if r["k"] == 1 and r["v"] is not None}
-            grouped = [int(r["_l"]) for r in sizes if r["k"] > 1]
-            s = replace(s, labels=alone, methods=[], other_label=grouped[0] if grouped else -1)
+            table = settle(label_table(flat, s.name, s.methods))
+            rest = table.where("_group = 'other'").select("_label").first()
+            s = replace(s, frozen=table, other_label=-1 if rest is None else int(rest["_label"]))
         out.append(s)
     return out
 

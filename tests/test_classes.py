@@ -127,3 +127,33 @@ def test_k_best_finds_the_signal(spark):
     with pytest.raises(ValueError):
         S.select_k_best(df, "y", ["s"], None)
     assert math.isfinite(S.chi2_scores(df, "y", ["s"]).first()["score"])
+
+
+def test_balance_refuses_missing_values_and_small_gains(spark):
+    rows = [(i, "a" if i < 80 else "b", float(i % 7), float(i % 5), "u" if i % 3 else "v") for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, g string, x double, y double, c string")
+    for broken, cats in ((df, ["c", "gone"]), (df.withColumn("c", F.when(F.col("id") > 3, F.col("c"))), ["c"]),
+                         (df.withColumn("x", F.when(F.col("id") > 3, F.col("x"))), ["c"]),
+                         (df.withColumn("y", F.when(F.col("id") > 3, F.col("y")).otherwise(float("nan"))), ["c"])):
+        with pytest.raises(ValueError):
+            B.balance(broken, "g", "id", ["x", "y"], cats)
+    with pytest.raises(ValueError, match="minority share"):
+        B.balance(df, "g", "id", ["x", "y"], ["c"], min_improvement=0.6)
+    even = df.where("id < 40 or id >= 80")
+    assert B.balance(even, "g", "id", ["x", "y"], ["c"]).count() == 80
+
+
+def test_duplicate_names_are_checked_like_the_rest(spark):
+    df = spark.createDataFrame([(1, None, 2.0), (2, 3, float("inf"))], "a int, b int, c double").toDF("a", "b", "b")
+    found = {(r.check, r.column) for r in Q.validate_frame(df).collect()}
+    assert ("duplicate_column", "b") in found and any(c == "b#2" for _, c in found) and len(found) >= 3
+
+
+def test_exact_quartiles(spark):
+    import numpy as np
+
+    v = [3.0, 1.0, 1.0, 10.0, -4.0, 2.5, 8.0]
+    df = spark.createDataFrame([(x, None) for x in v], "x double, y double")
+    got = {r["column"]: r for r in Q.numeric_summary(df, ["x", "y"]).collect()}
+    assert [got["x"][q] for q in ("q25", "q50", "q75")] == list(np.quantile(v, [0.25, 0.5, 0.75]))
+    assert got["y"].n == 0 and got["y"].q50 is None

@@ -119,3 +119,19 @@ def test_roles():
         resolve_roles(specs, ["a", "t"])
     assert resolve_roles(specs, ["a", "t"], allow_missing=True).features == ["a"]
     assert model_flag("RandomForestClassifier") == "RF" and isinstance(specs[0], ColumnSpec)
+
+
+def test_frozen_labels_of_nulls_and_unseen_values(spark):
+    from creditloom.plans.column_schema import AUTO, ColumnSpec
+    from creditloom.plans.feature_table import encode
+
+    train = spark.createDataFrame([(None,)] * 9 + [("a",)] * 8 + [("lonely",)], "v string")
+    specs = [ColumnSpec("v", labels=AUTO, methods=["grouped", "frequency"]), ColumnSpec("label", labels_from="v")]
+    direct = {r.v: r.label for r in encode(train, specs).collect()}
+    new = spark.createDataFrame([(None,), ("a",), ("lonely",), ("never seen",)], "v string")
+    frozen = {r.v: r.label for r in encode(new, freeze_labels(train, specs)).collect()}
+    assert {v: frozen[v] for v in direct} == direct and frozen["never seen"] == direct["lonely"]
+    plain = freeze_labels(train, [ColumnSpec("v", labels=AUTO, methods=["frequency"]), specs[1]])
+    assert {r.v: r.label for r in encode(new, plain).collect()}["never seen"] == -1
+    many = spark.range(3000).selectExpr("cast(id as string) v")
+    assert encode(many, freeze_labels(many, [ColumnSpec("v", labels=AUTO, methods=["frequency"]), specs[1]])).select("label").distinct().count() == 3000

@@ -84,3 +84,15 @@ def test_cascade(spark, easy, tmp_path):
     assert '"predicted_class"' in text
     more = C.add_phase_probabilities(train, model.status, "status")
     assert {"status_p0", "status_p1"} <= set(more.columns)
+
+
+def test_search_spaces_and_notes():
+    from creditloom.operators.candidates import planned_candidates, search_size
+    from creditloom.plans.model_stages import SEARCH_VALUES, parameter_notes
+
+    assert [search_size(search_space(m)) for m in SEARCH_VALUES] == [28, 24, 23, 33, 33, 30]
+    assert sum(planned_candidates(search_space(m), 0.1) for m in SEARCH_VALUES) == 20
+    assert parameter_notes({"reg_alpha": 0.1, "reg_lambda": 0, "max_depth": 40}) == ["reg_alpha=0.1 has no counterpart", "depth 40 becomes 30"]
+    assert PipelineConfig.from_candidate({"smote__min_improvement": 0.2}).min_improvement == 0.2
+    with pytest.raises(ValueError):
+        make_classifier("LGBMClassifier", 2, {"learnig_rate": 0.1})
