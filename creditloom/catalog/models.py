@@ -14,7 +14,7 @@ from creditloom.operators.feature_scores import importance_table
 from creditloom.operators.metrics import classification_report, log_loss
 from creditloom.operators.sizing import checkpoint_dir, settle
 from creditloom.plans import cascade as C
-from creditloom.plans.calibration import calibrate
+from creditloom.plans.calibration import _calibrate, calibrate
 from creditloom.plans.column_schema import default_schema, resolve_roles
 from creditloom.plans.feature_table import feature_table, freeze_labels
 from creditloom.plans.model_search import Task, fit_candidate, search
@@ -155,7 +155,83 @@ def stream_balance(spark, sf):
     return jobs.current_balance(spark, out).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "label", "n_rows")
 
 
+CURVES = [(2.5, -1.0), (-0.5, 0.25), (4.0, -2.0)]
+
+
+def calibration_formula(spark, sf):
+    """Fixed sigmoids on given class scores: three classes, and the two-class form."""
+    p = F.array(*[F.col(c) for c in ("l_discount", "l_tax")], F.lit(1.0) - F.col("l_discount") - F.col("l_tax"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", _calibrate(p, CURVES).alias("c"),
+                                             _calibrate(F.array(1 - F.col("l_discount"), F.col("l_discount")), CURVES[:1]).alias("d"))
+    return li.select("l_orderkey", "l_linenumber", *[F.round(F.get("c", i), 9).alias(f"c{i}") for i in range(3)],
+                     *[F.round(F.get("d", i), 9).alias(f"d{i}") for i in range(2)])
+
+
+CALIBRATION_SQL = """
+with s as (select l_orderkey, l_linenumber, 1 / (1 + exp(-(2.5 * l_discount - 1.0))) a, 1 / (1 + exp(-(-0.5 * l_tax + 0.25))) b,
+  1 / (1 + exp(-(4.0 * (1 - l_discount - l_tax) - 2.0))) c from lineitem)
+select l_orderkey, l_linenumber, round(a / (a + b + c), 9) c0, round(b / (a + b + c), 9) c1, round(c / (a + b + c), 9) c2,
+  round(1 - a, 9) d0, round(a, 9) d1 from s
+"""
+
+
+def majority_votes(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 3).alias("a"),
+                                             (F.col("l_suppkey") % 3).alias("b"), (F.col("l_linenumber") % 3).alias("c"))
+    return majority_vote(li, ["a", "b", "c"]).select("l_orderkey", "l_linenumber", "prediction")
+
+
+VOTES_SQL = """
+with v as (select l_orderkey, l_linenumber, l_partkey % 3 a, l_suppkey % 3 b, l_linenumber % 3 c from lineitem)
+select l_orderkey, l_linenumber, (case when a = b or a = c then a when b = c then b else least(a, b, c) end)::int prediction from v
+"""
+
+
+class Given:
+    """A phase whose prediction and probabilities are columns already there."""
+
+    def __init__(self, classes, prediction, probability):
+        self.classes, self.prediction, self.probability = classes, prediction, probability
+
+    def transform(self, df, prefix=""):
+        return df.withColumns({f"{prefix}prediction": self.prediction, f"{prefix}probability": self.probability})
+
+
+def cascade_rule(spark, sf):
+    """Decisions from given predictions: names, and no tier unless approved."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("record_id"), "o_custkey")
+    share = (F.col("o_custkey") % 10) / 10
+    status = Given([0, 1], (F.col("record_id") % 2).cast("int"), F.array(1 - share, share))
+    tier = Given([0, 1, 2], (F.col("record_id") % 3).cast("int"), F.array(share / 2, share / 2, 1 - share))
+    out = C.Cascade(status, tier).decisions(o)
+    return out.select("record_id", F.col("status_prediction.predicted_class").alias("status"), F.col("tier_prediction.predicted_tier").alias("tier"),
+                      F.round(F.col("status_prediction.probabilities")["declined"], 6).alias("p_declined"),
+                      F.round(F.col("tier_prediction.probabilities")["Tier 3"], 6).alias("p_tier_3"))
+
+
+CASCADE_SQL = """
+select o_orderkey record_id, case when o_orderkey % 2 = 0 then 'approved' else 'declined' end as status,
+  case when o_orderkey % 2 = 0 then 'Tier ' || (o_orderkey % 3 + 1) end tier, round((o_custkey % 10) / 10, 6) p_declined,
+  case when o_orderkey % 2 = 0 then round(1 - (o_custkey % 10) / 10, 6) end p_tier_3 from orders
+"""
+
+
+def cascade_invariants(spark, sf):
+    """A trained cascade over all records: rows scored, probabilities that sum to one, tiers only where approved."""
+    model, features, _ = _trained(spark, sf)
+    s = model.score(features)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    approved = F.col("status_prediction") == 0
+    return s.agg(F.count("*").alias("n_rows"), F.count_if(F.abs(total("status_probability") - 1) < 1e-9).alias("n_status_sums"),
+                 F.count_if(F.when(approved, F.abs(total("tier_probability") - 1) < 1e-9).otherwise(F.col("tier_probability").isNull())).alias("n_tier_sums"),
+                 F.count_if(approved == F.col("tier_prediction").isNotNull()).alias("n_tier_rule"))
+
+
 QUERIES = {
+    "calibration_formula": (calibration_formula, CALIBRATION_SQL),
+    "majority_votes": (majority_votes, VOTES_SQL),
+    "cascade_rule": (cascade_rule, CASCADE_SQL),
+    "cascade_invariants": (cascade_invariants, "select count(*) n_rows, count(*) n_status_sums, count(*) n_tier_sums, count(*) n_tier_rule from orders"),
     "importance_select": (importance_select, None),
     "train_status": (train_status, None),
     "balanced_training": (balanced_training, BALANCED_SQL),
