@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from creditloom.functions.hashing import index_draw, unit_draw
 from creditloom.operators.nearest import nearest_in_group
-from creditloom.operators.sizing import join_small, measured, settle
+from creditloom.operators.sizing import join_small, settle
 from creditloom.operators.splits import rank_cuts, with_cuts
 
 COPIES_PER_TASK = 10_000
@@ -36,7 +36,7 @@ def minority_share(df: DataFrame, label: str) -> DataFrame:
 
 def class_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
     """Add rows / (classes * rows of the class), the 'balanced' weight."""
-    counts, _ = measured(df.groupBy(label).agg(F.count("*").alias("_k")))
+    counts = settle(df.groupBy(label).agg(F.count("*").alias("_k")))
     total, classes = counts.agg(F.sum("_k"), F.count("*")).first()
     table = counts.select(label, (F.lit(float(total or 0)) / (F.lit(classes) * F.col("_k"))).alias(weight))
     return join_small(df, table, label)
@@ -92,7 +92,7 @@ def _synthetic_base(df, label, id_col, num_cols, cat_cols, k, seed, penalty):
     rows, most = _copies(df, label, id_col, seed)
     wanted = rows.where(F.col("_copies") > 0)
     # Only classes that grow need neighbours; all their rows are candidates.
-    grow, _ = measured(wanted.select(label).distinct())
+    grow = settle(wanted.select(label).distinct())
     members = join_small(df, grow, label, "left_semi")
     near = nearest_in_group(members, id_col, label, num_cols, k, cat_cols, penalty)
     base = near.join(wanted.select(id_col, "_copies"), id_col).where(F.size("neighbours") > 0)
@@ -226,7 +226,7 @@ def resampling_summary(before: DataFrame, after: DataFrame, label: str) -> DataF
         .unionByName(after.select(label, F.lit(0).alias("_b"), F.lit(1).alias("_a")))
         .groupBy(label).agg(F.sum("_b").alias("n_before"), F.sum("_a").alias("n_after"))
     )
-    counts, _ = measured(both)
+    counts = settle(both)
     nb, na = counts.agg(F.sum("n_before"), F.sum("n_after")).first()
     return counts.select(
         label, "n_before", "n_after", (F.col("n_after") - F.col("n_before")).alias("n_added"),

@@ -1,4 +1,4 @@
-"""Small-table handling: broadcast only what has been measured, cut lineage on shared storage."""
+"""Small-table handling by measured bytes, and cutting lineage on shared storage."""
 
 from __future__ import annotations
 
@@ -6,31 +6,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-SMALL_ROWS = 20_000
 
-
-def measured(small: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
-    """The table as local data when it has at most ``max_rows`` rows, else untouched.
-
-    At most ``max_rows + 1`` rows reach the driver, whatever the table's size.
-    """
-    rows = small.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return small, False
-    return small.sparkSession.createDataFrame(rows, small.schema), True
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
-               max_rows: int = SMALL_ROWS) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
     """Join with a side that is usually tiny.
 
-    A measured-small side is broadcast, so the big side is not shuffled. Beyond the limit it is
-    an ordinary join and AQE splits skewed keys.
+    The small side is settled first, so the planner knows its size in bytes: it is sent to every
+    task if that is below the session's broadcast limit, and the big side is then not shuffled.
+    Otherwise it is an ordinary join and AQE splits skewed keys. No row passes through the driver.
     """
-    local, is_small = measured(small, max_rows)
-    return big.join(F.broadcast(local) if is_small else local, on, how)
+    return big.join(settle(small), on, how)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -8,6 +8,7 @@ however large one stratum is.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from creditloom.functions.hashing import draw_hex
-from creditloom.operators.sizing import join_small, measured
+from creditloom.operators.sizing import join_small, settle
+
+
+BUCKET_ROWS = 10_000
 
 
 def _keyed(df: DataFrame, strata: Sequence[str], id_col: str, seed) -> DataFrame:
@@ -27,13 +31,17 @@ def _keyed(df: DataFrame, strata: Sequence[str], id_col: str, seed) -> DataFrame
 
 
 def rank_cuts(df: DataFrame, strata: Sequence[str], id_col: str, seed,
-              ranks: Callable[[Column], list[Column]], hex_digits: int = 3) -> DataFrame:
+              ranks: Callable[[Column], list[Column]], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Per stratum: its size ``_n`` and ``_cuts``, the (hash, id) found at each requested rank.
 
     ``ranks`` gets the stratum size and returns 1-based rank columns; a rank of 0 has no row
     and is left out. Result: one row per stratum.
     """
-    rows = _keyed(df, strata, id_col, seed).withColumn("_b", F.substring("_h", 1, hex_digits))
+    keyed = settle(_keyed(df, strata, id_col, seed))
+    largest = keyed.groupBy("_s").agg(F.count("*").alias("_k")).agg(F.max("_k")).first()[0] or 0
+    # As many hash digits as keep a bucket of the largest stratum near ``bucket_rows`` rows.
+    digits = max(1, math.ceil(math.log(max(1, largest / bucket_rows), 16)))
+    rows = keyed.withColumn("_b", F.substring("_h", 1, digits))
     upto = W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     counts = (
         rows.groupBy("_s", "_b").agg(F.count("*").alias("_k"))
@@ -51,8 +59,7 @@ def rank_cuts(df: DataFrame, strata: Sequence[str], id_col: str, seed,
         ).alias("_want"),
     )
     sizes = hits.groupBy("_s").agg(F.max("_n").alias("_n"))
-    hits, _ = measured(hits.where(F.size("_want") > 0))
-    border = join_small(rows, hits, ["_s", "_b"], "inner")
+    border = join_small(rows, hits.where(F.size("_want") > 0), ["_s", "_b"], "inner")
     place = F.row_number().over(W.partitionBy("_s", "_b").orderBy("_h", "_id")) + F.col("_before")
     found = (
         border.withColumn("_r", place)
