@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import bytes_of, id_text, slices
+from creditloom.llm.common import bytes_of, id_text, no_cycle_search, slices
 from creditloom.llm.graph import components, thin_links
 from creditloom.llm.words import mixed
 from creditloom.operators.sizing import settle
@@ -57,7 +57,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            fps = [text_fingerprint(t, words) for t in bytes_of(part)]
+            with no_cycle_search():
+                fps = [text_fingerprint(t, words) for t in bytes_of(part)]
             yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(fps, pa.int64())], ["_id", "fp"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "_id long, fp long")
@@ -255,7 +256,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            fps = [majority(np.column_stack((h, mixed(h)))) for h in (np.unique(shingle_hashes(t, words)) for t in bytes_of(part))]
+            with no_cycle_search():
+                fps = [majority(np.column_stack((h, mixed(h)))) for h in (np.unique(shingle_hashes(t, words)) for t in bytes_of(part))]
             fps = np.array(fps, dtype="<u8").reshape(-1, 2).view("<i8")
             yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(fps[:, 0]), pa.array(fps[:, 1])], names)
 

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import RecentCache, id_text, slices, texts_of, worker_cache
+from creditloom.llm.common import RecentCache, id_text, no_cycle_search, slices, texts_of, worker_cache
 
 FREQUENT = 32_768
 PER_TASK = 8_192
 LONGEST_KEY = 64
-CACHED = 400_000
+CACHED = 300_000
 
 _SLOW = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
@@ -70,8 +70,9 @@ def frequent_lengths(docs: DataFrame, text_col: str, model_path: str, frequent:
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for part in slices(batches):
-            for text in texts_of(part):
-                seen.update(pre_tokens(text))
+            with no_cycle_search():
+                for text in texts_of(part):
+                    seen.update(pre_tokens(text))
             if len(seen) > 16 * per_task:
                 seen = Counter(dict(seen.most_common(4 * per_task)))
         top = [(k, n) for k, n in seen.most_common(per_task) if len(k) <= LONGEST_KEY]
@@ -98,15 +99,16 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         recent = worker_cache("lengths").setdefault(model_path, RecentCache(CACHED, LONGEST_KEY))
         for part in slices(batches):
             sizes, counts = [], []
-            for text in texts_of(part):
-                keys = pre_tokens(text)
-                got = list(map(frequent_ones.get, keys))
-                total = sum(filter(None, got))
-                if None in got:
-                    rest = [k for k, n in zip(keys, got) if n is None]
-                    total += sum(recent.look_up(rest, lambda missed: lengths_of(sp, missed)))
-                sizes.append(len(text.encode()))
-                counts.append(total)
+            with no_cycle_search():
+                for text in texts_of(part):
+                    keys = pre_tokens(text)
+                    got = list(map(frequent_ones.get, keys))
+                    total = sum(filter(None, got))
+                    if None in got:
+                        rest = [k for k, n in zip(keys, got) if n is None]
+                        total += sum(recent.look_up(rest, lambda missed: lengths_of(sp, missed)))
+                    sizes.append(len(text.encode()))
+                    counts.append(total)
             yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()),
                                               pa.array([n > limit for n in counts], pa.bool_())],
                                              ["doc_id", "n_bytes", "n_tokens", "over_limit"])

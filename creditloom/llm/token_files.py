@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import RecentCache, bytes_of, id_text, slices, worker_cache
+from creditloom.llm.common import RecentCache, bytes_of, id_text, no_cycle_search, slices, worker_cache
 from creditloom.llm.files import read_files, write_files
 from creditloom.operators.scans import prefix_scan
 
@@ -35,7 +35,7 @@ SKIPPABLE, SEEK_FRAME, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x80
 CLOSING = (0x8F92EAB1).to_bytes(4, "little")
 
 SHARD_BYTES = 8 << 20
-CACHED = 600_000
+CACHED = 300_000
 LONGEST_KEY = 64
 
 
@@ -168,8 +168,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None = 2
             return pa.RecordBatch.from_arrays([pa.array([shard_bytes(part, number, ids, frames, sizes, sums)], pa.binary())], ["shard"])
 
         for piece in slices(batches):
-            for i, text in zip(piece.column("_id").to_pylist(), bytes_of(piece)):
-                raw = encode_text(t, known, text) + end
+            with no_cycle_search():
+                encoded = [encode_text(t, known, text) + end for text in bytes_of(piece)]
+            for i, raw in zip(piece.column("_id").to_pylist(), encoded):
                 frame = pack.compress(raw)
                 ids.append(i)
                 frames.append(frame)
