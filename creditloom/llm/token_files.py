@@ -16,7 +16,6 @@ Files are ordinary input for zstandard tools: decompressed whole they give all i
 from __future__ import annotations
 
 import os
-import re
 import struct
 from collections.abc import Iterator
 
@@ -37,6 +36,7 @@ CLOSING = (0x8F92EAB1).to_bytes(4, "little")
 SHARD_BYTES = 8 << 20
 CACHED = 300_000
 LONGEST_KEY = 64
+AT_ONCE = 2048  # words of letters per call of the tokenizer
 
 
 def tokenizer(path: str):
@@ -51,44 +51,46 @@ def tokenizer(path: str):
         t = Tokenizer.from_file(path)
         probe = "Ab's  <c \t1\n,d e, F's. g-H. \u00c9\u0301x."
         whole = t.encode(probe, add_special_tokens=False).ids
-        if whole != [i for w in text_words(probe.encode()) for i in t.encode(w.decode(), add_special_tokens=False).ids]:
+        if np.array(whole, dtype="<u4").tobytes() != b"".join(encode_words(t, text_words(probe.encode()))):
             raise ValueError("this tokenizer does not encode words one by one")
         cache[path] = t
     return cache[path]
 
 
-_ENDING = re.compile(rb"(?<=[a-z])[,.](?=[ \n]|$)")
-
-
 def text_words(text: bytes) -> list[bytes]:
     """The words of a text in a form that many share; what may be a special token stays as it is."""
-    if b"<|" in text:
-        return text.split()
-    return _ENDING.sub(rb" \g<0>", text.lower()).split()
+    return (text if b"<|" in text else text.lower()).split()
+
 
+def stem_of(word: bytes) -> bytes:
+    """The word without a comma or full stop after an ASCII letter at its end."""
+    return word[:-1] if word[-1:] in (b",", b".") and word[-2:-1].isalpha() else word
 
-def encode_words(t, words: list[bytes]) -> list[bytes]:
-    """Ids of each word as little-endian u32.
 
-    Words of letters alone are encoded in one go, as each of them ends at the next token that ends a
-    word. Should the count not come out (a letter may turn into two), and for all other words, each
-    word is encoded by itself.
+def encode_words(t, words: list[bytes], known: dict[bytes, bytes] | None = None) -> list[bytes]:
+    """Ids of each word as little-endian u32; ``known`` may hold those of some stems.
+
+    A comma or full stop at a word's end is a token of its own. Words of letters alone are encoded in
+    one go, as each of them ends at the next token that ends a word. Should the count not come
+    out (a letter may turn into two), and for all other words, each word is encoded by itself.
     """
-    texts = [w.decode() for w in words]
-    plain = [k for k, x in enumerate(texts) if x.isalpha()]
-    out: list = [None] * len(words)
-    if plain:
-        ids = np.array(t.encode_batch_fast([" ".join([texts[k] for k in plain])], add_special_tokens=False)[0].ids, dtype="<u4")
+    stems = [stem_of(w) for w in words]
+    found = {w: known[w] for w in stems if known and w in known}
+    rest = [w for w in dict.fromkeys([*stems, b",", b"."]) if w not in found]
+    texts = {w: w.decode() for w in rest}
+    letters = [w for w in rest if texts[w].isalpha()]
+    for at in range(0, len(letters), AT_ONCE):
+        plain = letters[at: at + AT_ONCE]
+        ids = np.array(t.encode_batch_fast([" ".join([texts[w] for w in plain])], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.nonzero(word_ends(t)[ids])[0] + 1
         if len(ends) == len(plain) and ends[-1] == len(ids):
-            raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-            for n, k in enumerate(plain):
-                out[k] = raw[at[n]: at[n + 1]]
-    rest = [k for k, x in enumerate(out) if x is None]
+            raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            found.update((w, raw[a:b]) for w, a, b in zip(plain, cuts, cuts[1:]))
+    rest = [w for w in rest if w not in found]
     if rest:
-        for k, e in zip(rest, t.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
-            out[k] = struct.pack(f"<{len(e)}I", *e.ids)
-    return out
+        for w, e in zip(rest, t.encode_batch_fast([texts[w] for w in rest], add_special_tokens=False)):
+            found[w] = struct.pack(f"<{len(e)}I", *e.ids)
+    return [found[s] if len(s) == len(w) else found[s] + found[w[-1:]] for s, w in zip(stems, words)]
 
 
 def word_ends(t) -> np.ndarray:
@@ -102,9 +104,15 @@ def word_ends(t) -> np.ndarray:
     return cache[id(t)]
 
 
-def encode_text(t, known: RecentCache, text: bytes) -> bytes:
-    """Ids of a whole text; ``known`` keeps the words met lately."""
-    return b"".join(known.look_up(text_words(text), lambda words: encode_words(t, words)))
+def encode_texts(t, known: RecentCache, texts: list[bytes]) -> list[bytes]:
+    """Ids of whole texts; ``known`` keeps the words met lately, the rest of all texts is encoded at once."""
+    words = [text_words(text) for text in texts]
+    got = known.look_up([w for some in words for w in some], lambda new: encode_words(t, new, known.young))
+    out, at = [], 0
+    for some in words:
+        out.append(b"".join(got[at: at + len(some)]))
+        at += len(some)
+    return out
 
 
 def shard_bytes(part: int, number: int, ids: list[int | None], frames: list[bytes], sizes: list[int], sums: list[int]) -> bytes:
@@ -146,7 +154,7 @@ def read_frame(data: bytes, row: np.ndarray) -> bytes:
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None = 2, id_col: str = "doc_id",
-                 text_col: str = "text", shard_bytes_most: int = SHARD_BYTES, level: int = 3) -> None:
+                 text_col: str = "text", shard_bytes_most: int = SHARD_BYTES, level: int = 1) -> None:
     """Encode every text, append ``end_id`` and write shards in ascending id order.
 
     Null texts count as empty. Rows with equal ids follow each other ordered by text; null ids come
@@ -169,7 +177,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None = 2
 
         for piece in slices(batches):
             with no_cycle_search():
-                encoded = [encode_text(t, known, text) + end for text in bytes_of(piece)]
+                encoded = [raw + end for raw in encode_texts(t, known, bytes_of(piece))]
             for i, raw in zip(piece.column("_id").to_pylist(), encoded):
                 frame = pack.compress(raw)
                 ids.append(i)

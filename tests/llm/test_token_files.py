@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from creditloom.llm.common import RecentCache
 from creditloom.llm.files import read_files, run_folder
 from creditloom.llm.queries import token_file_digests
-from creditloom.llm.token_files import CLOSING, encode_text, open_shard, read_frame, read_tokens, tokenizer, write_tokens
+from creditloom.llm.token_files import CLOSING, encode_texts, open_shard, read_frame, read_tokens, tokenizer, write_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WHOLE = Tokenizer.from_file(PATH)
@@ -72,5 +72,6 @@ def test_empty_table(spark):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("abZ'st,.<|> \n\té́É1🦙")) | st.characters(codec="utf-8"), max_size=40))
 def test_words_one_by_one(text):
-    raw = encode_text(tokenizer(PATH), RecentCache(10, 8), text.encode())
-    assert np.frombuffer(raw, dtype="<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+    first, second = encode_texts(tokenizer(PATH), RecentCache(10, 8), [text.encode(), b"x. " + text.encode()])
+    assert np.frombuffer(second, dtype="<u4").tolist() == WHOLE.encode("x. " + text, add_special_tokens=False).ids
+    assert np.frombuffer(first, dtype="<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
