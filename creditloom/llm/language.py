@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,12 +53,15 @@ def letter_table(texts: list[str]) -> np.ndarray:
 def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letter classes of the texts behind each other, with one 0 for each run of other characters;
     the symbols and the letters of each text."""
+    if not texts:
+        return np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     ends = np.cumsum([len(t) + 1 for t in texts])
     classes = table[np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), dtype="<u4")]
     keep = classes > 0
-    letters = np.diff(np.concatenate(([0], np.cumsum(keep))) [np.concatenate(([0], ends))])
+    starts = np.concatenate(([0], ends[:-1]))
+    letters = np.add.reduceat(keep, starts, dtype=np.int64)
     keep[1:] |= classes[:-1] > 0
-    sizes = np.diff(np.concatenate(([0], np.cumsum(keep)))[np.concatenate(([0], ends))])
+    sizes = np.add.reduceat(keep, starts, dtype=np.int64)
     return classes[keep], sizes, letters
 
 
@@ -184,6 +188,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
         langs = list(known["tables"])
+        if keep_row:  # the text is in the row already and need not travel twice
+            batches = (b.append_column("_text", pc.struct_field(b.column("row"), text_col).cast(pa.string())) for b in batches)
         for part in slices(batches):
             rate, letters = rates(texts_of(part), known)
             if langs:
@@ -201,8 +207,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             ], names)
 
     whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    rows_in = docs.select(F.col(id_col).cast("long").alias("_id"), held_out(id_col).alias("_held"), F.col(text_col).cast("string").alias("_text"),
-                          *([whole] if keep_row else []))
+    rows_in = docs.select(F.col(id_col).cast("long").alias("_id"), held_out(id_col).alias("_held"),
+                          whole if keep_row else F.col(text_col).cast("string").alias("_text"))
     types = T.StructType.fromDDL("doc_id long, held_out boolean, lang_pred string, score double, rate double")
     names = types.names + ["row"] * keep_row
     return rows_in.mapInArrow(run, types.add(rows_in.schema["row"]) if keep_row else types)
