@@ -33,11 +33,12 @@ LAST_MEMBER = gzip.compress(b"", mtime=0)
 CLOSING = LAST_MEMBER[-8:]
 
 FILE_BYTES = 8 << 20
+GZIP_LEVEL = 4
 LEAST_PAYLOAD = 100
 
 
 def member(data: bytes) -> bytes:
-    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    pack = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
     return pack.compress(data) + pack.flush()
 
 
