@@ -36,7 +36,6 @@ CLOSING = (0x8F92EAB1).to_bytes(4, "little")
 SHARD_BYTES = 8 << 20
 CACHED = 300_000
 LONGEST_KEY = 64
-AT_ONCE = 2048  # words of letters per call of the tokenizer
 
 
 def tokenizer(path: str):
@@ -78,9 +77,8 @@ def encode_words(t, words: list[bytes], known: dict[bytes, bytes] | None = None)
     found = {w: known[w] for w in stems if known and w in known}
     rest = [w for w in dict.fromkeys([*stems, b",", b"."]) if w not in found]
     texts = {w: w.decode() for w in rest}
-    letters = [w for w in rest if texts[w].isalpha()]
-    for at in range(0, len(letters), AT_ONCE):
-        plain = letters[at: at + AT_ONCE]
+    plain = [w for w in rest if texts[w].isalpha()]
+    if plain:
         ids = np.array(t.encode_batch_fast([" ".join([texts[w] for w in plain])], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.nonzero(word_ends(t)[ids])[0] + 1
         if len(ends) == len(plain) and ends[-1] == len(ids):
