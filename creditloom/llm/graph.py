@@ -24,15 +24,6 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     return out.distinct()
 
 
-def thin_links(edges: DataFrame) -> DataFrame:
-    """Fewer links that connect the same nodes, for links in which each ``u`` stands a bounded number
-    of times: the ``v`` of a node are linked to the least of them, where they meet those of others."""
-    per = edges.where("u != v").groupBy("u").agg(F.collect_set("v").alias("_v"))
-    least = F.array_min("_v")
-    star = F.transform(F.array_append("_v", F.col("u")), lambda x: F.struct(x.alias("u"), least.alias("v")))
-    return per.select(F.explode(star).alias("e")).select("e.u", "e.v").where("u != v").distinct()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges(u, v)``; the root is the least node reachable.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm.common import bytes_of, id_text, no_cycle_search, slices
-from creditloom.llm.graph import components, thin_links
+from creditloom.llm.graph import components
 from creditloom.llm.words import mixed
 from creditloom.operators.sizing import settle
 
@@ -88,17 +88,18 @@ def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def within_radius(values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of fingerprints (rows of 64-bit words) that differ in at most ``radius`` bits."""
+def near_blocks(values: np.ndarray, radius: int, asked: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of fingerprints (rows of 64-bit words) that differ in at most ``radius`` bits,
+    some hundred i at a time and in their order; just those with i below ``asked``, if it is given."""
     n, planes_of = len(values), values.shape[1] * 64
     lanes = -(-n // 64) * 64
     bits = np.zeros((planes_of, lanes), dtype=np.uint8)
     bits[:, :n] = np.unpackbits(np.ascontiguousarray(values).view(np.uint8), axis=1, bitorder="little").T
     planes = np.packbits(bits, axis=1, bitorder="little").view("<u8")
     later = np.arange(lanes)
-    left, right = [], []
-    for at in range(0, n, BLOCK):
-        rows = np.arange(at, min(at + BLOCK, n))
+    asked = n if asked is None else asked
+    for at in range(0, asked, BLOCK):
+        rows = np.arange(at, min(at + BLOCK, asked))
         ask = (np.uint64(0) - bits[:, rows].astype("<u8"))[:, :, None]
         first = at // 64  # only later lanes are asked for
         # A lane is lost once its counter is above the radius; earlier lanes and the own one start lost.
@@ -115,9 +116,13 @@ def within_radius(values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray,
                     break
         else:
             i, j = np.nonzero(np.unpackbits((~lost).view(np.uint8), axis=1, bitorder="little"))
-            left.append(i + at)
-            right.append(j + first * 64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+            yield i + at, j + first * 64
+
+
+def within_radius(values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs of ``near_blocks``."""
+    found = list(near_blocks(values, radius))
+    return (np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])) if found else (np.zeros(0, int), np.zeros(0, int))
 
 
 def _spanning(values: np.ndarray, names: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +228,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # ---- Groups by similarity of five-word shingles, for stages that drop near copies.
 
-WIDE_WORDS, WIDE_SIMILARITY, KEYS, KEY_BITS, MORE_KEYS, MORE_BITS, WIDE_BUCKET = 5, 0.8, 80, 16, 8, 8, 4096
+WIDE_WORDS, WIDE_SIMILARITY, KEYS, KEY_BITS, WIDE_BUCKET = 5, 0.8, 80, 16, 4096
+FEW, PIVOTS, BINS = 32, 64, 128
 
 
 def wide_radius(similarity: float, bits: int = 128) -> int:
@@ -233,6 +239,13 @@ def wide_radius(similarity: float, bits: int = 128) -> int:
     return int(np.ceil(bits * share + 2 * np.sqrt(bits * share * (1 - share))))
 
 
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """128-bit SimHash of a set of hashes, sorted. Where as many hashes have a bit as lack it, the least
+    hash decides, so that the fingerprints of short texts do not lean to zero."""
+    both = np.column_stack((h, mixed(h)))
+    return majority(both if len(h) % 2 else np.concatenate((both, both[:1])))
+
+
 def _pick(words: np.ndarray, places: np.ndarray) -> np.ndarray:
     """The bits of fingerprints at ``places``, a row of places per key, as numbers."""
     out = np.zeros((len(words), len(places)), dtype=np.int64)
@@ -242,60 +255,227 @@ def _pick(words: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
+def _not_met_before(a: np.ndarray, b: np.ndarray, way: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Which pairs of fingerprints agree on no key before ``way``: there each pair counts once."""
+    x, keep = a ^ b, np.ones(len(a), dtype=bool)
+    for k in range(int(way.max(initial=0))):
+        keep &= (way <= k) | ((x & masks[k]) != 0).any(axis=1)
+    return keep
+
+
+def _bounded(hist: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs may reach the similarity: sets share at most the sum of the lesser counts per bin."""
+    out = np.ones(len(i), dtype=bool)
+    for at in range(0, len(i), 8192):
+        a, b = hist[i[at: at + 8192]], hist[j[at: at + 8192]]
+        most, total = np.minimum(a, b).sum(axis=1, dtype=np.int64), a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64)
+        out[at: at + 8192] = most >= similarity * (total - most) - 1e-9
+    return out
+
+
+def bucket_pairs(rows: DataFrame, radius: int, similarity: float, masks: np.ndarray, final: bool) -> DataFrame:
+    """Candidate pairs ``u, v`` within the radius in the same ``(way, key, a, b)``, whose sizes allow
+    the similarity. Rows have ``own``, their block; where a and b differ, blocks are compared with
+    each other only.
+
+    At first (not ``final``) large buckets give for each row just its first partner in the order of
+    names, and a row ``way, key, a, b`` without a pair that says more were there. ``final`` rows have
+    ``comp`` and ``hist``: all pairs of different components are given that the histograms allow.
+    """
+    keys = ["way", "key", "a", "b"]
+
+    def found(group: np.ndarray, start: np.ndarray, data: dict) -> Iterator[pa.RecordBatch]:
+        fp = np.column_stack((data["f0"], data["f1"])).view(np.uint64)
+        name, n, own, cross = data["node"], data["n"], data["own"], group[:, 2] != group[:, 3]
+        of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(fp))))
+        size = np.bincount(of)
+        large = size > (0 if final else FEW)
+        met, more, asked = np.zeros(len(fp), dtype=bool), np.zeros(len(start), dtype=bool), len(fp)
+        if final:  # rows of the commonest component need not be compared with each other
+            comps, at, count = np.unique(data["comp"], return_inverse=True, return_counts=True)
+            order = np.argsort(at == count.argmax(), kind="stable")
+            asked = len(fp) - int(count.max()) if len(start) == 1 else len(fp)
+            if len(start) > 1:
+                order = np.arange(len(fp))
+            fp, name, n, own, of, at = (x[order] for x in (fp, name, n, own, of, at))
+            hist = np.stack([np.frombuffer(x, dtype="<u4") if x is not None else np.zeros(BINS, dtype="<u4") for x in (data["hist"][k] for k in order)])
+            blank = ~hist.any(axis=1)
+        for i, j in near_blocks(fp, radius, asked):
+            ok = (of[i] == of[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+            ok &= ~cross[of[i]] | (own[i] != own[j])
+            if final:
+                ok &= at[i] != at[j]
+            i, j = i[ok], j[ok]
+            if final:
+                ok = _not_met_before(fp[i], fp[j], group[of[i], 0], masks)
+                i, j = i[ok], j[ok]
+                ok = _bounded(hist, i, j, similarity) | blank[i] | blank[j]
+            else:
+                ok = np.zeros(len(i), dtype=bool)
+                many = np.nonzero(large[of[i]])[0]
+                few = np.nonzero(~large[of[i]])[0]
+                ok[few] = _not_met_before(fp[i[few]], fp[j[few]], group[of[i[few]], 0], masks)
+                firsts = many[np.unique(j[many], return_index=True)[1]]
+                firsts = firsts[~met[j[firsts]]]
+                ok[firsts] = True
+                met[j[firsts]] = True
+                more[of[i[many[~ok[many]]]]] = True
+            i, j = i[ok], j[ok]
+            for s in range(0, len(i), 1 << 16):
+                u, v = name[j[s: s + (1 << 16)]], name[i[s: s + (1 << 16)]]
+                none = pa.nulls(len(u), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), none, none, none, none], ["u", "v", *keys])
+        said = group[more]
+        none = pa.nulls(len(said), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, *(pa.array(said[:, k]) for k in range(4))], ["u", "v", *keys])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def buckets():
+            """Whole buckets, as long as there are several rows: the key and the columns."""
+            rest = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                table = pa.Table.from_batches([batch])
+                table = table if rest is None else pa.concat_tables([rest, table])
+                key = np.column_stack([table.column(c).to_numpy() for c in keys])
+                last = int(np.nonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))[0][-1])
+                if last:
+                    yield key[:last], table.slice(0, last)
+                rest = table.slice(last)
+            if rest is not None:
+                yield np.column_stack([rest.column(c).to_numpy() for c in keys]), rest
+
+        for key, table in buckets():
+            start = np.nonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))[0]
+            size = np.diff(np.append(start, len(key)))
+            data = {c: table.column(c).to_numpy() for c in ("node", "f0", "f1", "n", "own", *(["comp"] if final else []))}
+            if final:
+                data["hist"] = np.array([*table.column("hist").to_pylist(), None], dtype=object)[:-1]
+            held, rows_held = [], 0
+            for k in np.nonzero(size > 1)[0].tolist() + [None]:
+                alone = k is None or size[k] > BLOCK
+                if held and (alone or rows_held + size[k] > BLOCK):
+                    at = np.concatenate([np.arange(start[x], start[x] + size[x]) for x in held])
+                    yield from found(key[start[held]], np.cumsum(size[held]) - size[held], {c: x[at] for c, x in data.items()})
+                    held, rows_held = [], 0
+                if k is None:
+                    break
+                held.append(k)
+                rows_held += size[k]
+                if alone:
+                    at = slice(start[k], start[k] + size[k])
+                    if not final or len(np.unique(data["comp"][at])) > 1:
+                        yield from found(key[start[[k]]], np.zeros(1, dtype=np.int64), {c: x[at] for c, x in data.items()})
+                    held, rows_held = [], 0
+
+    extra = ["comp", "hist"] if final else []
+    return (rows.select(*keys, "node", "f0", "f1", "n", "own", *extra).repartition(*keys).sortWithinPartitions(*keys, "node")
+            .mapInArrow(compare, "u long, v long, way long, key long, a long, b long"))
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``u, v`` whose sets of hashes have at least that Jaccard similarity."""
+    left, right = (sets.select(F.col("node").alias(x), F.col("h").alias(f"_{x}")) for x in ("u", "v"))
+    both = F.size(F.array_intersect("_u", "_v"))
+    return (pairs.join(right, "v").join(left, "u")
+            .where(both >= similarity * (F.size("_u") + F.size("_v") - both) - 1e-9).select("u", "v"))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS,
                    similarity: float = WIDE_SIMILARITY, keys: int = KEYS, key_bits: int = KEY_BITS, bucket: int = WIDE_BUCKET) -> DataFrame:
-    """``doc_id, component_id`` per document: groups linked by similarity of word shingles.
-
-    128-bit SimHash fingerprints of the sets of shingles link within ``wide_radius(similarity)``. Pairs meet if they agree on one
-    of ``keys`` fixed random choices of ``key_bits`` bits; buckets above ``bucket`` fingerprints are
-    split by further bits in several ways at once, so that a pair is lost in a split with a
-    chance of about one in a hundred, and meets in several buckets. Equal fingerprints are compared
-    once. Null ids are left out; texts without words are alike; repeated rows count once.
+    """``doc_id, text_hash, component_id`` per document: groups linked by similarity of word shingles.
+
+    Two documents link when the Jaccard similarity of their sets of shingle hashes is ``similarity`` or
+    more; every link is checked on the sets. Candidates are pairs whose 128-bit SimHash fingerprints are
+    within ``wide_radius(similarity)`` and agree on one of ``keys`` fixed random choices of ``key_bits``
+    bits; pairs already connected are not looked at again. Equal sets are one node. Buckets above
+    ``bucket`` nodes are compared block against block in many tasks, and the result does not depend on it.
+    ``component_id`` is the smallest id of the group, ``text_hash`` Spark's xxhash64 of the text.
+    Null ids are left out; texts without words are alike; repeated rows count once.
     """
-    names = ["doc_id", "f0", "f1"]
+    radius = wide_radius(similarity)
+    least = int(np.ceil(similarity / (1 - similarity) - 1e-9)) if similarity < 1 else 1 << 40  # smaller sets are alike only if equal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for part in slices(batches):
             with no_cycle_search():
-                fps = [majority(np.column_stack((h, mixed(h)))) for h in (np.unique(shingle_hashes(t, words)) for t in bytes_of(part))]
-            fps = np.array(fps, dtype="<u8").reshape(-1, 2).view("<i8")
-            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(fps[:, 0]), pa.array(fps[:, 1])], names)
+                sets = [np.unique(shingle_hashes(t, words)) for t in bytes_of(part)]
+                fps = np.array([wide_fingerprint(h) for h in sets], dtype="<u8").reshape(-1, 2).view("<i8")
+                node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], dtype="<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("text_hash"), pa.array(node), pa.array(fps[:, 0]), pa.array(fps[:, 1]), pa.array([len(h) for h in sets], pa.int64())],
+                                             ["doc_id", "text_hash", "node", "f0", "f1", "n"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for part in slices(batches):
+            sets = [np.unique(shingle_hashes(t, words)) for t in bytes_of(part)]
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], dtype="<u8").view("<i8")
+            hist = [np.bincount((mixed(h) >> np.uint64(57)).astype(np.int64), minlength=BINS).astype("<u4").tobytes() for h in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([h.view("<i8") for h in sets], pa.list_(pa.int64())), pa.array(hist, pa.binary())], ["node", "h", "hist"])
 
     rng = np.random.default_rng(SEED)
     base = np.array([rng.permutation(128)[:key_bits] for _ in range(keys)])
-    more = np.array([rng.permutation(128)[:MORE_BITS] for _ in range(MORE_KEYS)])
-
-    def keyed(places: np.ndarray, level: int):
-        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for at in range(0, whole.num_rows, 4096):
-                    batch = whole.slice(at, 4096)
-                    fp = np.column_stack([batch.column(c).to_numpy().view(np.uint64) for c in ("f0", "f1")])
-                    n, m = len(fp), len(places)
-                    key = _pick(fp, places).ravel()
-                    way = np.tile(np.arange(m), n)
-                    if level:  # a split: what the rows had before stays part of the key
-                        way = np.repeat(batch.column("way").to_numpy(), m) * m + way
-                        key = np.repeat(batch.column("key").to_numpy(), m) << MORE_BITS | key
-                    again = [np.repeat(batch.column(c).to_numpy(), m) for c in ("name", "f0", "f1")]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (way.astype(np.int64), key, *again)], ["way", "key", "name", "f0", "f1"])
-
-        return spread
-
-    schema = "way long, key long, name long, f0 long, f1 long"
-    marked = settle(id_text(docs, id_col, text_col).where("_id is not null").mapInArrow(run, "doc_id long, f0 long, f1 long"))
-    distinct = settle(marked.groupBy("f0", "f1").agg(F.min("doc_id").alias("name")))
-    rows, found, level = distinct.mapInArrow(keyed(base, 0), schema), None, 0
-    while True:
-        over = settle(rows.groupBy("way", "key").count().where(F.col("count") > bucket).select("way", "key"))
-        last = level == 4 or over.isEmpty()
-        fit = rows if last else rows.join(over, ["way", "key"], "left_anti")
-        got = settle(bucket_links(fit.select(F.struct("way", "key").alias("bucket"), "name", "f0", "f1"), ["f0", "f1"], wide_radius(similarity)))
-        found = got if found is None else found.union(got)
-        if last:
-            break
-        level += 1
-        rows = settle(rows.join(over, ["way", "key"], "left_semi").select("way", "key", "name", "f0", "f1").mapInArrow(keyed(more, level), schema))
-    group = components(thin_links(found))  # a name has one link per way and level at most
-    grouped = distinct.join(group, distinct["name"] == group["node"], "left").select("f0", "f1", F.coalesce("root", "name").alias("component_id"))
-    return marked.join(grouped, ["f0", "f1"]).select("doc_id", "component_id")
+    masks = np.array([[sum(1 << int(b) % 64 for b in places if b // 64 == w) for w in (0, 1)] for places in base], dtype=np.uint64)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                fp = np.column_stack([batch.column(c).to_numpy().view(np.uint64) for c in ("f0", "f1")])
+                again = [np.repeat(batch.column(c).to_numpy(), keys) for c in ("node", "f0", "f1", "n")]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.tile(np.arange(keys), len(fp)), _pick(fp, base).ravel(), *again)], ["way", "key", "node", "f0", "f1", "n"])
+
+    given = id_text(docs, id_col, text_col).where("_id is not null")
+    marked = settle(given.select("_id", "_text", F.xxhash64("_text").alias("text_hash"))
+                    .mapInArrow(run, "doc_id long, text_hash long, node long, f0 long, f1 long, n long"))
+    distinct = settle(marked.groupBy("node", "f0", "f1", "n").agg(F.min("doc_id").alias("first")))
+    rows = distinct.where(F.col("n") >= least).select("node", "f0", "f1", "n").mapInArrow(spread, "way long, key long, node long, f0 long, f1 long, n long")
+    over = settle(rows.groupBy("way", "key").count().where(F.col("count") > bucket).withColumn("blocks", F.ceil(F.col("count") / bucket)))
+    single = {c: F.lit(0).cast("long") for c in ("own", "a", "b")}
+    fit, large, split = rows.withColumns(single), None, not over.isEmpty()
+    if split:
+        # Names are hashes, so the least of them are a fair draw: these meet every block at first.
+        fit = rows.join(over, ["way", "key"], "left_anti").withColumns(single)
+        large = rows.join(over, ["way", "key"]).withColumn("own", F.pmod("node", "blocks"))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        pivot = F.col("node") < -float(1 << 63) + float(1 << 64) * PIVOTS / F.col("count")
+        own = F.explode(F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own")))
+        at_first = large.withColumn("a", own).withColumn("b", F.col("a"))
+        blocks = large.withColumn("_x", every).withColumn("a", F.least("own", "_x")).withColumn("b", F.greatest("own", "_x"))
+    columns = ["way", "key", "a", "b", "node", "f0", "f1", "n", "own"]
+    start = fit.select(columns).union(at_first.select(columns)) if split else fit.select(columns)
+    got = settle(bucket_pairs(start, radius, similarity, masks, False))
+
+    def checked(pairs: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The pairs that are alike, and the sets that are known by then."""
+        nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        nodes = settle(nodes if known is None else nodes.join(known.select("node"), "node", "left_anti"))
+        ids = settle(distinct.join(nodes, "node", "left_semi").select(F.col("first").alias("_id")).distinct())
+        sets = (given.join(ids, "_id", "left_semi").mapInArrow(spell, "node long, h array<long>, hist binary")
+                .join(nodes, "node", "left_semi").groupBy("node").agg(F.first("h").alias("h"), F.first("hist").alias("hist")))
+        sets = settle(sets)
+        sets = sets if known is None else known.union(sets)
+        return settle(alike(pairs, sets, similarity)), sets
+
+    links, sets = checked(settle(got.where("u is not null").select("u", "v").distinct()), None)
+    group = settle(components(links))
+    open_ = settle(got.where("u is null").select("way", "key", "a", "b").distinct())
+    if split or not open_.isEmpty():
+        left = fit.join(open_, ["way", "key", "a", "b"], "left_semi").select(columns)
+        if split:
+            left = left.union(blocks.select(columns))
+        comp = group.withColumnRenamed("root", "comp")
+        left = settle(left.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        mixed_up = left.groupBy("way", "key", "a", "b").agg(F.min("comp").alias("_l"), F.max("comp").alias("_m")).where("_l != _m")
+        left = left.join(mixed_up, ["way", "key", "a", "b"], "left_semi").join(sets.select("node", "hist"), "node", "left")
+        pairs = settle(bucket_pairs(left, radius, similarity, masks, True).select("u", "v").where("u is not null").distinct())
+        if not pairs.isEmpty():
+            more, _ = checked(pairs, sets)
+            group = settle(components(links.union(more)))
+    named = distinct.join(group, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked.join(named.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "text_hash", "component_id")

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from creditloom.llm.graph import components
-from creditloom.llm.simhash import near_duplicates, refine, similar_groups, wide_radius, within_radius
+from creditloom.llm.simhash import near_duplicates, refine, shingle_hashes, similar_groups, wide_radius, within_radius
 
 
 def fingerprint(text):
@@ -119,6 +119,47 @@ def test_similar_groups(spark):
     assert 20 < wide_radius(0.8) < 32
 
 
+def grouped(spark, rows, **how):
+    return {r.doc_id: r.component_id for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()}
+
+
+def jaccard(a, b):
+    a, b = (set(shingle_hashes(t.encode(), 5).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_only_checked_links(spark):
+    """Pairs below the similarity stay, however near their fingerprints are."""
+    rng = np.random.default_rng(12)
+    vocab, rows = [f"v{i}" for i in range(3000)], []
+    for g in range(40):
+        base = rng.choice(vocab, 400)
+        other = base.copy()
+        other[400 - int(rng.integers(60, 200)):] = "z"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other[: np.argmax(other == "z")]) + " " + " ".join(rng.choice(vocab, 60)))]
+    assert all(0.3 < jaccard(rows[k][1], rows[k + 1][1]) < 0.78 for k in range(0, 80, 2))
+    rows += [(1000 + i, " ".join(rng.choice(vocab, 6))) for i in range(3000)]
+    rows += [(9000 + i, "one two three four five " + w) for i, w in enumerate(vocab[:500])]
+    assert all(i == c for i, c in grouped(spark, rows).items())
+
+
+def test_result_does_not_depend_on_the_bucket(spark):
+    """A group of copies of one text, alike to it but not all to each other, and a chain."""
+    rng = np.random.default_rng(13)
+    base = rng.choice([f"v{i}" for i in range(3000)], 200)
+    rows = [(0, " ".join(base))]
+    for k in range(1, 160):
+        other = base.copy()
+        for at in rng.choice(np.arange(5, 195, 10), int(rng.integers(1, 5)), replace=False):
+            other[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(other)))
+    chain = [f"c{i}" for i in range(300)]
+    rows += [(500 + k, " ".join(chain[3 * k: 3 * k + 150])) for k in range(40)]
+    got = [grouped(spark, rows, bucket=b) for b in (4096, 40, 7)]
+    assert got[0] == got[1] == got[2]
+    assert all(got[0][k] == (0 if k < 500 else 500) for k, _ in rows)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(none).collect() == [] and similar_groups(none).collect() == []
