@@ -40,9 +40,16 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its source's target asks for: not at all, once or twice."""
-    copies = mix(docs).where("copies > 0").select("doc_id", F.expr("explode(sequence(1, copies))")).select("doc_id")
-    return docs.join(copies, "doc_id").select(*DOCUMENTS)
+    """Each document as many times as its source's target asks for: not at all, once or twice. Rows
+    without an id and rows that share one are documents of their own, told apart by hashes of all
+    their columns; rows equal in all columns are as good as each other and get the sum of their copies."""
+    nulls = [F.col(c).isNull() for c in DOCUMENTS]
+    keyed = docs.select(*DOCUMENTS, F.xxhash64(*DOCUMENTS, *nulls).alias("_k"), F.xxhash64(F.lit(1), *DOCUMENTS, *nulls).alias("_l"))
+    key = ["_k", "_l"]
+    copies = settle(mix(keyed, keep=key).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count("*").alias("_rows")).where("copies > 0"))
+    once = keyed.join(copies.where("_rows = 1"), key)
+    again = keyed.join(copies.where("_rows > 1"), key).dropDuplicates(key)
+    return once.unionByName(again).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*DOCUMENTS)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,8 +68,9 @@ def tilt(targets: DataFrame, tolerance: float = 1e-10, steps: int = 100) -> Data
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``doc_id, size, source_size, target, rate, copies, taken`` per document.
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, size, source_size, target, rate, copies, taken`` per document, and the columns ``keep``
+    (of type long), by which a caller may tell rows apart that have no id or share one.
 
     ``size`` counts words (null or empty text: 0), ``taken`` is copies times size, copies never
     exceed ``most`` rounded up. A null source is a source, ordered last. A document without words is
@@ -79,10 +80,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     sized = settle(docs.select(
         F.col(id_col).cast("long").alias("_id"), F.col(source_col).isNull().cast("int").alias("_null"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"),
-        F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+        F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep))
     sources = settle(tilt(source_targets(sized, weights, share, most)))
     tie = F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")))
-    ranked = settle(global_row_number(sized.withColumn("_tie", tie), ["_null", "_source", F.desc("size"), "_tie", "_id"], "_nth"))
+    ranked = settle(global_row_number(sized.withColumn("_tie", tie), ["_null", "_source", F.desc("size"), "_tie", "_id", *keep], "_nth"))
     first = ranked.groupBy("_null", "_source").agg(F.min("_nth").alias("_first"))
     # A source may hold a third of all documents: the few facts of each source are dealt to SALTS
     # places, so that its documents are too.
@@ -105,9 +106,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
                 copies.append(n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("_id", "size", "source_size", "target", "rate")]
-                + [pa.array(copies, pa.int64()), pa.array([n * s for n, s in zip(copies, batch.column("size").to_pylist())], pa.int64())],
-                ["doc_id", "size", "source_size", "target", "rate", "copies", "taken"])
+                + [pa.array(copies, pa.int64()), pa.array([n * s for n, s in zip(copies, batch.column("size").to_pylist())], pa.int64())]
+                + [batch.column(c) for c in keep],
+                ["doc_id", "size", "source_size", "target", "rate", "copies", "taken", *keep])
 
-    return (placed.select("_id", "_null", "_source", "_chunk", "_nth", "size", "source_size", "target", "rate")
+    return (placed.select("_id", "_null", "_source", "_chunk", "_nth", "size", "source_size", "target", "rate", *keep)
             .repartition("_null", "_source", "_chunk").sortWithinPartitions("_null", "_source", "_chunk", "_nth")
-            .mapInArrow(diffuse, "doc_id long, size long, source_size long, target double, rate double, copies long, taken long"))
+            .mapInArrow(diffuse, "doc_id long, size long, source_size long, target double, rate double, copies long, taken long" + "".join(f", {c} long" for c in keep)))

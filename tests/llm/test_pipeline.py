@@ -65,6 +65,19 @@ def test_decisions(spark, planted):
     assert {i: mixed.count(i) for i in copies} == copies
 
 
+def test_mixing_keeps_rows_without_an_id_and_repeated_ids(spark):
+    """Each source's words are what mix() counted, whatever the ids are."""
+    rows = [(None, f"no id {'w ' * k}", None, f"s{k % 2}", None) for k in range(1, 30)]
+    rows += [(7, "the same row", None, "s0", None)] * 3 + [(8, "one text", None, "s0", None), (8, "another text of this id", None, "s1", None)]
+    rows += [(9, None, "a", "s1", None), (9, "a", None, "s1", None)] + [(100 + k, "w " * k, "en", "s2", k) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out, judged = stage("source_mixing")(spark, docs, SF).collect(), mix(docs).collect()
+    for i in {r[0] for r in rows}:
+        assert sum(r.doc_id == i for r in out) == sum(r.copies for r in judged if r.doc_id == i)
+    assert len(out) == sum(r.copies for r in judged) and sum(len((r.text or "").split()) for r in out) == sum(r.taken for r in judged)
+    assert sum(r.doc_id is None for r in out) > 0 and {tuple(r) for r in out} <= set(rows)
+
+
 def test_empty_table(spark, planted):
     docs = planted.limit(0)
     for _, f in pipeline.STAGES:
