@@ -28,10 +28,14 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near-duplicates by SimHash of five-word shingles at a similarity of 0.8 or more; the smallest
-    id of a group stays. Rows without an id stay."""
-    firsts = similar_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null")).select(*DOCUMENTS)
+    id of a group stays, of rows that share it the text with the smallest hash, of rows that share the
+    text too the least by all columns. Rows of one id whose texts are in different groups all stay, as
+    do rows without an id."""
+    key = ["doc_id", "text_hash"]
+    firsts = similar_groups(docs).where("doc_id = component_id and text_hash = component_hash").select(*key).distinct()
+    hashed = docs.select(*DOCUMENTS, F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    kept = hashed.join(firsts, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*DOCUMENTS)).alias("row")).select("row.*")
+    return kept.union(docs.where("doc_id is null").select(*DOCUMENTS)).select(*DOCUMENTS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -384,14 +384,15 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS,
                    similarity: float = WIDE_SIMILARITY, keys: int = KEYS, key_bits: int = KEY_BITS, bucket: int = WIDE_BUCKET) -> DataFrame:
-    """``doc_id, text_hash, component_id`` per document: groups linked by similarity of word shingles.
+    """``doc_id, text_hash, component_id, component_hash`` per document: groups linked by similarity of word shingles.
 
     Two documents link when the Jaccard similarity of their sets of shingle hashes is ``similarity`` or
     more; every link is checked on the sets. Candidates are pairs whose 128-bit SimHash fingerprints are
     within ``wide_radius(similarity)`` and agree on one of ``keys`` fixed random choices of ``key_bits``
     bits; pairs already connected are not looked at again. Equal sets are one node. Buckets above
     ``bucket`` nodes are compared block against block in many tasks, and the result does not depend on it.
-    ``component_id`` is the smallest id of the group, ``text_hash`` Spark's xxhash64 of the text.
+    ``component_id`` is the smallest id of the group, ``text_hash`` Spark's xxhash64 of a text and
+    ``component_hash`` the smallest one of that id in the group, as rows may share an id and not the text.
     Null ids are left out; texts without words are alike; repeated rows count once.
     """
     radius = wide_radius(similarity)
@@ -432,7 +433,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     given = id_text(docs, id_col, text_col).where("_id is not null")
     marked = settle(given.select("_id", "_text", F.xxhash64("_text").alias("text_hash"))
                     .mapInArrow(run, "doc_id long, text_hash long, node long, f0 long, f1 long, n long"))
-    distinct = settle(marked.groupBy("node", "f0", "f1", "n").agg(F.min("doc_id").alias("first")))
+    distinct = settle(marked.groupBy("node", "f0", "f1", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")))
     rows = distinct.where(F.col("n") >= least).select("node", "f0", "f1", "n").mapInArrow(spread, "way long, key long, node long, f0 long, f1 long, n long")
     over = settle(rows.groupBy("way", "key").count().where(F.col("count") > bucket).withColumn("blocks", F.ceil(F.col("count") / bucket)))
     single = {c: F.lit(0).cast("long") for c in ("own", "a", "b")}
@@ -454,7 +455,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """The pairs that are alike, and the sets that are known by then."""
         nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         nodes = settle(nodes if known is None else nodes.join(known.select("node"), "node", "left_anti"))
-        ids = settle(distinct.join(nodes, "node", "left_semi").select(F.col("first").alias("_id")).distinct())
+        ids = settle(distinct.join(nodes, "node", "left_semi").select(F.col("first.doc_id").alias("_id")).distinct())
         sets = (given.join(ids, "_id", "left_semi").mapInArrow(spell, "node long, h array<long>, hist binary")
                 .join(nodes, "node", "left_semi").groupBy("node").agg(F.first("h").alias("h"), F.first("hist").alias("hist")))
         sets = settle(sets)
@@ -477,5 +478,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             more, _ = checked(pairs, sets)
             group = settle(components(links.union(more)))
     named = distinct.join(group, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(named.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "text_hash", "component_id")
+    ids = named.groupBy("root").agg(F.min("first").alias("_first"))
+    return marked.join(named.join(ids, "root").select("node", "_first"), "node").select(
+        "doc_id", "text_hash", F.col("_first.doc_id").alias("component_id"), F.col("_first.text_hash").alias("component_hash"))

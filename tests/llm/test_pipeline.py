@@ -65,6 +65,16 @@ def test_decisions(spark, planted):
     assert {i: mixed.count(i) for i in copies} == copies
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    vocab = np.array([f"v{i}" for i in range(500)])
+    one, two, other = (" ".join(np.random.default_rng(k).choice(vocab, 120)) for k in (1, 2, 3))
+    rows = [(1, one, "en", "s", 1), (1, two, "en", "s", 1), (1, two, "en", "r", 1), (2, two + " end", "en", "s", 1), (3, other, "en", "s", 1)]
+    for n in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(n)
+        got = stage("simhash_near_dedup")(spark, docs, SF).collect()
+        assert {tuple(r) for r in got} == {rows[0], rows[2], rows[4]} and len(got) == 3
+
+
 def test_mixing_keeps_rows_without_an_id_and_repeated_ids(spark):
     """Each source's words are what mix() counted, whatever the ids are."""
     rows = [(None, f"no id {'w ' * k}", None, f"s{k % 2}", None) for k in range(1, 30)]
