@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.decontaminate import clean
+from creditloom.llm.decontaminate import LEAST, clean
 from creditloom.llm.files import run_folder
 from creditloom.llm.language import identify
 from creditloom.llm.mixing import mix
@@ -39,8 +39,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that repeat 13 words or more of a benchmark item, up to a fifth of them changed, go."""
-    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*DOCUMENTS)
+    """Documents that repeat 13 words or more of a benchmark item, up to a fifth of them changed, go. Items
+    of fewer than 13 words take no document; items without an id do."""
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shortest=LEAST).select(*DOCUMENTS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,9 +46,9 @@ def _seeds(h: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 
 
 class SeedTable:
-    """Benchmark items as words, with the seeds of every mask sorted for look-up."""
+    """Benchmark items (an id, or None, and the text) as words, with the seeds of every mask sorted for look-up."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         self.ids = [i for i, _ in items]
         self.words, self.sizes = _words([t for _, t in items])
         self.first = np.cumsum(self.sizes) - self.sizes
@@ -117,13 +117,14 @@ class SeedTable:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              item_col: str = "item_id", item_text: str = "text", least: int = LEAST, share: float = SHARE,
-             block_words: int = BLOCK_WORDS) -> DataFrame:
+             block_words: int = BLOCK_WORDS, shortest: int = 1) -> DataFrame:
     """``doc_id, item_id, doc_start, n_words, n_equal`` per document and benchmark item it repeats.
 
     Words are lower-cased runs without white space and ASCII punctuation; ``doc_start`` counts
     them. The longest overlap of the pair is given, the first of equals; see ``SeedTable.overlap``. Items with equal texts count
     as the one with the smallest id; items without words, null texts and documents without words
-    meet nothing. Documents that repeat nothing give no row. Repeated document rows give theirs
+    meet nothing, nor do items of fewer than ``shortest`` words. Items without an id are searched for like
+    others and give item_id null, a row for each text. Documents that repeat nothing give no row. Repeated document rows give theirs
     each. Null document ids stay null.
     """
     items = benchmark.where(F.col(item_text).isNotNull()).groupBy(F.col(item_text).alias("t")).agg(F.min(F.col(item_col).cast("long")).alias("i"))
@@ -132,7 +133,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     items = items.withColumn("b", F.pmod(F.xxhash64("t"), F.lit(blocks)))
     out = None
     for b in range(blocks):
-        rows = sorted((r["i"], r["t"]) for r in items.where(F.col("b") == b).collect() if r["i"] is not None)
+        rows = sorted(((r["i"], r["t"]) for r in items.where(F.col("b") == b).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        if shortest > 1:
+            rows = [x for x, n in zip(rows, _words([t for _, t in rows])[1].tolist()) if n >= shortest]
         table = docs.sparkSession.sparkContext.broadcast(SeedTable(rows))
 
         def search(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
@@ -159,8 +162,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", shortest: int = 1, **how) -> DataFrame:
     """The documents that repeat no benchmark item, all columns as they were. Rows without an id
-    cannot be named by a finding and stay."""
-    found = overlaps(docs, benchmark, id_col, **how).select(F.col("doc_id").alias(id_col)).distinct()
+    cannot be named by a finding and stay. Items of fewer than ``shortest`` words do not contaminate;
+    with 1 an item of a single word takes every document that has it."""
+    found = overlaps(docs, benchmark, id_col, shortest=shortest, **how).select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(found, id_col, "left_anti")

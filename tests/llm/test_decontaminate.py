@@ -85,3 +85,13 @@ def test_clean_keeps_the_rest_as_it_is(spark):
     assert {r.doc_id for r in left.collect()} == {i for i, _ in docs} - {i for i, _ in want} | {None}
     none = spark.createDataFrame([], "doc_id long, text string")
     assert overlaps(none, b).collect() == [] and overlaps(d, none.withColumnRenamed("doc_id", "item_id")).collect() == []
+
+
+def test_items_without_an_id_and_short_items(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "yes we know"), (3, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, " ".join(words[5:30])), (None, " ".join(words[35:55])), (4, "yes")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_words) for r in overlaps(docs, items).collect() if r.item_id is None)
+    assert got == [(1, None, 20), (1, None, 25)]
+    assert sorted(r.doc_id for r in clean(docs, items).collect()) == [3]
+    assert sorted(r.doc_id for r in clean(docs, items, shortest=13).collect()) == [2, 3]
