@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from creditloom.llm.archives import arc_to_warc, warc_captures, with_originals, write_arc
 from creditloom.llm.chat import digests, format_conversations
+from creditloom.llm.collocations import collocations
 from creditloom.llm.decontaminate import overlaps
 from creditloom.llm.files import run_folder
 from creditloom.llm.language import identify
@@ -129,6 +130,38 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w
+  from documents
+), f as (
+  select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase, count(*) as f
+  from pieces, unnest(range(1, len(w) + 1)) as u(i), (values (1), (2), (3)) as v(m) where i + m - 1 <= len(w) group by all
+), sizes as (
+  select lang, sum(f)::bigint as n from f where m = 1 group by lang
+), candidates as (
+  select *, string_split(phrase, ' ') as x from f where m > 1 and f >= 10
+), covered as (
+  select distinct c.lang, c.phrase from candidates c join (
+    select lang, f, unnest([array_to_string(x[1:2], ' '), array_to_string(x[2:3], ' ')]) as phrase from candidates where m = 3) t
+  on c.lang = t.lang and c.phrase = t.phrase and 100 * t.f >= 50 * c.f
+), cuts as (
+  select c.lang, c.phrase, c.f as a, k, array_to_string(x[1:k], ' ') as p, array_to_string(x[k + 1:m], ' ') as q
+  from candidates c, (values (1), (2)) as v(k) where k < m and (c.lang, c.phrase) not in (select (lang, phrase) from covered)
+), scored as (
+  select cuts.lang, cuts.phrase, a, k, p.f as l, q.f as r, (1000000::hugeint * a * a) // (p.f::hugeint * q.f) as score
+  from cuts join f p on p.lang = cuts.lang and p.phrase = cuts.p join f q on q.lang = cuts.lang and q.phrase = cuts.q
+  qualify row_number() over (partition by cuts.lang, cuts.phrase order by score, k) = 1
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score
+from scored join sizes using (lang) qualify rank <= 2000
+"""
+
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_substring_dedup": (op2_substring_dedup, OP2_SQL),
@@ -140,4 +173,5 @@ QUERIES = {
     "op8_chat_format": (op8_chat_format, OP8_SQL),
     "op9_source_mixing": (op9_source_mixing, None),
     "op10_language_id": (op10_language_id, None),
+    "op11_collocations": (op11_collocations, OP11_SQL),
 }
