@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from creditloom.llm.alignment import align
 from creditloom.llm.archives import arc_to_warc, warc_captures, with_originals, write_arc
 from creditloom.llm.chat import digests, format_conversations
 from creditloom.llm.collocations import collocations
@@ -162,6 +163,10 @@ select lang, row_number() over (partition by lang order by score desc, a desc, p
 from scored join sizes using (lang) qualify rank <= 2000
 """
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_substring_dedup": (op2_substring_dedup, OP2_SQL),
@@ -174,4 +179,5 @@ QUERIES = {
     "op9_source_mixing": (op9_source_mixing, None),
     "op10_language_id": (op10_language_id, None),
     "op11_collocations": (op11_collocations, OP11_SQL),
+    "op12_token_alignment": (op12_token_alignment, None),
 }
