@@ -13,6 +13,7 @@ from creditloom.llm.decontaminate import overlaps
 from creditloom.llm.files import run_folder
 from creditloom.llm.language import identify
 from creditloom.llm.mixing import mix
+from creditloom.llm.quality import quality_scores
 from creditloom.llm.simhash import near_duplicates
 from creditloom.llm.substring_dedup import remove_repeats
 from creditloom.llm.token_counts import token_counts
@@ -167,6 +168,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_substring_dedup": (op2_substring_dedup, OP2_SQL),
@@ -180,4 +185,5 @@ QUERIES = {
     "op10_language_id": (op10_language_id, None),
     "op11_collocations": (op11_collocations, OP11_SQL),
     "op12_token_alignment": (op12_token_alignment, None),
+    "op13_quality": (op13_quality, None),
 }
