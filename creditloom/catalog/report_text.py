@@ -445,6 +445,40 @@ select report_id,
 from v group by 1"""
 
 
+# Lines of orders with streets and cities among them: number and name of a street come from the row.
+STREETS = ["'Oak st'", "'Elm ave'", "'Pine rd'", "'Oakland dr'"]
+ADDRESS_CASES = ["'Age: ' || l_suppkey", "(l_suppkey % 7) || ' ' || {s}", "'Aurora, co 80014'", "'since ' || (l_partkey % 40) || ' ' || {s} || ' Lyons, co 80540'",
+                 "'No'", "(l_suppkey % 7) || ' / $5'", "'Remarks'", "'Remarks'"]
+
+
+def _address_sql(cast: str) -> str:
+    street = "case l_quantity % 4 " + " ".join(f"when {i} then {s}" for i, s in enumerate(STREETS)) + " end"
+    arms = " ".join(f"when {i} then cast({t.format(s=street)} as {cast})" for i, t in enumerate(ADDRESS_CASES))
+    return f"case l_partkey % {len(ADDRESS_CASES)} {arms} end"
+
+
+def address_completion(spark, sf):
+    """Streets of a customer's whole history, so that reports are long, and the lines that complete them."""
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("report_id")), "l_orderkey")
+    keys = ["l_orderkey", *[k.strip() for k in ORDER.split(",")]]
+    text = F.expr(_address_sql("string"))
+    items = li.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct(*keys, text.alias("text")))).alias("s"))
+    rows = items.select("report_id", F.posexplode("s").alias("pos", "s")).select("report_id", F.col("pos").cast("bigint").alias("pos"), "s.text")
+    return R.street_cities(rows).select("report_id", "street", "pos", "city")
+
+
+ADDRESS_SQL = rf"""with li as (select o_custkey report_id, row_number() over (partition by o_custkey order by l_orderkey, {ORDER}) - 1 as pos,
+  {_address_sql('varchar')} as text from lineitem join orders on o_orderkey = l_orderkey),
+near as (select *, coalesce(lower(lag(text, 1) over w) like 'age%', false) or coalesce(lower(lag(text, 2) over w) like 'age%', false)
+  or coalesce(lower(lag(text, 3) over w) like 'age%', false) or coalesce(lower(lag(text, 4) over w) like 'age%', false) as below
+  from li window w as (partition by report_id order by pos)),
+streets as (select distinct report_id, text street from near where (below and regexp_matches(text, '^\d+\s+'))
+  or (regexp_matches(text, '^\d+\s+[A-Za-z]') and regexp_matches(text, '(?i)\b(st|ave|rd|dr)\b') and not regexp_matches(text, '[/$%]')))
+select s.report_id, street, min(pos) as pos, arg_min(text, pos) as city from streets s join li on s.report_id = li.report_id
+  and contains(text, split_part(street, ' ', 1)) and contains(text, split_part(street, ' ', 2)) and regexp_matches(text, '[A-Za-z][A-Za-z]\.?\s*\d{{5}}')
+group by 1, 2"""
+
+
 def report_factor_rows(spark, sf):
     return R.report_factors(report_lines(spark, sf)).select("report_id", "factor", "color", "key")
 
@@ -536,6 +570,7 @@ QUERIES = {
     "set_diff": (set_diff, SET_SQL),
     "missing_factors": (missing_factors, "select o_orderkey, o_custkey from orders where o_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')"),
     "report_fields": (report_fields, FIELDS_SQL),
+    "address_completion": (address_completion, ADDRESS_SQL),
     "report_factor_rows": (report_factor_rows, None),
     "report_rows": (report_row_table, None),
     "public_record_notes": (public_record_notes, NOTES_SQL),

@@ -118,3 +118,57 @@ def test_csv_and_runs(spark, tmp_path):
     T.write_report(spark.range(1), rep, "status", "test", "1")
     T.write_report(spark.range(3), rep, "status", "test", "2")
     assert T.read_latest_report(spark, rep, "status", "test").count() == 3
+
+
+def _address(spark, *reports):
+    rows = [(f"r{k}", 0, i, t, [0.0] * 4, [(t, BLACK, [0.0] * 4)]) for k, texts in enumerate(reports) for i, t in enumerate(texts)]
+    got = {r.report_id: list(r.address) for r in R.report_fields(spark.createDataFrame(rows, lines(spark).schema)).collect()}
+    return [got[f"r{k}"] for k in range(len(reports))]
+
+
+def test_addresses_completed_from_the_whole_report(spark):
+    far = ["filler"] * 12
+    assert _address(
+        spark,
+        # Below an age line without a city: the first line with a city that holds number and name.
+        ["Age: 40", "12 Oak st", "a", "b", "c", *far, "Former 12 Elm Oak st Lyons, co 80540", "12 Oak st Aurora, co 80014", "12 Oak st Dillon, co 80435"],
+        # Parts of words count, and lines without a city do not.
+        ["Age: 40", "12 Oak st", *far, "12 Oak st", "x912 Oakland, ca 94601"],
+        # A city nearby comes first.
+        ["Age: 40", "12 Oak st", "Dillon, co 80435", *far, "12 Oak st Aurora, co 80014"],
+        # No age line: streets anywhere, near lines first, then the whole report.
+        ["77 Pine ave", *far, "Vail, co 81657 for 77 Pine ave", *far, "8 Elm rd", "Lyons, co 80540"],
+        # One word has no second one to look for, and nothing fits the other.
+        ["Age: 40", "12 Oak st", *far, "12 Elm st Aurora, co 80014"],
+    ) == [
+        ["12 Oak St, Former 12 Elm Oak St Lyons, CO 80540"],
+        ["12 Oak St, X912 Oakland, CA 94601"],
+        ["12 Oak St, Dillon, CO 80435"],
+        ["77 Pine Ave, Vail, CO 81657 for 77 Pine Ave", "8 Elm Rd, Lyons, CO 80540"],
+        ["12 Oak St"],
+    ]
+
+
+def test_two_streets_without_a_city(spark):
+    far = ["filler"] * 12
+    one, two = _address(
+        spark,
+        ["Age: 40", "12 Oak St, 9 Elm Rd", *far, "Aurora, co 80014", "9 Elm Rd Dillon, co 80435"],
+        ["Age: 40", "12 Oak St, 12 oak st", *far, "Aurora, co 80014"],
+    )
+    assert one == ["12 Oak St, Aurora, CO 80014", "9 Elm Rd, 9 Elm Rd Dillon, CO 80435"]
+    assert two == ["12 Oak St, Aurora, CO 80014"]
+
+
+def test_first_containing_line(spark):
+    from creditloom.operators.matching import first_containing
+
+    items = spark.createDataFrame([("a", 1, ["12", "Oak"]), ("a", 2, ["zz"]), ("a", 3, []), ("a", 4, ["é🦙", None, ""]), ("b", 1, ["12", "Oak"]), (None, 5, ["x"])],
+                                  "r string, i int, t array<string>")
+    found = spark.createDataFrame([("a", 9, "12 Oak"), ("a", 3, "Oak, 3124"), ("a", 1, "12 oak"), ("a", 5, None), ("a", 6, "xé🦙x"), ("b", 2, ""), ("c", 1, "12 Oak")],
+                                  "r string, pos int, text string")
+    got = {tuple(x) for x in first_containing(items.union(items), found, ["r"], ["i"], "t", "pos", "text").collect()}
+    assert got == {("a", 1, 3, "Oak, 3124"), ("a", 4, 6, "xé🦙x")}
+    kept = first_containing(items, found, ["r"], ["i"], "t", "pos", "text", unless=F.contains("text", F.lit(",")))
+    assert {tuple(x) for x in kept.collect()} == {("a", 1, 9, "12 Oak"), ("a", 4, 6, "xé🦙x")}
+    assert first_containing(items.where("false"), found, ["r"], ["i"], "t", "pos", "text").collect() == []
