@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from creditloom.catalog.records import OFFER_PIVOT_SQL, application_text, flat_records
 from creditloom.catalog.tables import table
 from creditloom.operators.balance import balance
+from creditloom.operators.boosting import BoostSettings, fit_boosted
 from creditloom.operators.ensembles import average_probabilities, majority_vote
 from creditloom.operators.feature_scores import importance_table
 from creditloom.operators.metrics import classification_report, log_loss
@@ -227,7 +228,70 @@ def cascade_invariants(spark, sf):
                  F.count_if(approved == F.col("tier_prediction").isNotNull()).alias("n_tier_rule"))
 
 
+# Effective regularisation: every setting changes which cuts are allowed or what leaves are worth.
+FIRST_TREE = {"rounds": 1, "num_leaves": 4, "max_depth": 2, "reg_alpha": 0.5, "reg_lambda": 3.0, "gamma": 0.05, "min_child_weight": 1.0, "learning_rate": 0.3}
+MARKS = {"bars": "|", "calls": "!", "dollars": "$", "stars": "*"}
+
+
+def mark_counts(spark, sf):
+    """Labelled documents with how often some marks occur in their texts, up to 20."""
+    d = table(spark, sf, "documents").select("doc_id", *[
+        F.least(F.length("text") - F.length(F.replace("text", F.lit(m), F.lit(""))), F.lit(20)).cast("double").alias(name) for name, m in MARKS.items()])
+    return d.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+
+
+MARKS_SQL = "select doc_id, quality as y, [" + ", ".join(
+    f"least(length(text) - length(replace(text, '{m}', '')), 20)::double" for m in MARKS.values()) + "] as x from documents join labels using (doc_id)"
+
+
+def boosted_first_tree(spark, sf):
+    """Cuts, gains and leaf values of the first boosted tree on all labelled documents."""
+    model = fit_boosted(mark_counts(spark, sf), list(MARKS), "quality", BoostSettings(**FIRST_TREE))
+    got = spark.createDataFrame(model.rows(), "round int, output int, path string, feature string, cut double, gain double, value double")
+    return got.select("path", "feature", "cut", "gain", "value")
+
+
+_STRENGTH = "(power(greatest(abs({g}) - 0.5, 0), 2) / ({h} + 3))"
+_SPLIT = """{name}_s as (select node, f, v, sum(g) over u gl, sum(h) over u hl, sum(g) over p gt, sum(h) over p ht
+  from (select node, f, v, sum(0.5::double - y) g, count(*) * 0.25::double h from {source} group by all)
+  window u as (partition by node, f order by v), p as (partition by node, f)),
+{name} as (select *, 0.5 * ({left} + {right} - {whole}) gain from {name}_s where hl >= 1 and ht - hl >= 1 and gain > 0.05
+  qualify row_number() over (partition by node order by gain desc, f, v) = 1)"""
+
+
+def _split_sql(name: str, source: str) -> str:
+    sides = {"left": ("gl", "hl"), "right": ("(gt - gl)", "(ht - hl)"), "whole": ("gt", "ht")}
+    return _SPLIT.format(name=name, source=source, **{k: _STRENGTH.format(g=g, h=h) for k, (g, h) in sides.items()})
+
+
+FIRST_TREE_SQL = f"""with d as ({MARKS_SQL}),
+base as (select '' as node, x, y, f, x[f] v from d, unnest([1, 2, 3, 4]) as t(f)), {_split_sql('root', 'base')},
+deeper as (select case when base.x[root.f] <= root.v then 'L' else 'R' end as node, base.y, base.f, base.v from base, root), {_split_sql('kids', 'deeper')},
+cuts as (select * from root union all select * from kids),
+halves as (select node || side as path, case when side = 'L' then gl else gt - gl end as g, case when side = 'L' then hl else ht - hl end as h
+  from cuts, unnest(['L', 'R']) as t(side))
+select node as path, {list(MARKS)}[f] as feature, v as cut, gain, null::double as value from cuts
+union all select path, null, null, null, -0.3 * sign(g) * greatest(abs(g) - 0.5, 0) / (h + 3) from halves where path not in (select node from cuts)"""
+
+
+def boosted_scores(rows):
+    """Two thirds of the labelled documents teach, the others are scored."""
+    model = fit_boosted(rows.where("doc_id % 3 != 0"), list(MARKS), "quality", BoostSettings(rounds=5, num_leaves=8, learning_rate=0.5))
+    return model.predict(rows.where("doc_id % 3 = 0"))
+
+
+def boosted_holdout(spark, sf):
+    """Held-out documents scored by boosting: all of them, those whose probabilities add up to one, those whose
+    prediction is the likelier class."""
+    scored = boosted_scores(mark_counts(spark, sf))
+    sums = F.abs(F.aggregate("probability", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9
+    likelier = F.col("prediction") == (F.get("probability", 1) > F.get("probability", 0)).cast("int")
+    return scored.agg(F.count("*").alias("n_rows"), F.count_if(sums).alias("n_sums"), F.count_if(likelier).alias("n_likelier"))
+
+
 QUERIES = {
+    "boosted_first_tree": (boosted_first_tree, FIRST_TREE_SQL),
+    "boosted_holdout": (boosted_holdout, "select count(*) as n_rows, count(*) as n_sums, count(*) as n_likelier from documents join labels using (doc_id) where doc_id % 3 = 0"),
     "calibration_formula": (calibration_formula, CALIBRATION_SQL),
     "majority_votes": (majority_votes, VOTES_SQL),
     "cascade_rule": (cascade_rule, CASCADE_SQL),
