@@ -498,6 +498,20 @@ CORR_SQL = " union all ".join(
     for i, a in enumerate(FEATURES) for b in FEATURES[i + 1:])
 
 
+WIDE = 40
+
+
+def wide_correlations(spark, sf):
+    """All pairs of many columns in one pass: remainders of multiples of the part key."""
+    li = table(spark, sf, "lineitem").select(*[F.pmod(F.col("l_partkey") * k, F.lit(101)).alias(f"c{k}") for k in range(1, WIDE + 1)])
+    return Q.pair_correlations(li, li.columns).withColumn("correlation", F.round("correlation", 6))
+
+
+WIDE_SQL = f"""with x as (select [(l_partkey * k) % 101 for k in range(1, {WIDE + 1})] as x from lineitem)
+select 'c' || i as column_a, 'c' || j as column_b, round(corr(x[i], x[j]), 6) as correlation
+from x, unnest(range(1, {WIDE + 1})) as t(i), unnest(range(1, {WIDE + 1})) as u(j) where i < j group by i, j"""
+
+
 def numeric_summary(spark, sf):
     out = Q.numeric_summary(table(spark, sf, "lineitem"), FEATURES[:3])
     return out.select("column", "n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
@@ -569,6 +583,7 @@ QUERIES = {
     "dq_model_input": (dq_model_input, "select 'small_class' as \"check\", 'issue' severity, 'y' as \"column\", 1.0::double metric from orders where o_orderkey = 3"),
     "high_corr_pairs": (high_corr_pairs, "select 'twice' column_a, 'l_extendedprice' column_b, round(corr(l_extendedprice * 2 + 1, l_extendedprice), 6) correlation from lineitem"),
     "pair_correlations": (pair_correlations, CORR_SQL),
+    "wide_correlations": (wide_correlations, WIDE_SQL),
     "numeric_summary": (numeric_summary, SUMMARY_SQL),
     "sample_values": (sample_values, "select distinct l_quantity from lineitem order by 1 limit 20"),
     "as_integers": (as_integers, "select l_orderkey, l_partkey, l_suppkey, trunc(l_quantity)::int l_quantity, trunc(l_extendedprice)::int l_extendedprice from lineitem"),

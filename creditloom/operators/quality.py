@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,27 +142,49 @@ def validate_model_input(df: DataFrame, label: str, features: Sequence[str], **k
     return report.unionByName(counts.select(F.explode(extra).alias("x")).select("x.*"))
 
 
-def pair_correlations(df: DataFrame, columns: Sequence[str], threshold: float | None = None,
-                      block: int = 200) -> DataFrame:
-    """Pearson correlation of every column pair (nulls count as 0).
+def cross_products(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column_a, column_b, n, sa, sb, saa, sbb, sab`` of every pair of columns, each with those behind it: the sums of
+    both, of their squares and of their products, from one pass over the table for any number of columns.
 
-    Pairs are aggregated ``block`` at a time so the generated code stays small; the work per
-    row is a few sums per pair and only the sums are shuffled.
+    Nulls and NaN count as 0. Values are taken relative to some row, which changes neither variances nor
+    covariances and keeps large values from cancelling. Each task adds up its rows as matrix products and
+    hands on one row per pair. An empty table gives no rows.
     """
-    pairs = list(combinations(columns, 2))
-    filled = df.select(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in columns])
-    out = None
-    for lo in range(0, len(pairs), block):
-        part = pairs[lo:lo + block]
-        row = filled.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(part)])
-        lines = F.array(*[
-            F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("correlation"))
-            for i, (a, b) in enumerate(part)
-        ])
-        one = row.select(F.explode(lines).alias("x")).select("x.*")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double")
+    columns = list(columns)
+    filled = df.select(*[F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)])
+    first = filled.first() if len(columns) > 1 else None
+    schema = "column_a string, column_b string, n long, sa double, sb double, saa double, sbb double, sab double"
+    if first is None:
+        return df.sparkSession.createDataFrame([], schema)
+    origin = np.nan_to_num(np.array(first, dtype=np.float64), posinf=0.0, neginf=0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums, products = 0, np.zeros(len(columns)), np.zeros((len(columns), len(columns)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy() for c in batch.columns]) - origin
+            n += len(x)
+            sums += x.sum(axis=0)
+            products += x.T @ x
+        if n:
+            a, b = np.triu_indices(len(columns), 1)
+            squares = np.diag(products)
+            values = (np.full(len(a), n), sums[a], sums[b], squares[a], squares[b], products[a, b])
+            names = [pa.array([columns[i] for i in side], pa.string()) for side in (a, b)]
+            yield pa.RecordBatch.from_arrays([*names, *map(pa.array, values)], ["column_a", "column_b", "n", "sa", "sb", "saa", "sbb", "sab"])
+
+    sums = ["n", "sa", "sb", "saa", "sbb", "sab"]
+    return filled.mapInArrow(run, schema).groupBy("column_a", "column_b").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def pair_correlations(df: DataFrame, columns: Sequence[str], threshold: float | None = None) -> DataFrame:
+    """Pearson correlation of every column pair (nulls count as 0), in one pass; null where a column is constant,
+    NaN where one holds infinities."""
+    s = cross_products(df, columns)
+    spread = lambda q, x: F.col(q) - F.col(x) * F.col(x) / F.col("n")
+    below = F.sqrt(spread("saa", "sa")) * F.sqrt(spread("sbb", "sb"))
+    r = (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / F.when(below != 0, below)
+    kept = F.when(F.isnan(r), r).otherwise(F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))))
+    out = s.select("column_a", "column_b", kept.alias("correlation"))
     return out if threshold is None else out.where(F.abs("correlation") >= threshold)
 
 
