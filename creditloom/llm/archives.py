@@ -33,6 +33,7 @@ LAST_MEMBER = gzip.compress(b"", mtime=0)
 CLOSING = LAST_MEMBER[-8:]
 
 FILE_BYTES = 8 << 20
+WINDOW = 16 << 10
 GZIP_LEVEL = 4
 LEAST_PAYLOAD = 100
 
@@ -43,15 +44,20 @@ def member(data: bytes) -> bytes:
 
 
 def members(data: bytes) -> Iterator[bytes]:
-    """The contents of the gzip members of a file, one after the other; empty ones are left out."""
+    """The contents of the gzip members of a file, one after the other; empty ones are left out.
+
+    A member is fed window by window, as what a decompressor leaves over is copied.
+    """
     at, view = 0, memoryview(data)
     while at < len(data):
-        unpack = zlib.decompressobj(31)
-        out = unpack.decompress(view[at:]) + unpack.flush()
-        at = len(data) - len(unpack.unused_data)
-        if not unpack.eof:
-            raise ValueError("a gzip member is cut off")
-        if out:
+        unpack, parts = zlib.decompressobj(31), []
+        while not unpack.eof:
+            window = view[at: at + WINDOW]
+            if not window:
+                raise ValueError("a gzip member is cut off")
+            parts.append(unpack.decompress(window))
+            at += len(window) - len(unpack.unused_data)
+        if out := b"".join(parts):
             yield out
 
 

@@ -74,3 +74,26 @@ def test_both_versions_and_declared_lengths():
 def test_empty_table(spark):
     _, warc = archive(spark, [])
     assert with_originals(warc_captures(spark, warc)).collect() == []
+
+
+def test_reading_members_takes_linear_time():
+    import os
+    import time
+
+    from creditloom.llm.archives import member, members
+
+    def seconds(n):
+        data = member(os.urandom(300)) * n
+        took = []
+        for _ in range(3):
+            start = time.process_time()
+            assert sum(1 for _ in members(data)) == n
+            took.append(time.process_time() - start)
+        return min(took)
+
+    assert seconds(16000) < 3 * seconds(8000)
+    whole = member(b"x" * 50) + member(os.urandom(200_000)) + member(b"")
+    assert [len(x) for x in members(whole)] == [50, 200_000]
+    for cut in (1, 9, 5000):
+        with pytest.raises(ValueError):
+            list(members(whole[:-cut]))
