@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +25,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import bytes_of, id_text, no_cycle_search, slices, worker_cache
+from creditloom.llm.common import IdCache, bytes_of, id_text, no_cycle_search, slices, worker_cache
 from creditloom.operators.sizing import settle
 
 CHUNK_BYTES = 2 << 20
-
+CACHED = 400_000
+# How a byte-level tokenizer parts a text before merging, and the characters that are written out
+# here as letters, numbers and white space. Texts with any other character are encoded whole.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t\n\r "
+PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+SETTLED = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]*")
+SPACED_WORD = re.compile(f" [{_L}]+")
 
 def byte_level_alphabet() -> dict[str, int]:
     """The byte each character of a byte-level vocabulary stands for: printable Latin-1 characters stand
@@ -62,6 +70,13 @@ class Pair:
                 usual[raw] = i
         self.same = np.array([usual.get(raw, -1) for raw in self.a_bytes], dtype=np.int64)
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in all_of], dtype=np.int64) for all_of in (self.a_bytes, self.b_bytes))
+        self.a_spaced = np.array([x.startswith(b" ") for x in self.a_bytes])
+        if self.a.normalizer is not None or not {bytes([x]) for x in range(256)} <= set(self.a_bytes):
+            raise ValueError("tokens of this tokenizer may lose bytes of a text")
+        self.known = IdCache(self._a_parts, CACHED)
+        probe = " It's  1st\n\n a-b, x?! \t'll we'll  "
+        if np.concatenate(self.known.rows([PRE_TOKEN.findall(probe)])).tolist() != self.a.encode(probe, add_special_tokens=False).ids:
+            raise ValueError("this tokenizer does not part texts as expected")
         self.a_text, self.b_text = self._texts(len(self.a_bytes), ",|"), self._texts(len(self.b_bytes), ",;")
 
     @staticmethod
@@ -69,17 +84,41 @@ class Pair:
         """Each id in decimal, followed by either sign."""
         return np.array([[f"{i}{end}" for end in ends] for i in range(n)], dtype=object)
 
+    def _a_parts(self, parts: list[str]) -> list[bytes]:
+        """A's ids of pre-tokens. Words behind a space are encoded in one go: a word starts where a token does
+        that starts with a space."""
+        out = {}
+        words = [x for x in parts if SPACED_WORD.fullmatch(x)]
+        if words:
+            ids = np.array(self.a.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+            raw, cuts = ids.tobytes(), [*(4 * np.nonzero(self.a_spaced[ids])[0]).tolist(), 4 * len(ids)]
+            if len(cuts) != len(words) + 1 or cuts[0] != 0:
+                raise ValueError("this tokenizer does not part texts as expected")
+            out = {w: raw[x:y] for w, x, y in zip(words, cuts, cuts[1:])}
+        rest = [x for x in parts if x not in out]
+        if rest:
+            out.update((x, struct.pack(f"<{len(e)}I", *e.ids)) for x, e in zip(rest, self.a.encode_batch_fast(rest, add_special_tokens=False)))
+        return [out[x] for x in parts]
+
+    def encode_a(self, texts: list[str]) -> list[np.ndarray]:
+        """A's ids of whole texts. Its pre-tokens are encoded each by itself, and met again in a cache."""
+        usual = [bool(SETTLED.fullmatch(t)) for t in texts]
+        quick = iter(self.known.rows([PRE_TOKEN.findall(t) for t, ok in zip(texts, usual) if ok]))
+        rest = [t for t, ok in zip(texts, usual) if not ok]
+        slow = iter(self.a.encode_batch_fast(rest, add_special_tokens=False) if rest else ())
+        return [next(quick).astype(np.int64) if ok else np.array(next(slow).ids, dtype=np.int64) for ok in usual]
+
     def encode(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of both for each text; none where the bytes do not come out alike."""
         whole = [t.decode() for t in texts]
-        a_all = self.a.encode_batch_fast([" " + t for t in whole], add_special_tokens=False)
+        a_all = self.encode_a([" " + t for t in whole])
         b_all = self.b.encode(whole, num_threads=1)
         none = np.zeros(0, dtype=np.int64)
         for raw, a, b in zip(texts, a_all, b_all):
-            a = a.ids
             want = b" " + raw
-            ok = raw and b"".join(map(self.a_bytes.__getitem__, a)) == want and b"".join(map(self.b_bytes.__getitem__, b)) == want
-            yield (np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)) if ok else (none, none)
+            # A keeps every byte, as was checked when it was loaded.
+            ok = raw and self.a_sizes[a].sum() == len(want) and b"".join(map(self.b_bytes.__getitem__, b)) == want
+            yield (a, np.array(b, dtype=np.int64)) if ok else (none, none)
 
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, str]:
         """The places of the A and B tokens that end a group, and all groups as text."""
@@ -88,10 +127,10 @@ class Pair:
         a_last = np.nonzero(b_ends[np.minimum(at, len(b) - 1)] == a_ends)[0] if len(b) else np.zeros(0, dtype=np.int64)
         b_last = at[a_last]
         # In the text, a group's A tokens stand before its B tokens.
-        a_group, b_group = np.searchsorted(a_last, np.arange(len(a))), np.searchsorted(b_last, np.arange(len(b)))
-        b_before, a_before = np.concatenate(([0], b_last + 1)), np.append(a_last + 1, len(a))
         a_closes, b_closes = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
         a_closes[a_last], b_closes[b_last] = 1, 1
+        a_group, b_group = np.cumsum(a_closes) - a_closes, np.cumsum(b_closes) - b_closes
+        b_before, a_before = np.concatenate(([0], b_last + 1)), np.append(a_last + 1, len(a))
         out = np.empty(len(a) + len(b), dtype=object)
         out[np.arange(len(a)) + b_before[a_group]] = self.a_text[a, a_closes]
         out[np.arange(len(b)) + a_before[b_group]] = self.b_text[b, b_closes]

@@ -7,6 +7,7 @@ import sys
 import types
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -91,3 +92,50 @@ class RecentCache:
                 self.young, self.old = {}, self.young
             self.young.update((k, v) for k, v in found.items() if len(k) <= self.longest)
         return got
+
+
+class IdCache(dict):
+    """Numbers keys in the order they come and keeps the ids of all of them in one flat array.
+
+    ``make`` turns a list of new keys into their ids, as little-endian u32 each. Above ``most`` keys, or
+    ``most_bytes`` bytes or characters of them, everything is forgotten before the next texts come.
+    """
+
+    def __init__(self, make, most: int, most_bytes: int = 12 << 20):
+        self.make, self.most, self.most_bytes = make, most, most_bytes
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new, self.held = [], 0
+        self.flat, self.starts, self.sizes = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+    def known(self, key) -> bytes | None:
+        """The ids of a key that came with earlier texts."""
+        n = self.get(key, len(self.sizes))
+        return self.flat[self.starts[n]: self.starts[n] + self.sizes[n]].tobytes() if n < len(self.sizes) else None
+
+    def rows(self, texts: list[list]) -> list[np.ndarray]:
+        """The ids of texts given as their keys in order."""
+        if len(self) > self.most or self.held > self.most_bytes:
+            self.forget()
+        counts = [len(keys) for keys in texts]
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=sum(counts))
+        if self.new:
+            made = self.make(self.new)
+            sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made)) // 4
+            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
+            self.sizes = np.concatenate((self.sizes, sizes))
+            self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(made), dtype="<u4")))
+            self.held += sum(map(len, self.new))
+            self.new = []
+        sizes = self.sizes[numbers]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        out = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[numbers] - ends[:-1], sizes)]
+        bounds = ends[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))].tolist()
+        return [out[a:b] for a, b in zip(bounds, bounds[1:])]

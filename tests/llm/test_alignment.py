@@ -83,3 +83,13 @@ def test_identity_map_names_tokens_of_the_same_bytes():
     mapped = [(i, j) for i, j in enumerate(p.same.tolist()) if j >= 0]
     assert len(mapped) > 10000
     assert all(p.a_bytes[i] == p.b_bytes[j] for i, j in mapped)
+
+
+def test_pre_tokens_give_the_ids_of_whole_texts():
+    p = pair(A, B)
+    texts = [" " + t for t in TEXTS] + [" é Ü ñ'll x's 'S\n \t  12a  ", " ƀɏ ʰ", "\u00a0\x85 \x1c x", " ²½ º ª", "\u3000a"] * 2
+    assert [x.tolist() for x in p.encode_a(texts)] == [p.a.encode(t, add_special_tokens=False).ids for t in texts]
+    settled = "".join(map(chr, [9, 10, 13, *range(32, 127), *range(0xA1, 0x250)]))
+    for i in range(0, len(settled)):
+        t = f" x{settled[i]}y{settled[i]} {settled[i]}{settled[i]}9 {settled[i]}"
+        assert p.encode_a([t])[0].tolist() == p.a.encode(t, add_special_tokens=False).ids
