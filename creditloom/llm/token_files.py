@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import RecentCache, bytes_of, id_text, no_cycle_search, slices, worker_cache
+from creditloom.llm.common import IdCache, bytes_of, id_text, no_cycle_search, slices, worker_cache
 from creditloom.llm.files import read_files, write_files
 from creditloom.operators.scans import prefix_scan
 
@@ -34,8 +34,7 @@ SKIPPABLE, SEEK_FRAME, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x80
 CLOSING = (0x8F92EAB1).to_bytes(4, "little")
 
 SHARD_BYTES = 8 << 20
-CACHED = 300_000
-LONGEST_KEY = 64
+CACHED = 600_000
 
 
 def tokenizer(path: str):
@@ -102,15 +101,23 @@ def word_ends(t) -> np.ndarray:
     return cache[id(t)]
 
 
-def encode_texts(t, known: RecentCache, texts: list[bytes]) -> list[bytes]:
-    """Ids of whole texts; ``known`` keeps the words met lately, the rest of all texts is encoded at once."""
-    words = [text_words(text) for text in texts]
-    got = known.look_up([w for some in words for w in some], lambda new: encode_words(t, new, known.young))
-    out, at = [], 0
-    for some in words:
-        out.append(b"".join(got[at: at + len(some)]))
-        at += len(some)
-    return out
+def word_ids(path: str) -> IdCache:
+    """Ids of the words met lately, kept in the worker; new words of several texts are encoded at once."""
+    cache = worker_cache("word ids")
+    if path not in cache:
+        t = tokenizer(path)
+
+        def make(words: list[bytes]) -> list[bytes]:
+            stems = {stem_of(w) for w in words}
+            return encode_words(t, words, {s: ids for s in stems if (ids := cache[path].known(s)) is not None})
+
+        cache[path] = IdCache(make, CACHED)
+    return cache[path]
+
+
+def encode_texts(known: IdCache, texts: list[bytes]) -> list[bytes]:
+    """Ids of whole texts as little-endian u32."""
+    return [ids.tobytes() for ids in known.rows([text_words(text) for text in texts])]
 
 
 def shard_bytes(part: int, number: int, ids: list[int | None], frames: list[bytes], sizes: list[int], sums: list[int]) -> bytes:
@@ -164,7 +171,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None = 2
         import xxhash
         import zstandard
 
-        t, known = tokenizer(path), worker_cache("ids").setdefault(path, RecentCache(CACHED, LONGEST_KEY))
+        known = word_ids(path)
         pack = zstandard.ZstdCompressor(level=level)
         part, number = TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
@@ -175,7 +182,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None = 2
 
         for piece in slices(batches):
             with no_cycle_search():
-                encoded = [raw + end for raw in encode_texts(t, known, bytes_of(piece))]
+                encoded = [raw + end for raw in encode_texts(known, bytes_of(piece))]
             for i, raw in zip(piece.column("_id").to_pylist(), encoded):
                 frame = pack.compress(raw)
                 ids.append(i)

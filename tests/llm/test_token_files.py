@@ -8,10 +8,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from creditloom.llm.common import RecentCache
+from creditloom.llm.common import IdCache
 from creditloom.llm.files import read_files, run_folder
 from creditloom.llm.queries import token_file_digests
-from creditloom.llm.token_files import CLOSING, encode_texts, open_shard, read_frame, read_tokens, tokenizer, write_tokens
+from creditloom.llm.token_files import CLOSING, encode_texts, encode_words, open_shard, read_frame, read_tokens, tokenizer, write_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WHOLE = Tokenizer.from_file(PATH)
@@ -72,6 +72,16 @@ def test_empty_table(spark):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("abZ'st,.<|> \n\té́É1🦙")) | st.characters(codec="utf-8"), max_size=40))
 def test_words_one_by_one(text):
-    first, second = encode_texts(tokenizer(PATH), RecentCache(10, 8), [text.encode(), b"x. " + text.encode()])
+    first, second = encode_texts(IdCache(lambda words: encode_words(tokenizer(PATH), words), 10), [text.encode(), b"x. " + text.encode()])
     assert np.frombuffer(second, dtype="<u4").tolist() == WHOLE.encode("x. " + text, add_special_tokens=False).ids
     assert np.frombuffer(first, dtype="<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+
+
+def test_id_cache_forgets_between_texts_only():
+    made = []
+    cache = IdCache(lambda keys: made.extend(keys) or [bytes([len(k), 0, 0, 0]) * len(k) for k in keys], 2)
+    for _ in range(2):
+        got = cache.rows([["a", "bbb", ""], [], ["cc", "a"]])
+        assert [x.tolist() for x in got] == [[1, 3, 3, 3], [], [2, 2, 1]]
+    assert made == ["a", "bbb", "", "cc"] * 2
+    assert cache.rows([["a"]])[0].tolist() == [1] and cache.known("a") == b"\x01\0\0\0" and cache.known("no") is None
