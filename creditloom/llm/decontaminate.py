@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,6 +116,33 @@ class SeedTable:
         return lo + int(equal[0]), int(equal[-1] - equal[0]) + 1, len(equal)
 
 
+def seed_tables(benchmark: DataFrame, item_col: str, item_text: str, block_words: int, shortest: int) -> Iterator[Broadcast]:
+    """The benchmark in blocks of bounded size, each sent to all workers."""
+    items = benchmark.where(F.col(item_text).isNotNull()).groupBy(F.col(item_text).alias("t")).agg(F.min(F.col(item_col).cast("long")).alias("i"))
+    size = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = -(-size // (4 * block_words)) or 1
+    items = items.withColumn("b", F.pmod(F.xxhash64("t"), F.lit(blocks)))
+    for b in range(blocks):
+        rows = sorted(((r["i"], r["t"]) for r in items.where(F.col("b") == b).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        if shortest > 1:
+            rows = [x for x, n in zip(rows, _words([t for _, t in rows])[1].tolist()) if n >= shortest]
+        yield benchmark.sparkSession.sparkContext.broadcast(SeedTable(rows))
+
+
+def findings(known: SeedTable, texts: list[str], least: int, share: float) -> dict[int, dict[int, tuple]]:
+    """Per place of a text, its longest overlap with each item it repeats, the first of equals."""
+    words, counts = _words(texts)
+    ends = np.cumsum(counts)
+    by_text: dict[int, dict[int, tuple]] = {}
+    for t, item, start in sorted(known.hits(words, np.repeat(np.arange(len(counts)), counts))):
+        lo = int(ends[t] - counts[t])
+        got = known.overlap(words[lo: int(ends[t])], item, start - lo, least, share)
+        best = by_text.setdefault(t, {})
+        if got and (item not in best or (-got[1], got[0]) < (-best[item][1], best[item][0])):
+            best[item] = got
+    return by_text
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              item_col: str = "item_id", item_text: str = "text", least: int = LEAST, share: float = SHARE,
              block_words: int = BLOCK_WORDS, shortest: int = 1) -> DataFrame:
@@ -127,31 +155,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     others and give item_id null, a row for each text. Documents that repeat nothing give no row. Repeated document rows give theirs
     each. Null document ids stay null.
     """
-    items = benchmark.where(F.col(item_text).isNotNull()).groupBy(F.col(item_text).alias("t")).agg(F.min(F.col(item_col).cast("long")).alias("i"))
-    size = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = -(-size // (4 * block_words)) or 1
-    items = items.withColumn("b", F.pmod(F.xxhash64("t"), F.lit(blocks)))
     out = None
-    for b in range(blocks):
-        rows = sorted(((r["i"], r["t"]) for r in items.where(F.col("b") == b).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        if shortest > 1:
-            rows = [x for x, n in zip(rows, _words([t for _, t in rows])[1].tolist()) if n >= shortest]
-        table = docs.sparkSession.sparkContext.broadcast(SeedTable(rows))
+    for table in seed_tables(benchmark, item_col, item_text, block_words, shortest):
 
         def search(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
             known = table.value
             for part in slices(batches):
-                words, counts = _words(texts_of(part))
-                ends = np.cumsum(counts)
                 ids, rows = part.column("_id").to_pylist(), []
-                owner = np.repeat(np.arange(len(counts)), counts)
-                by_text: dict[int, dict[int, tuple]] = {}
-                for t, item, start in sorted(known.hits(words, owner)):
-                    lo = int(ends[t] - counts[t])
-                    got = known.overlap(words[lo: int(ends[t])], item, start - lo, least, share)
-                    best = by_text.setdefault(t, {})
-                    if got and (item not in best or (-got[1], got[0]) < (-best[item][1], best[item][0])):
-                        best[item] = (got[0], got[1], got[2])
+                by_text = findings(known, texts_of(part), least, share)
                 for t in sorted(by_text):
                     rows += [(ids[t], known.ids[i], *by_text[t][i]) for i in sorted(by_text[t])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)],
@@ -162,9 +173,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", shortest: int = 1, **how) -> DataFrame:
-    """The documents that repeat no benchmark item, all columns as they were. Rows without an id
-    cannot be named by a finding and stay. Items of fewer than ``shortest`` words do not contaminate;
-    with 1 an item of a single word takes every document that has it."""
-    found = overlaps(docs, benchmark, id_col, shortest=shortest, **how).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+          least: int = LEAST, share: float = SHARE, block_words: int = BLOCK_WORDS, shortest: int = 1) -> DataFrame:
+    """The documents that repeat no benchmark item, all columns as they were. Every row is judged by its own text as it
+    is read, so ids play no part: they may be null or shared. Rows stay in place, nothing is shuffled. Null
+    and empty texts stay. Items of fewer than ``shortest`` words do not contaminate; with 1 an item of a single
+    word takes every document that has it. An empty table stays empty, an empty benchmark takes nothing."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("_text"))
+    for table in seed_tables(benchmark, item_col, item_text, block_words, shortest):
+
+        def keep(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches):
+                found = findings(table.value, texts_of(part), least, share)
+                yield part.filter(pa.array([not found.get(t) for t in range(part.num_rows)], pa.bool_()))
+
+        rows = rows.mapInArrow(keep, rows.schema)
+    return rows.select("row.*")

@@ -2,6 +2,8 @@ from itertools import combinations
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from creditloom.llm.decontaminate import MASKS, clean, overlaps
 
 VOCAB = [f"word{i}" for i in range(3000)]
@@ -95,3 +97,18 @@ def test_items_without_an_id_and_short_items(spark):
     assert got == [(1, None, 20), (1, None, 25)]
     assert sorted(r.doc_id for r in clean(docs, items).collect()) == [3]
     assert sorted(r.doc_id for r in clean(docs, items, shortest=13).collect()) == [2, 3]
+
+
+def test_clean_judges_each_row_by_its_text(spark):
+    leak = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, f"before {leak} after", "a"), (None, "nothing of the kind", "b"), (7, leak, "c"), (7, "a clean row of the same id", "d"),
+            (8, None, "e"), (None, "", "f"), (9, ("clean words " * 30000) + leak, "g"), (9, "clean words " * 30000, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumn("_text", F.lit("clash"))
+    items = spark.createDataFrame([(1, leak), (2, "another item of thirteen words that no document has at all, none of them")], "item_id long, text string")
+    for words in (1 << 20, 8):
+        got = clean(docs, items, block_words=words)
+        assert got.columns == docs.columns
+        assert sorted(r.row for r in got.collect()) == ["b", "d", "e", "f", "h"]
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert clean(docs, items.where("false")).count() == len(rows)
+    assert clean(docs.where("false"), items).count() == 0
