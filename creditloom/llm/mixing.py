@@ -1,10 +1,12 @@
 """Mixing sources to target weights by entropy balancing.
 
-Documents get rates exp(lambda of their source), the tilt that is closest in relative entropy
-(measured in words) to taking every document once while each source's words meet its target. The
-dual is separable by source, so its sufficient statistics are the sources' sizes: one aggregation
-over the documents. Newton's steps run on that table, for all sources at once. Rates become whole
-copies by error diffusion within bounded chunks of a source, largest documents first.
+Documents get rates that are closest in relative entropy, counted per document, to taking every
+document once, while each source's words meet its target and no rate passes ``most``. The solution
+is an exponential tilt by length, rate = min(most, exp(lambda * words)) with one lambda a source.
+The dual is convex and separable by source; its gradient and curvature are moments of the tilted
+sizes, summed on Spark in every iteration of Newton's method over the exact histogram of sizes per
+source, for all sources at once. Rates become whole copies by error diffusion within bounded chunks
+of a source, largest documents first.
 """
 
 from __future__ import annotations
@@ -51,20 +53,42 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     return table.select("_null", "_source", "source_size", F.least(F.col("_w") * level, F.col("_cap")).alias("target"))
 
 
-def tilt(targets: DataFrame, tolerance: float = 1e-10, steps: int = 100) -> DataFrame:
-    """Add ``rate``: Newton's iterations on the dual, sum of size * exp(lambda) - target * lambda.
+def tilt(sized: DataFrame, targets: DataFrame, most: float = 2.0, tolerance: float = 1e-9, steps: int = 200) -> DataFrame:
+    """Add ``_l`` and ``_unit`` per source: a document's rate is min(most, exp(_l * size / _unit)).
 
-    A source without words, or with target zero, has rate zero.
+    Newton's steps go on the logarithm of the dual's gradient (the tilted words over the target),
+    kept inside the bracket of what was seen so far; where the bound leaves no curvature, the bracket
+    is halved. ``_unit`` is a source's mean size. ``_l`` is null where no tilt is wanted: sources
+    without words, of target zero, or whose target is all they may give. It is rounded to ten digits,
+    so that the order of sums plays no part in it.
     """
-    now = targets.withColumn("_l", F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.lit(0.0)))
+    key, top = ["_null", "_source"], math.log(most)
+    hist = settle(sized.where("size > 0").groupBy(*key, "size").agg(F.count("*").alias("_n")))
+    facts = hist.groupBy(*key).agg((F.sum(F.col("size") * F.col("_n")) / F.sum("_n")).alias("_unit"), F.min("size").alias("_least"))
+    wanted = (F.col("target") > 0) & (F.col("target") < most * F.col("source_size") * (1 - 1e-12))
+    none, zero, more = F.lit(None).cast("double"), F.lit(0.0), F.col("target") > F.col("source_size")
+    now = settle(targets.join(facts, key, "left").withColumns({
+        "_l": F.when(wanted, zero), "_lo": F.when(more, zero).otherwise(none),
+        "_hi": F.when(more, top * F.col("_unit") / F.col("_least")).otherwise(zero), "_gap": none}).drop("_least"))
+    z = F.col("_l") * F.col("size") / F.col("_unit")
+    words = F.col("size") * F.col("_n") * F.exp(F.least(z, F.lit(top)))
+    state = ["_l", "_lo", "_hi", "_gap", "_unit"]
     for _ in range(steps):
-        moment = F.col("source_size") * F.exp("_l")
-        step = F.col("target") / moment - 1
-        now = settle(now.withColumn("_l", F.col("_l") + F.least(F.greatest(step, F.lit(-1.0)), F.lit(1.0))))
-        gap = now.agg(F.max(F.abs(moment - F.col("target")) / F.col("target"))).first()[0]
-        if gap is None or gap <= tolerance:
+        moments = (hist.join(now.where("_l is not null").select(*key, "_l", "_unit"), key).groupBy(*key)
+                   .agg(F.sum(words).alias("_m"), F.sum(F.when(z < top, words * F.col("size") / F.col("_unit")).otherwise(0.0)).alias("_c")))
+        gap = F.log(F.col("_m") / F.col("target"))
+        step = F.col("_l") - F.try_divide(gap * F.col("_m"), F.col("_c"))
+        seen = (now.join(moments, key, "left").withColumn("_gap", gap)
+                .withColumn("_lo", F.when(F.col("_gap") < 0, F.col("_l")).otherwise(F.col("_lo")))
+                .withColumn("_hi", F.when(F.col("_gap") > 0, F.col("_l")).otherwise(F.col("_hi"))))
+        inside = step.isNotNull() & F.coalesce(step > F.col("_lo"), F.lit(True)) & F.coalesce(step < F.col("_hi"), F.lit(True))
+        moved = F.when(F.abs("_gap") <= tolerance, F.col("_l")).when(inside, step).otherwise((F.col("_lo") + F.col("_hi")) / 2)
+        now = settle(seen.withColumn("_l", F.when(F.col("_l").isNotNull(), F.coalesce(moved, F.col("_l")))).select(*targets.columns, *state))
+        worst = now.agg(F.max(F.abs("_gap"))).first()[0]
+        if worst is None or worst <= tolerance:
             break
-    return now.withColumn("rate", F.round(F.coalesce(F.exp("_l"), F.lit(0.0)), 9)).drop("_l")
+    digits = F.pow(F.lit(10.0), F.floor(F.log10(F.abs("_l"))) - 9)
+    return now.select(*targets.columns, "_unit", F.when(F.col("_l") == 0, zero).otherwise(F.round(F.col("_l") / digits) * digits).alias("_l"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
@@ -74,21 +98,23 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
     ``size`` counts words (null or empty text: 0), ``taken`` is copies times size, copies never
     exceed ``most`` rounded up. A null source is a source, ordered last. A document without words is
-    taken floor(rate) times. Ties in size are broken by a hash of the id, so reruns and other
+    taken once, as its tilt is 1. Ties in size are broken by a hash of the id, so reruns and other
     partitionings agree; repeated rows count as documents of their own. Empty tables stay empty.
     """
     sized = settle(docs.select(
         F.col(id_col).cast("long").alias("_id"), F.col(source_col).isNull().cast("int").alias("_null"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep))
-    sources = settle(tilt(source_targets(sized, weights, share, most)))
+    sources = settle(tilt(sized, source_targets(sized, weights, share, most), most))
     tie = F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")))
     ranked = settle(global_row_number(sized.withColumn("_tie", tie), ["_null", "_source", F.desc("size"), "_tie", "_id", *keep], "_nth"))
     first = ranked.groupBy("_null", "_source").agg(F.min("_nth").alias("_first"))
     # A source may hold a third of all documents: the few facts of each source are dealt to SALTS
     # places, so that its documents are too.
     facts = sources.join(first, ["_null", "_source"]).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    placed = (ranked.withColumn("_salt", F.pmod("_nth", F.lit(SALTS))).join(facts, ["_null", "_source", "_salt"])
+    rate = (F.when(F.col("size") == 0, 1.0).when(F.col("_l").isNotNull(), F.least(F.exp(F.col("_l") * F.col("size") / F.col("_unit")), F.lit(float(most))))
+            .when(F.col("target") > 0, float(most)).otherwise(0.0))
+    placed = (ranked.withColumn("_salt", F.pmod("_nth", F.lit(SALTS))).join(facts, ["_null", "_source", "_salt"]).withColumn("rate", rate)
               .withColumn("_chunk", F.floor((F.col("_nth") - F.col("_first")) / CHUNK)))
 
     def diffuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
