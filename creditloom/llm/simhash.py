@@ -11,6 +11,7 @@ counted for all of them at once with carry-save adders.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -230,6 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 WIDE_WORDS, WIDE_SIMILARITY, KEYS, KEY_BITS, WIDE_BUCKET = 5, 0.8, 80, 16, 4096
 FEW, PIVOTS, BINS = 32, 64, 128
+SHORT = 32
 
 
 def wide_radius(similarity: float, bits: int = 128) -> int:
@@ -258,7 +260,7 @@ def _pick(words: np.ndarray, places: np.ndarray) -> np.ndarray:
 def _not_met_before(a: np.ndarray, b: np.ndarray, way: np.ndarray, masks: np.ndarray) -> np.ndarray:
     """Which pairs of fingerprints agree on no key before ``way``: there each pair counts once."""
     x, keep = a ^ b, np.ones(len(a), dtype=bool)
-    for k in range(int(way.max(initial=0))):
+    for k in range(min(int(way.max(initial=0)), len(masks))):
         keep &= (way <= k) | ((x & masks[k]) != 0).any(axis=1)
     return keep
 
@@ -382,14 +384,33 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             .where(both >= similarity * (F.size("_u") + F.size("_v") - both) - 1e-9).select("u", "v"))
 
 
+def rare_keys(sets: DataFrame, similarity: float) -> DataFrame:
+    """``way, key`` and the columns ``node, f0, f1, n`` of ``sets`` for each hash by which a set ``h`` can be met.
+
+    Two sets of that Jaccard similarity share one of their first n - ceil(similarity * n) + 1 hashes in
+    any order that all sets keep. Here hashes come first that few sets hold; those of up to ``FEW`` sets
+    count as equally rare, so that only the common ones are joined.
+    """
+    each = sets.select("node", "f0", "f1", "n", F.explode("h").alias("key"))
+    common = settle(each.groupBy("key").count().where(F.col("count") > FEW))
+    ordered = (each.join(common, "key", "left").groupBy("node", "f0", "f1", "n")
+               .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "key"))).alias("h")))
+    first = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
+    return (ordered.select(F.lit(0).cast("long").alias("way"), F.explode(F.slice("h", F.lit(1), first.cast("int"))).alias("x"), "node", "f0", "f1", "n")
+            .select("way", "x.key", "node", "f0", "f1", "n"))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS,
-                   similarity: float = WIDE_SIMILARITY, keys: int = KEYS, key_bits: int = KEY_BITS, bucket: int = WIDE_BUCKET) -> DataFrame:
+                   similarity: float = WIDE_SIMILARITY, keys: int = KEYS, key_bits: int = KEY_BITS, bucket: int = WIDE_BUCKET,
+                   short: int = SHORT) -> DataFrame:
     """``doc_id, text_hash, component_id, component_hash`` per document: groups linked by similarity of word shingles.
 
     Two documents link when the Jaccard similarity of their sets of shingle hashes is ``similarity`` or
     more; every link is checked on the sets. Candidates are pairs whose 128-bit SimHash fingerprints are
     within ``wide_radius(similarity)`` and agree on one of ``keys`` fixed random choices of ``key_bits``
-    bits; pairs already connected are not looked at again. Equal sets are one node. Buckets above
+    bits. The fingerprints of small sets scatter too much for that, so pairs with a set of at most ``short``
+    hashes also meet wherever their rarest hashes do (``rare_keys``), at any distance: no such link is lost.
+    Pairs already connected are not looked at again. Equal sets are one node. Buckets above
     ``bucket`` nodes are compared block against block in many tasks, and the result does not depend on it.
     ``component_id`` is the smallest id of the group, ``text_hash`` Spark's xxhash64 of a text and
     ``component_hash`` the smallest one of that id in the group, as rows may share an id and not the text.
@@ -397,6 +418,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     radius = wide_radius(similarity)
     least = int(np.ceil(similarity / (1 - similarity) - 1e-9)) if similarity < 1 else 1 << 40  # smaller sets are alike only if equal
+    widest = int(short / similarity + 1e-9)  # a set of ``short`` hashes is not like larger ones
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -406,8 +428,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 sets = [np.unique(shingle_hashes(t, words)) for t in bytes_of(part)]
                 fps = np.array([wide_fingerprint(h) for h in sets], dtype="<u8").reshape(-1, 2).view("<i8")
                 node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], dtype="<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("text_hash"), pa.array(node), pa.array(fps[:, 0]), pa.array(fps[:, 1]), pa.array([len(h) for h in sets], pa.int64())],
-                                             ["doc_id", "text_hash", "node", "f0", "f1", "n"])
+            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("text_hash"), pa.array(node), pa.array(fps[:, 0]), pa.array(fps[:, 1]), pa.array([len(h) for h in sets], pa.int64()),
+                                              pa.array([h.view("<i8") if len(h) <= widest else None for h in sets], pa.list_(pa.int64()))],
+                                             ["doc_id", "text_hash", "node", "f0", "f1", "n", "h"])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -432,24 +455,32 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     given = id_text(docs, id_col, text_col).where("_id is not null")
     marked = settle(given.select("_id", "_text", F.xxhash64("_text").alias("text_hash"))
-                    .mapInArrow(run, "doc_id long, text_hash long, node long, f0 long, f1 long, n long"))
-    distinct = settle(marked.groupBy("node", "f0", "f1", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")))
-    rows = distinct.where(F.col("n") >= least).select("node", "f0", "f1", "n").mapInArrow(spread, "way long, key long, node long, f0 long, f1 long, n long")
-    over = settle(rows.groupBy("way", "key").count().where(F.col("count") > bucket).withColumn("blocks", F.ceil(F.col("count") / bucket)))
-    single = {c: F.lit(0).cast("long") for c in ("own", "a", "b")}
-    fit, large, split = rows.withColumns(single), None, not over.isEmpty()
-    if split:
+                    .mapInArrow(run, "doc_id long, text_hash long, node long, f0 long, f1 long, n long, h array<long>"))
+    distinct = settle(marked.groupBy("node", "f0", "f1", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("h").alias("h")))
+    columns = ["way", "key", "a", "b", "node", "f0", "f1", "n", "own"]
+
+    def dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """The rows to compare at first, those of buckets that fit, and all blocks of the others."""
+        over = settle(rows.groupBy("way", "key").count().where(F.col("count") > bucket).withColumn("blocks", F.ceil(F.col("count") / bucket)))
+        single = {c: F.lit(0).cast("long") for c in ("own", "a", "b")}
+        if over.isEmpty():
+            return (rows.withColumns(single).select(columns),) * 2 + (None,)
         # Names are hashes, so the least of them are a fair draw: these meet every block at first.
-        fit = rows.join(over, ["way", "key"], "left_anti").withColumns(single)
+        fit = rows.join(over, ["way", "key"], "left_anti").withColumns(single).select(columns)
         large = rows.join(over, ["way", "key"]).withColumn("own", F.pmod("node", "blocks"))
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
         pivot = F.col("node") < -float(1 << 63) + float(1 << 64) * PIVOTS / F.col("count")
-        own = F.explode(F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own")))
-        at_first = large.withColumn("a", own).withColumn("b", F.col("a"))
-        blocks = large.withColumn("_x", every).withColumn("a", F.least("own", "_x")).withColumn("b", F.greatest("own", "_x"))
-    columns = ["way", "key", "a", "b", "node", "f0", "f1", "n", "own"]
-    start = fit.select(columns).union(at_first.select(columns)) if split else fit.select(columns)
-    got = settle(bucket_pairs(start, radius, similarity, masks, False))
+        at_first = large.withColumn("a", F.explode(F.when(pivot, every).otherwise(F.array("own")))).withColumn("b", F.col("a"))
+        blocks = large.withColumn("_x", F.explode(every)).withColumn("a", F.least("own", "_x")).withColumn("b", F.greatest("own", "_x"))
+        return fit.union(at_first.select(columns)), fit, blocks.select(columns)
+
+    able = distinct.where(F.col("n") >= least)
+    by_bits = able.select("node", "f0", "f1", "n").mapInArrow(spread, "way long, key long, node long, f0 long, f1 long, n long")
+    searches = [(by_bits, radius, masks)]
+    if short >= least:
+        searches.append((settle(rare_keys(able.where(F.col("n") <= widest), similarity)), 128, masks[:0]))
+    searches = [(*dealt(rows), reach, met) for rows, reach, met in searches]
+    found = [settle(bucket_pairs(first, reach, similarity, met, False)) for first, _, _, reach, met in searches]
 
     def checked(pairs: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """The pairs that are alike, and the sets that are known by then."""
@@ -462,18 +493,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sets = sets if known is None else known.union(sets)
         return settle(alike(pairs, sets, similarity)), sets
 
-    links, sets = checked(settle(got.where("u is not null").select("u", "v").distinct()), None)
+    def pairs_of(parts: list[DataFrame]) -> DataFrame:
+        return settle(reduce(DataFrame.union, [x.where("u is not null").select("u", "v") for x in parts]).distinct())
+
+    links, sets = checked(pairs_of(found), None)
     group = settle(components(links))
-    open_ = settle(got.where("u is null").select("way", "key", "a", "b").distinct())
-    if split or not open_.isEmpty():
-        left = fit.join(open_, ["way", "key", "a", "b"], "left_semi").select(columns)
-        if split:
-            left = left.union(blocks.select(columns))
-        comp = group.withColumnRenamed("root", "comp")
+    comp = group.withColumnRenamed("root", "comp")
+    again = []
+    for got, (_, fit, blocks, reach, met) in zip(found, searches):
+        open_ = settle(got.where("u is null").select("way", "key", "a", "b").distinct())
+        if blocks is None and open_.isEmpty():
+            continue
+        left = fit.join(open_, ["way", "key", "a", "b"], "left_semi")
+        left = left if blocks is None else left.union(blocks)
         left = settle(left.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
         mixed_up = left.groupBy("way", "key", "a", "b").agg(F.min("comp").alias("_l"), F.max("comp").alias("_m")).where("_l != _m")
         left = left.join(mixed_up, ["way", "key", "a", "b"], "left_semi").join(sets.select("node", "hist"), "node", "left")
-        pairs = settle(bucket_pairs(left, radius, similarity, masks, True).select("u", "v").where("u is not null").distinct())
+        again.append(bucket_pairs(left, reach, similarity, met, True))
+    if again:
+        pairs = pairs_of(again)
         if not pairs.isEmpty():
             more, _ = checked(pairs, sets)
             group = settle(components(links.union(more)))

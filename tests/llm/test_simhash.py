@@ -160,6 +160,60 @@ def test_result_does_not_depend_on_the_bucket(spark):
     assert all(got[0][k] == (0 if k < 500 else 500) for k, _ in rows)
 
 
+def at_least(rng, vocab, n, replace):
+    """Two texts of about n shingles whose similarity is 0.8 or just above."""
+    base = list(rng.choice(vocab, n + 4, replace=False))
+    k = n // 9
+    other = base[:-k] + [f"r{x}" for x in rng.integers(0, 1 << 40, k)] if replace and k else base[: len(base) - n // 5]
+    return " ".join(base), " ".join(other)
+
+
+def test_recall_by_size(spark):
+    """Pairs at 0.80 to 0.85: all are found among short texts, nearly all among longer ones."""
+    rng = np.random.default_rng(21)
+    vocab, rows, of, pairs = [f"v{i}" for i in range(5000)], [], {}, 60
+    for n in (5, 6, 10, 11, 18, 20, 27, 30, 36, 45, 64, 150, 400, 1000):
+        for k in range(pairs):
+            both = at_least(rng, vocab, n, k % 2)
+            assert 0.8 <= jaccard(*both) < 0.86
+            of[len(rows)] = n
+            rows += [(len(rows), both[0]), (len(rows) + 1, both[1])]
+    got = grouped(spark, rows)
+    hits = {n: sum(got[i + 1] == i for i in of if of[i] == n) / pairs for n in set(of.values())}
+    assert all(hits[n] == 1 for n in hits if n <= 32), hits
+    assert min(hits.values()) >= 0.9 and sum(hits.values()) / len(hits) >= 0.95, hits
+    assert all(got[i] == i for i in of)
+
+
+def test_short_texts_against_all_pairs(spark):
+    """Short texts that share common beginnings, and a large group of near copies: the same groups as by brute force."""
+    rng = np.random.default_rng(22)
+    opening = "we are happy to tell you today".split()
+    rows = []
+    for g in range(60):
+        base = opening + [f"t{x}" for x in rng.integers(0, 400, int(rng.integers(3, 26)))]
+        for _ in range(4):
+            rows.append((len(rows), " ".join(base[: len(base) - int(rng.integers(0, 4))] + [f"e{x}" for x in rng.integers(0, 50, int(rng.integers(0, 3)))])))
+    rows += [(len(rows) + k, " ".join([f"h{x}" for x in range(24)] + [f"end{k}"])) for k in range(150)]
+    sets = [set(shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    want = {i: find(i) for i in range(len(rows))}
+    assert len(set(want.values())) < len(rows) / 2
+    for bucket in (4096, 20):
+        assert grouped(spark, rows, bucket=bucket) == want
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(none).collect() == [] and similar_groups(none).collect() == []
