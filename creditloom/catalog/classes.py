@@ -11,6 +11,7 @@ from creditloom.operators import feature_scores as S
 from creditloom.operators import metrics as M
 from creditloom.operators import quality as Q
 from creditloom.operators import splits as P
+from creditloom.operators.mutual_information import neighbour_mutual_info_scores
 from creditloom.operators.nearest import nearest_in_group
 from creditloom.operators.ensembles import average_probabilities
 
@@ -420,6 +421,25 @@ nb as (select feature, bin, sum(n) nb from j group by 1, 2), nc as (select featu
 select feature, round(sum(n / nt * ln(n * nt / (nb * nc))), 4) score from j join nb using (feature, bin) join nc using (feature, c) join nt using (feature) group by 1"""
 
 
+def mutual_info_neighbours(spark, sf):
+    """Amounts in whole cents and percents, so that distances are exact in both engines."""
+    whole = table(spark, sf, "lineitem").withColumns({f: F.round(F.col(f) * 100) for f in FEATURES})
+    return neighbour_mutual_info_scores(whole, "l_returnflag", FEATURES).withColumn("score", F.round("score", 6))
+
+
+_STEPS = [f"{side}(v, {i}) over (partition by feature, c order by v)" for side in ("lag", "lead") for i in (1, 2, 3)]
+MI_NEIGHBOURS_SQL = f"""with u as (select feature, l_returnflag c, round(v * 100) v from ({_UNP})),
+s as (select feature, c, count(*) nc from u group by 1, 2 having count(*) > 1), o as (select u.*, nc from u join s using (feature, c)),
+d as (select feature, c, v, nc, [{", ".join(f"abs(v - {x})" for x in _STEPS)}] ds from o),
+r as (select feature, c, v, nc, list_sort([x for x in ds if x is not null])[least(3, nc - 1)] r from d),
+q as (select feature, c, v, nc, min(r) r, count(*) w from r group by 1, 2, 3, 4), p as (select feature, v, count(*) n from o group by 1, 2),
+m as (select q.feature, q.c, q.v, q.nc, q.w, sum(p.n)::bigint m from q join p on p.feature = q.feature and p.v > q.v - q.r and p.v < q.v + q.r where q.r > 0 group by 1, 2, 3, 4, 5
+  union all select q.feature, q.c, q.v, q.nc, q.w, p.n from q join p on p.feature = q.feature and p.v = q.v where q.r = 0),
+h as (select i, coalesce(sum(1.0::double / i) over (order by i rows between unbounded preceding and 1 preceding), 0) - 0.5772156649015329 psi from range(1, (select count(*) + 1 from lineitem)) x(i)),
+t as (select feature, sum(w)::bigint n, sum(w * (hk.psi - hc.psi - hm.psi)) s from m join h hk on hk.i = least(3, nc - 1) join h hc on hc.i = nc join h hm on hm.i = m group by 1)
+select feature, round(greatest(0, h.psi + s / n), 6) score from t join h on h.i = n"""
+
+
 def top_k_features(spark, sf):
     return S.top_k(S.chi2_scores(table(spark, sf, "lineitem"), "l_returnflag", FEATURES), 3).select("feature")
 
@@ -576,6 +596,7 @@ QUERIES = {
     "chi2_scores": (_scores(S.chi2_scores), CHI2_SQL),
     "anova_f": (_scores(S.anova_f_scores), ANOVA_SQL),
     "mutual_info": (_scores(S.mutual_info_scores), MI_SQL),
+    "mutual_info_neighbours": (mutual_info_neighbours, MI_NEIGHBOURS_SQL),
     "top_k_features": (top_k_features, f"with {CHI2} select feature from chi order by score desc, feature limit 3"),
     "dq_profile": (dq_profile, DQ_PROFILE_SQL),
     "dq_validate": (dq_validate, DQ_VALIDATE_SQL),
