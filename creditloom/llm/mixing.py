@@ -54,11 +54,11 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share
 
 
 def tilt(sized: DataFrame, targets: DataFrame, most: float = 2.0, tolerance: float = 1e-9, steps: int = 200) -> DataFrame:
-    """Add ``_l`` and ``_unit`` per source: a document's rate is min(most, exp(_l * size / _unit)).
+    """Add ``_lambda`` and ``_unit`` per source: a document's rate is min(most, exp(_lambda * size / _unit)).
 
     Newton's steps go on the logarithm of the dual's gradient (the tilted words over the target),
     kept inside the bracket of what was seen so far; where the bound leaves no curvature, the bracket
-    is halved. ``_unit`` is a source's mean size. ``_l`` is null where no tilt is wanted: sources
+    is halved. ``_unit`` is a source's mean size. ``_lambda`` is null where no tilt is wanted: sources
     without words, of target zero, or whose target is all they may give. It is rounded to ten digits,
     so that the order of sums plays no part in it.
     """
@@ -68,27 +68,27 @@ def tilt(sized: DataFrame, targets: DataFrame, most: float = 2.0, tolerance: flo
     wanted = (F.col("target") > 0) & (F.col("target") < most * F.col("source_size") * (1 - 1e-12))
     none, zero, more = F.lit(None).cast("double"), F.lit(0.0), F.col("target") > F.col("source_size")
     now = settle(targets.join(facts, key, "left").withColumns({
-        "_l": F.when(wanted, zero), "_lo": F.when(more, zero).otherwise(none),
+        "_lambda": F.when(wanted, zero), "_lo": F.when(more, zero).otherwise(none),
         "_hi": F.when(more, top * F.col("_unit") / F.col("_least")).otherwise(zero), "_gap": none}).drop("_least"))
-    z = F.col("_l") * F.col("size") / F.col("_unit")
+    z = F.col("_lambda") * F.col("size") / F.col("_unit")
     words = F.col("size") * F.col("_n") * F.exp(F.least(z, F.lit(top)))
-    state = ["_l", "_lo", "_hi", "_gap", "_unit"]
+    state = ["_lambda", "_lo", "_hi", "_gap", "_unit"]
     for _ in range(steps):
-        moments = (hist.join(now.where("_l is not null").select(*key, "_l", "_unit"), key).groupBy(*key)
+        moments = (hist.join(now.where("_lambda is not null").select(*key, "_lambda", "_unit"), key).groupBy(*key)
                    .agg(F.sum(words).alias("_m"), F.sum(F.when(z < top, words * F.col("size") / F.col("_unit")).otherwise(0.0)).alias("_c")))
         gap = F.log(F.col("_m") / F.col("target"))
-        step = F.col("_l") - F.try_divide(gap * F.col("_m"), F.col("_c"))
+        step = F.col("_lambda") - F.try_divide(gap * F.col("_m"), F.col("_c"))
         seen = (now.join(moments, key, "left").withColumn("_gap", gap)
-                .withColumn("_lo", F.when(F.col("_gap") < 0, F.col("_l")).otherwise(F.col("_lo")))
-                .withColumn("_hi", F.when(F.col("_gap") > 0, F.col("_l")).otherwise(F.col("_hi"))))
+                .withColumn("_lo", F.when(F.col("_gap") < 0, F.col("_lambda")).otherwise(F.col("_lo")))
+                .withColumn("_hi", F.when(F.col("_gap") > 0, F.col("_lambda")).otherwise(F.col("_hi"))))
         inside = step.isNotNull() & F.coalesce(step > F.col("_lo"), F.lit(True)) & F.coalesce(step < F.col("_hi"), F.lit(True))
-        moved = F.when(F.abs("_gap") <= tolerance, F.col("_l")).when(inside, step).otherwise((F.col("_lo") + F.col("_hi")) / 2)
-        now = settle(seen.withColumn("_l", F.when(F.col("_l").isNotNull(), F.coalesce(moved, F.col("_l")))).select(*targets.columns, *state))
+        moved = F.when(F.abs("_gap") <= tolerance, F.col("_lambda")).when(inside, step).otherwise((F.col("_lo") + F.col("_hi")) / 2)
+        now = settle(seen.withColumn("_lambda", F.when(F.col("_lambda").isNotNull(), F.coalesce(moved, F.col("_lambda")))).select(*targets.columns, *state))
         worst = now.agg(F.max(F.abs("_gap"))).first()[0]
         if worst is None or worst <= tolerance:
             break
-    digits = F.pow(F.lit(10.0), F.floor(F.log10(F.abs("_l"))) - 9)
-    return now.select(*targets.columns, "_unit", F.when(F.col("_l") == 0, zero).otherwise(F.round(F.col("_l") / digits) * digits).alias("_l"))
+    digits = F.pow(F.lit(10.0), F.floor(F.log10(F.abs("_lambda"))) - 9)
+    return now.select(*targets.columns, "_unit", F.when(F.col("_lambda") == 0, zero).otherwise(F.round(F.col("_lambda") / digits) * digits).alias("_lambda"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
@@ -112,7 +112,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     # A source may hold a third of all documents: the few facts of each source are dealt to SALTS
     # places, so that its documents are too.
     facts = sources.join(first, ["_null", "_source"]).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    rate = (F.when(F.col("size") == 0, 1.0).when(F.col("_l").isNotNull(), F.least(F.exp(F.col("_l") * F.col("size") / F.col("_unit")), F.lit(float(most))))
+    rate = (F.when(F.col("size") == 0, 1.0).when(F.col("_lambda").isNotNull(), F.least(F.exp(F.col("_lambda") * F.col("size") / F.col("_unit")), F.lit(float(most))))
             .when(F.col("target") > 0, float(most)).otherwise(0.0))
     placed = (ranked.withColumn("_salt", F.pmod("_nth", F.lit(SALTS))).join(facts, ["_null", "_source", "_salt"]).withColumn("rate", rate)
               .withColumn("_chunk", F.floor((F.col("_nth") - F.col("_first")) / CHUNK)))
