@@ -2,7 +2,8 @@
 
 For each language a suffix automaton of a bounded sample of labelled text is built. A text is cut
 greedily into the longest phrases that occur in the sample; the fewer phrases a language needs,
-the closer the text is to it. Phrase counts are normalised by the logarithm of the sample's
+the closer the text is to it. Letters are numbered by frequency over all samples: the most frequent are
+one symbol each, all others are spelled in digits, so no alphabet is too large. Phrase counts are normalised by the logarithm of the sample's
 length (Ziv and Merhav's estimate of cross entropy). Texts are parsed in blocks of 512 symbols,
 many blocks side by side, each block from the automaton's root; a block's end closes a phrase.
 """
@@ -23,6 +24,7 @@ from creditloom.llm.common import slices, texts_of
 
 ROWS, ROW_CHARS, SAMPLE = 128, 1024, 32_768
 CLASSES = 64
+OTHER, SINGLE, DIGITS = 1, 30, 32
 CELLS = 48_000_000
 BLOCK = 512
 
@@ -33,15 +35,16 @@ def held_out(id_col: str = "doc_id"):
 
 
 def letter_table(texts: list[str]) -> np.ndarray:
-    """Class of every code point: 0 for what is no letter, 1 for letters outside the samples'
-    most frequent ones, 2.. for those. Upper and lower case share a class."""
+    """How every code point is spelled in symbols, as one number: 0 for what is no letter, ``OTHER`` for
+    letters that no sample has, 2.. for the samples' ``SINGLE`` most frequent letters, and from ``CLASSES``
+    on, ``CLASSES`` plus the rank among the rest. Upper and lower case share a number."""
     code_points = range(0x110000)
     letter = np.fromiter((chr(c).isalpha() for c in code_points), dtype=bool, count=0x110000)
     counts = np.bincount(np.frombuffer("".join(texts).lower().encode("utf-32-le"), dtype="<u4"), minlength=0x110000)
     counts[~letter[: len(counts)]] = 0
-    best = [int(c) for c in np.lexsort((np.arange(len(counts)), -counts))[: CLASSES - 2] if counts[c] > 0]
-    of = {c: 2 + i for i, c in enumerate(best)}
-    table = letter.astype(np.uint8)
+    seen = [int(c) for c in np.lexsort((np.arange(len(counts)), -counts))[: int((counts > 0).sum())]]
+    of = {c: 2 + i if i < SINGLE else CLASSES + i - SINGLE for i, c in enumerate(seen)}
+    table = letter.astype(np.int32) * OTHER
     for c in np.nonzero(letter)[0].tolist():
         low = chr(c).lower()
         k = of.get(c) or of.get(ord(low[0]))
@@ -50,19 +53,46 @@ def letter_table(texts: list[str]) -> np.ndarray:
     return table
 
 
-def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letter classes of the texts behind each other, with one 0 for each run of other characters;
+def spelled(numbers: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of ``letter_table`` as symbols, and how many each takes: one, or ``width`` digits for
+    letters beyond the most frequent ones. Digits are symbols that stand for no letter of their own."""
+    rare = numbers >= CLASSES
+    if not rare.any():
+        return numbers.astype(np.uint8), np.ones(len(numbers), dtype=np.int64)
+    takes = np.where(rare, width, 1)
+    ends = np.cumsum(takes)
+    out = np.empty(int(ends[-1]), dtype=np.uint8)
+    out[ends[~rare] - 1] = numbers[~rare]
+    at, rest = ends[rare] - 1, numbers[rare] - CLASSES
+    for k in range(width):
+        out[at - k] = 2 + SINGLE + rest % DIGITS
+        rest = rest // DIGITS
+    return out, takes
+
+
+def digits_of(table: np.ndarray) -> int:
+    """Digits that tell all letters beyond the most frequent ones apart."""
+    most, width = int(table.max()) - CLASSES, 1
+    while DIGITS ** width <= most:
+        width += 1
+    return width
+
+
+def symbols(texts: list[str], table: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spelled letters of the texts behind each other, with one 0 for each run of other characters;
     the symbols and the letters of each text."""
     if not texts:
         return np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    classes = table[np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), dtype="<u4")]
-    keep = classes > 0
+    numbers = table[np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), dtype="<u4")]
+    keep = numbers > 0
     starts = np.concatenate(([0], ends[:-1]))
     letters = np.add.reduceat(keep, starts, dtype=np.int64)
-    keep[1:] |= classes[:-1] > 0
-    sizes = np.add.reduceat(keep, starts, dtype=np.int64)
-    return classes[keep], sizes, letters
+    keep[1:] |= numbers[:-1] > 0
+    seq, takes = spelled(numbers[keep], width)
+    size = np.zeros(len(numbers), dtype=np.int64)
+    size[keep] = takes
+    return seq, np.add.reduceat(size, starts), letters
 
 
 def automaton(text: np.ndarray) -> np.ndarray:
@@ -140,21 +170,22 @@ def sample_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, row
 
 
 def fit(samples: dict[str, list[str]], sample: int = SAMPLE) -> dict:
-    """Letter classes and an automaton per language. The sample's length shrinks with the number
+    """Spelling of letters and an automaton per language. The sample's length shrinks with the number
     of languages, so that all tables together stay below CELLS entries."""
     most = min(sample, CELLS // (2 * CLASSES * max(1, len(samples))))
     letters = letter_table([t for texts in samples.values() for t in texts])
+    width = digits_of(letters)
     tables = {}
     for lang in sorted(samples):
-        text = symbols(samples[lang], letters)[0][:most]
+        text = symbols(samples[lang], letters, width)[0][:most]
         if (text > 0).any():
             tables[lang] = (automaton(text), float(np.log2(max(2, len(text)))))
-    return {"letters": letters, "tables": tables}
+    return {"letters": letters, "width": width, "tables": tables}
 
 
 def rates(texts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
     """Normalised phrases per symbol, a row per text and a column per language; letters per text."""
-    seq, sizes, letters = symbols(texts, model["letters"])
+    seq, sizes, letters = symbols(texts, model["letters"], model["width"])
     starts = np.cumsum(sizes) - sizes
     blocks_of = -(-sizes // BLOCK)
     owner = np.repeat(np.arange(len(texts)), blocks_of)

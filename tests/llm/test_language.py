@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
-from creditloom.llm.language import CLASSES, automaton, fit, identify, phrases, rates, symbols
+from creditloom.llm.language import CLASSES, OTHER, SINGLE, automaton, fit, identify, phrases, rates, symbols
 
 
 def parsed(text, sample):
@@ -32,7 +32,7 @@ def test_automaton_parses_like_string_search():
 
 def test_symbols():
     model = fit({"x": ["abc abc"], "y": ["Äöü"]})
-    seq, sizes, letters = symbols(["", "A b,, c1", "123", "ÄΩ"], model["letters"])
+    seq, sizes, letters = symbols(["", "A b,, c1", "123", "ÄΩ"], model["letters"], model["width"])
     assert sizes.tolist() == [0, 6, 0, 3] and letters.tolist() == [0, 3, 0, 2]  # one blank for a run, and one at a text's end
     assert seq[0] == model["letters"][ord("a")] and seq[1] == 0
 
@@ -74,3 +74,47 @@ def test_rates_use_whole_texts():
     model = fit({"a": ["abab" * 50], "b": ["cdcd" * 50]})
     r, _ = rates(["ab" * 300 + "cd" * 2000, "ab" * 3000 + "cd" * 200], model)
     assert r[0].argmin() == 1 and r[1].argmin() == 0
+
+
+def test_letters_beyond_the_most_frequent_are_spelled():
+    hanzi = [chr(0x4E00 + i) for i in range(3000)]
+    model = fit({"x": ["".join(hanzi) + "abc" * 40]})
+    seq, sizes, letters = symbols(["".join(hanzi), "abc", "\u0391"], model["letters"], model["width"])
+    assert model["width"] == 3 and letters.tolist() == [3000, 3, 1] and sizes.tolist()[1:] == [4, 2]
+    assert seq[-2] == OTHER and (seq < CLASSES).all()
+    one, spelled, at = 0, set(), 0
+    for c in hanzi:  # every letter has a spelling of its own
+        word = tuple(symbols([c], model["letters"], model["width"])[0].tolist())
+        spelled.add(word)
+        one += len(word) == 2
+        assert tuple(seq[at:at + len(word) - 1].tolist()) == word[:-1]
+        at += len(word) - 1
+    assert len(spelled) == 3000 and one == SINGLE - 3
+
+
+def test_languages_of_one_large_script():
+    rng = np.random.default_rng(3)
+    words = {lang: ["".join(chr(0x4E00 + int(c)) for c in rng.integers(low, low + 2000, int(rng.integers(1, 4)))) for _ in range(600)]
+             for lang, low in (("p", 0), ("q", 1000), ("r", 2000))}
+
+    def text(lang, n):
+        return "".join(rng.choice(words[lang], n))
+
+    model = fit({lang: [text(lang, 300) for _ in range(40)] for lang in words})
+    for k, lang in enumerate(sorted(words)):
+        got, _ = rates([text(lang, 60) for _ in range(50)] + ["\u03b1\u03b2\u03b3" * 9], model)
+        assert (got[:50].argmin(axis=1) == k).mean() >= 0.98
+        assert (got[:50, k] <= 8).all() and (got[50] > 8).all()  # an alphabet that no sample has stays unknown
+
+
+def test_many_scripts(spark):
+    rng = np.random.default_rng(5)
+    letters = {lang: [chr(low + i) for i in range(40)] for lang, low in (("ko", 0xAC00), ("am", 0x1200), ("el", 0x3B1), ("th", 0xE01), ("en", 0x61))}
+    letters["en"], letters["el"] = letters["en"][:26], letters["el"][:24]
+    rows = []
+    for i in range(400):
+        lang = list(letters)[i % 5]
+        rows.append((i, " ".join("".join(rng.choice(letters[lang], 5)) for _ in range(20)), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in identify(docs).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows)
