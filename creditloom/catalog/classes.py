@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from creditloom.catalog.tables import table
+from creditloom.catalog.tables import scratch, table
 from creditloom.operators import balance as B
 from creditloom.operators import candidates as C
 from creditloom.operators import feature_scores as S
@@ -13,7 +13,9 @@ from creditloom.operators import quality as Q
 from creditloom.operators import splits as P
 from creditloom.operators.mutual_information import neighbour_mutual_info_scores
 from creditloom.operators.nearest import nearest_in_group
+from creditloom.operators.sizing import settle
 from creditloom.operators.ensembles import average_probabilities
+from creditloom.plans import ledger as L
 
 U01 = "cast(('0x' || substr(md5({}), 1, 8)) as bigint) / 4294967296.0"
 
@@ -396,6 +398,46 @@ UNTIL_SQL = f"with {CAND} select ordinal from cand where ordinal <= coalesce((se
 HISTORY_SQL = f"with {CAND} select model, count(*) n_candidates, count(mean_f1) n_valid, max(mean_f1) best_score from cand group by 1"
 
 
+def search_ledger(spark, sf):
+    """A search that stops at its target, is flushed twice, restarted, and whose failures are tried again."""
+    found = settle(_candidates(spark, sf).withColumns({
+        "params": F.format_string('{"part": %d}', "ordinal"), L.KEY: L.candidate_key("parts", "model", "ordinal")}))
+    second = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("ordinal")).agg(F.round(F.avg("l_discount"), 6).alias("_score"))
+    plan = found.select("ordinal", "model", "params", L.KEY)
+    path = scratch(spark, "ledger")
+
+    def rows(of, attempt):
+        return of.select(L.KEY, "ordinal", "model", "params", "mean_f1", F.lit(attempt).alias("attempt"), F.lit(float(attempt)).alias("timestamp"))
+
+    first = rows(C.until_target(found, 0.0599), 1)
+    L.commit(first, path)
+    L.commit(first, path)
+    L.commit(rows(L.unfinished(found, spark.read.parquet(path)), 2), path)
+    failed = L.unfinished(plan, spark.read.parquet(path), retry_failed=True)
+    L.commit(rows(failed.join(second, "ordinal", "left").withColumnRenamed("_score", "mean_f1"), 3), path)
+    return L.planned_results(plan, spark.read.parquet(path)).select("ordinal", "model", F.nanvl("mean_f1", F.lit(None)).alias("mean_f1"), "attempt")
+
+
+def search_history(spark, sf):
+    """The history entry of a run, a row for each of its best candidates."""
+    named = _candidates(spark, sf).join(table(spark, sf, "part").select(F.col("p_partkey").alias("ordinal"), "p_type"), "ordinal")
+    entry = C.history_entry(named.withColumn("model", F.concat_ws(" ", "model", "p_type")), "run", n=20)
+    return entry.select("n_candidates", "n_valid", F.concat_ws(",", "models_present").alias("models_present"),
+                        F.concat_ws(",", "models_without_valid").alias("models_without_valid"), F.inline("top"))
+
+
+LEDGER_SQL = f"""with {CAND}, second as (select l_partkey ordinal, round(avg(l_discount), 6) again from lineitem group by 1),
+ stop as (select coalesce(min(ordinal), 9223372036854775807) s from cand where mean_f1 >= 0.0599)
+ select ordinal, model, coalesce(mean_f1, again) mean_f1, case when mean_f1 is null and again is not null then 3 when ordinal <= s then 1 else 2 end::int attempt
+ from cand left join second using (ordinal), stop"""
+SEARCH_HISTORY_SQL = f"""with {CAND}, named as (select ordinal, model || ' ' || p_type as model, mean_f1 from cand join part on p_partkey = ordinal),
+ per as (select model, count(*) n, count(mean_f1) v from named group by 1),
+ head as (select sum(n)::bigint n_candidates, sum(v)::bigint n_valid, string_agg(model, ',' order by model) models_present,
+  coalesce(string_agg(model, ',' order by model) filter (v = 0), '') models_without_valid from per)
+ select head.*, row_number() over (order by mean_f1 desc, ordinal)::int place, ordinal, model, mean_f1
+ from (select * from named where mean_f1 is not null order by mean_f1 desc, ordinal limit 20), head"""
+
+
 # --- feature scores ----------------------------------------------------------------------------
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 _UNP = "unpivot (select l_returnflag, l_quantity, l_extendedprice, l_discount, l_tax, l_linenumber::double l_linenumber from lineitem) on " + ", ".join(FEATURES) + " into name feature value v"
@@ -593,6 +635,8 @@ QUERIES = {
     "candidate_limit": (candidate_limit, LIMIT_SQL),
     "until_target": (until_target, UNTIL_SQL),
     "run_history": (run_history, HISTORY_SQL),
+    "search_ledger": (search_ledger, LEDGER_SQL),
+    "search_history": (search_history, SEARCH_HISTORY_SQL),
     "chi2_scores": (_scores(S.chi2_scores), CHI2_SQL),
     "anova_f": (_scores(S.anova_f_scores), ANOVA_SQL),
     "mutual_info": (_scores(S.mutual_info_scores), MI_SQL),

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from creditloom.catalog.records import OFFER_PIVOT_SQL, application_text, flat_records
-from creditloom.catalog.tables import table
+from creditloom.catalog.tables import scratch, table
 from creditloom.operators.balance import balance
 from creditloom.operators.boosting import BoostSettings, fit_boosted
 from creditloom.operators.ensembles import average_probabilities, majority_vote
 from creditloom.operators.feature_scores import importance_table
 from creditloom.operators.metrics import classification_report, log_loss
-from creditloom.operators.sizing import checkpoint_dir, settle
+from creditloom.operators.sizing import settle
 from creditloom.plans import cascade as C
 from creditloom.plans.calibration import _calibrate, calibrate
 from creditloom.plans.column_schema import default_schema, resolve_roles
@@ -28,11 +26,6 @@ TEXT_FEATURES = ["n_chars", "length", "words", "commas", "third"]
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
 
-def scratch(spark, name: str) -> str:
-    """A fresh folder next to the checkpoints, which every executor can reach."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/creditloom/{name}-{uuid.uuid4().hex}"
-
-
 def text_features(spark, sf):
     """Integer features of the labelled documents."""
     d = table(spark, sf, "documents").select(

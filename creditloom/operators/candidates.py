@@ -105,3 +105,23 @@ def valid_counts(df: DataFrame, score: str = "mean_f1", model: str = "model") ->
     """Per model: candidates, those with a score, and the best score (null when none has one)."""
     v = _valid(score)
     return df.groupBy(model).agg(F.count("*").alias("n_candidates"), F.count(v).alias("n_valid"), F.max(v).alias("best_score"))
+
+
+def history_entry(results: DataFrame, run_ts: str, args: str = "{}", n: int = 5, score: str = "mean_f1") -> DataFrame:
+    """One row for the run history: how many candidates there were and how many have a score, the models
+    present and those without a valid candidate (both by name), counts per model, and the ``n`` best
+    candidates with their place. Failed candidates are never among the best; a run without rows gets
+    empty lists."""
+    per_model = F.struct("model", "n_candidates", "n_valid", "best_score")
+    counts = valid_counts(results, score).agg(
+        F.coalesce(F.sum("n_candidates"), F.lit(0)).alias("n_candidates"), F.coalesce(F.sum("n_valid"), F.lit(0)).alias("n_valid"),
+        F.array_sort(F.collect_list("model")).alias("models_present"),
+        F.array_sort(F.collect_list(F.when(F.col("n_valid") == 0, F.col("model")))).alias("models_without_valid"),
+        F.array_sort(F.collect_list(per_model)).alias("per_model"))
+    shown = [c for c in ("model", "params", score, "test_f1") if c in results.columns]
+    best = top_candidates(results, n, score).where(F.col(score).isNotNull())
+    order = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("_s"), F.col("ordinal"), *shown)))
+    top = best.agg(F.transform(order, lambda x, i: F.struct((i + 1).alias("place"), x["ordinal"].alias("ordinal"), *[x[c].alias(c) for c in shown])).alias("top"))
+    both = counts.unionByName(top, allowMissingColumns=True)
+    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns]).select(
+        F.lit(run_ts).alias("run_ts"), F.lit(args).alias("args"), *both.columns)

@@ -86,8 +86,17 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def append_history(results: DataFrame, path: str, run_ts: str, args: str = "{}") -> None:
-    """Per-model counts and best scores of a search run, added to the run history."""
-    from creditloom.operators.candidates import valid_counts
+def append_history(results: DataFrame, path: str, run_ts: str, args: str = "{}", n: int = 5) -> None:
+    """Snapshot a search run's results under ``path/results`` and add its entry to ``path/history``. A
+    rerun under the same ``run_ts`` replaces its snapshot; its entry is added again, the newest counts."""
+    from creditloom.operators.candidates import history_entry
 
-    append_rows(valid_counts(results).withColumns({"run_ts": F.lit(run_ts), "args": F.lit(args)}), path)
+    write_table(results, f"{path}/results", run_ts)
+    append_rows(history_entry(results, run_ts, args, n).withColumn("written", F.current_timestamp()), f"{path}/history")
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The newest entry of every run."""
+    df = spark.read.parquet(f"{path}/history")
+    rest = [c for c in df.columns if c not in ("run_ts", "written")]
+    return df.groupBy("run_ts").agg(F.max_by(F.struct(*rest), "written").alias("_e")).select("run_ts", "_e.*")

@@ -64,6 +64,77 @@ def test_search(spark, easy, tmp_path):
     assert holdout_score(easy.where("id < 180"), easy.where("id >= 180"), TASK, "RandomForestClassifier", good) > 0.7
 
 
+def test_killed_search_goes_on(spark, easy, tmp_path, monkeypatch):
+    from creditloom.plans import model_search as S
+
+    p = "feature_selecting_classifier__"
+    make = lambda n: {"smote__enabled": False, f"{p}max_features": n, f"{p}estimator__n_estimators": 2, f"{p}estimator__max_depth": 2}
+    plan = {"RandomForestClassifier": [make(1), make(2), make(1)], "Unknown": [make(1)]}
+    calls, real = [], S.evaluate_candidate
+
+    def counted(folded, task, model, *rest, **named):
+        calls.append(model)
+        return real(folded, task, model, *rest, **named)
+
+    def killed(*a, **named):
+        if calls:
+            raise KeyboardInterrupt
+        return counted(*a, **named)
+
+    train, test = easy.where("id < 180"), easy.where("id >= 180")
+    run = lambda name, **more: search(train, TASK, plan, k=2, sink=str(tmp_path / name), flush_every=1, test=test, with_auc=False, **more)
+    whole = run("whole")
+    monkeypatch.setattr(S, "evaluate_candidate", killed)
+    with pytest.raises(KeyboardInterrupt):
+        run("cut")
+    assert spark.read.parquet(str(tmp_path / "cut")).count() == 1
+    calls.clear()
+    monkeypatch.setattr(S, "evaluate_candidate", counted)
+    again = run("cut", resume=True)
+    assert calls == ["RandomForestClassifier", "Unknown"]  # the first candidate and its repetition are known
+    same = lambda found: [{k: v for k, v in r.asDict().items() if k not in ("timestamp", "fit_seconds")} for r in found.results.orderBy("ordinal").collect()]
+    assert same(again) == same(whole) and len(same(whole)) == 4
+    assert again.best_params == whole.best_params and again.fold_report.collect() == whole.fold_report.collect()
+    assert all(r["test_f1"] is not None for r in same(whole)[:3]) and same(whole)[3]["test_f1"] is None
+    calls.clear()
+    once_more = run("cut", resume=True)
+    assert calls == [] and once_more.worst.collect() == whole.worst.collect()
+    run("cut", resume=True, retry_failed=True)
+    assert calls == ["Unknown"]
+    with pytest.raises(ValueError):
+        search(train, TASK, plan, resume=True)
+
+
+def test_history(spark, tmp_path):
+    from creditloom.sources.tables import append_history, read_history
+
+    schema = "ordinal bigint, model string, params string, mean_f1 double, test_f1 double"
+    rows = [(0, "b", "{}", 0.5, 0.4), (1, "a", "{}", float("nan"), None), (2, "b", "{}", 0.7, None), (3, "c", "{}", 0.7, 0.1)]
+    path = str(tmp_path / "h")
+    append_history(spark.createDataFrame(rows, schema), path, "t1", n=2)
+    append_history(spark.createDataFrame(rows[:1], schema), path, "t2")
+    append_history(spark.createDataFrame([], schema), path, "t3")
+    append_history(spark.createDataFrame(rows[:2], schema), path, "t2")
+    got = {r.run_ts: r for r in read_history(spark, path).collect()}
+    assert got["t1"].models_present == ["a", "b", "c"] and got["t1"].models_without_valid == ["a"]
+    assert [(t.place, t.model, t.mean_f1, t.test_f1) for t in got["t1"].top] == [(1, "b", 0.7, None), (2, "c", 0.7, 0.1)]
+    assert (got["t2"].n_candidates, got["t2"].n_valid, len(got["t2"].top)) == (2, 1, 1)
+    assert got["t3"].n_candidates == 0 and got["t3"].top == [] and got["t3"].models_present == []
+    assert spark.read.parquet(f"{path}/results").groupBy("run_ts").count().count() == 2
+
+
+def test_ledger_rows(spark):
+    from creditloom.plans.ledger import KEY, planned_results, settled_rows, unfinished
+
+    plan = spark.createDataFrame([("k1", 0), ("k2", 1), ("k1", 2), ("k3", 3)], f"{KEY} string, ordinal int")
+    rows = spark.createDataFrame([("k1", 9, None, 1.0), ("k1", 9, 0.5, 3.0), ("k1", 9, 0.6, 2.0), ("k2", 1, float("nan"), 1.0)],
+                                 f"{KEY} string, ordinal int, mean_f1 double, timestamp double")
+    assert {r[KEY]: r.mean_f1 for r in settled_rows(rows).where("not isnan(mean_f1)").collect()} == {"k1": 0.6}
+    assert [r.ordinal for r in unfinished(plan, rows).collect()] == [3]
+    assert sorted(r.ordinal for r in unfinished(plan, rows, retry_failed=True).collect()) == [1, 3]
+    assert sorted(r.ordinal for r in planned_results(plan, rows).collect()) == [0, 1, 2]
+
+
 def test_calibration(spark, easy, tmp_path):
     fit = lambda d: fit_candidate(d, TASK, "RandomForestClassifier", PipelineConfig(smote_enabled=False, max_features=None, estimator=FAST))
     cal = calibrate(easy, "y", "id", fit, 2)
