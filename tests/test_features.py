@@ -135,3 +135,13 @@ def test_frozen_labels_of_nulls_and_unseen_values(spark):
     assert {r.v: r.label for r in encode(new, plain).collect()}["never seen"] == -1
     many = spark.range(3000).selectExpr("cast(id as string) v")
     assert encode(many, freeze_labels(many, [ColumnSpec("v", labels=AUTO, methods=["frequency"]), specs[1]])).select("label").distinct().count() == 3000
+
+
+def test_only_the_last_offer_of_a_type_is_cleaned(spark):
+    from creditloom.plans.feature_table import clean_offers, last_offers
+
+    given = [offer("Automatic Financing", Score=1), {"Score": 1}, offer("Other"), offer("Debt Resolution", Score="Below 600"), offer("Automatic Financing", Amount="$1,5 ")]
+    df = parse_records(spark.createDataFrame([(json.dumps(record(1, given)),), (json.dumps(record(2, None)),)], "line string"), "line")
+    got = [r.o for r in df.select(clean_offers(last_offers(df["prefi_data.Offers"])).alias("o")).collect()]
+    assert [o and (o.name, o.score, o.low, o.amount) for o in got[0]] == [("AutomaticFinancing", 653, 0, 15), None, ("DebtResolution", 599, 1, 12000)]
+    assert got[1] is None or got[1] == [None, None, None]
