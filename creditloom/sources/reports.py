@@ -132,13 +132,14 @@ def parse_expectations(lines: DataFrame) -> DataFrame:
     item = r"^\s*[-•]\s*\[(\w+)\]\s*(.+)$"
     name = F.element_at(F.split(F.trim(F.regexp_replace(t, r"(?i)^pdf file:", "")), "/"), -1)
     state = F.when(opens, True).when(~is_doc & (F.trim(t) == ""), False)
+    # Only what a line says goes through the scan: its texts are not carried and sorted with it.
+    said = lines.select(
+        "file", "line_no", chunk_of("line_no").alias("_piece"), F.when(is_doc, name).alias("_names"), state.alias("_state"),
+        F.when(t.rlike(item) & ~opens, F.struct(F.trim(F.regexp_extract(t, item, 2)).alias("phrase"), F.lower(F.regexp_extract(t, item, 1)).alias("color"))).alias("_item"))
     scanned = prefix_scan(
-        lines.withColumn("_piece", chunk_of("line_no")), ["file"], "_piece", ["line_no"],
-        {"document": ("last", F.when(is_doc, name), True), "_open": ("last", state, True)},
-    )
-    hits = scanned.where(F.col("document").isNotNull() & F.col("_open") & t.rlike(item) & ~opens)
-    rows = hits.select("file", "line_no", "document", F.trim(F.regexp_extract(t, item, 2)).alias("phrase"),
-                       F.lower(F.regexp_extract(t, item, 1)).alias("color"))
+        said, ["file"], "_piece", ["line_no"], {"document": ("last", F.col("_names"), True), "_open": ("last", F.col("_state"), True)})
+    hits = scanned.where(F.col("document").isNotNull() & F.col("_open") & F.col("_item").isNotNull())
+    rows = hits.select("file", "line_no", "document", "_item.phrase", "_item.color")
     return rows.groupBy("document", "phrase").agg(F.max_by("color", F.struct("file", "line_no")).alias("color"))
 
 
