@@ -172,3 +172,53 @@ def test_first_containing_line(spark):
     kept = first_containing(items, found, ["r"], ["i"], "t", "pos", "text", unless=F.contains("text", F.lit(",")))
     assert {tuple(x) for x in kept.collect()} == {("a", 1, 9, "12 Oak"), ("a", 4, 6, "xé🦙x")}
     assert first_containing(items.where("false"), found, ["r"], ["i"], "t", "pos", "text").collect() == []
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_phrases_are_searched_once(spark):
+    df = spark.createDataFrame([("No 5k+ lines",), ("a (b",), ("plain",), (None,)], "s string").select(F.concat("s", F.lit("~")).alias("t"))
+    found = df.where(X.contains_any(F.col("t"), ["5K+ ".lower(), "(b"]))
+    assert [r.t for r in found.collect()] == ["No 5k+ lines~", "a (b~"]
+    assert _plan(found).split("Filter")[1].split("\n")[0].count("concat(") == 1
+
+
+def test_nothing_found_is_not_cast(spark):
+    from creditloom.functions.numeric import found_number, money
+
+    df = spark.createDataFrame([("$1,200 x",), ("none",), ("$,",), (None,)], "t string")
+    assert [r[0] for r in df.select(money(F.col("t"))).collect()] == [1200, None, None, None]
+    assert [r[0] for r in spark.createDataFrame([("7",), ("",), ("x",)], "t string").select(found_number(F.col("t"))).collect()] == [7, None, None]
+
+
+def test_texts_of_expectations_stay_out_of_the_scan(spark):
+    df = spark.createDataFrame([("f", 0, "PDF file: a/u.pdf"), ("f", 1, "Credit Factors"), ("f", 2, "- [Red] Late"), ("f", 3, None), ("f", 4, "- [Green] Late")],
+                               "file string, line_no int, text string")
+    got = S.parse_expectations(df)
+    assert [tuple(r) for r in got.collect()] == [("u.pdf", "Late", "green")]
+    assert all("text#" not in part.split("\n")[0] for part in _plan(got).split("Window ")[1:])
+
+
+def test_stretches_nobody_asks_for_are_not_shuffled(spark, monkeypatch):
+    from creditloom.operators import matching
+
+    seen = []
+    monkeypatch.setattr(matching, "join_small", lambda big, small, on, how="left": seen.append((on, big.count())) or big.join(small, on, how))
+    items = spark.createDataFrame([("a", 1, ["Oak"])], "r string, i int, t array<string>")
+    found = spark.createDataFrame([("a", 3, "12 Oak st Aurora, co 80014"), ("b", 1, "9 Oak")], "r string, pos int, text string")
+    got = matching.first_containing(items, found, ["r"], ["i"], "t", "pos", "text").collect()
+    assert [tuple(r) for r in got] == [("a", 1, 3, "12 Oak st Aurora, co 80014")]
+    assert [n for on, n in seen if "r" in on] == [2]
+
+
+def test_phrases_are_taken_apart_once(spark, monkeypatch):
+    from creditloom.operators import matching
+
+    seen = []
+    monkeypatch.setattr(matching, "join_small", lambda big, small, on, how="left": seen.append(small.count()) or big.join(small, on, how))
+    asked = spark.createDataFrame([(f"r{i}", p) for i in range(5) for p in ("Rev Lates", "!")], "report_id string, phrase string").unionByName(
+        spark.createDataFrame([("r1", None)], "report_id string, phrase string"))
+    got = matching.phrase_colors(asked, lines(spark).withColumn("report_id", F.lit("r1"))).where("color is not null")
+    assert [(r.report_id, r.phrase, r.color) for r in got.collect()] == [("r1", "Rev Lates", "red")] and seen == [3]
