@@ -222,3 +222,15 @@ def test_phrases_are_taken_apart_once(spark, monkeypatch):
         spark.createDataFrame([("r1", None)], "report_id string, phrase string"))
     got = matching.phrase_colors(asked, lines(spark).withColumn("report_id", F.lit("r1"))).where("color is not null")
     assert [(r.report_id, r.phrase, r.color) for r in got.collect()] == [("r1", "Rev Lates", "red")] and seen == [3]
+
+
+def test_merged_lines_alone_are_coloured_again(spark):
+    """Colours taken over from unmerged lines are those of a fresh look at every line's spans."""
+    shades = [[220, 53, 69], [66, 143, 78], [33, 37, 41], [0, 0, 0], None]
+    texts = ["$5", "12 rev lates", "$1,000", "$7", "Over limit accts", "3 / $9"]
+    rows = [(r, i // 4, i, texts[(i + r) % 6], [(texts[(i + r) % 6], shades[(i * 3 + r) % 5], [float(i % 4), 0.0, 9.0, 9.0])]) for r in range(5) for i in range(12)]
+    df = spark.createDataFrame(rows, "report_id int, page int, pos int, text string, spans array<struct<text string, rgb array<int>, bbox array<double>>>")
+    merged = R.L.merge_dollar_lines(R.colored(df))
+    want = R.colored(merged.drop("color", "hex")).select("report_id", "pos", "text", "merged", "color", "hex").collect()
+    got = R._recolored(merged).select("report_id", "pos", "text", "merged", "color", "hex").collect()
+    assert sorted(got, key=str) == sorted(want, key=str) and {r.merged for r in got} == {True, False}
