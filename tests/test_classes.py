@@ -157,3 +157,15 @@ def test_exact_quartiles(spark):
     got = {r["column"]: r for r in Q.numeric_summary(df, ["x", "y"]).collect()}
     assert [got["x"][q] for q in ("q25", "q50", "q75")] == list(np.quantile(v, [0.25, 0.5, 0.75]))
     assert got["y"].n == 0 and got["y"].q50 is None
+
+
+def test_neighbours_merge_equal_rows_once(spark, monkeypatch):
+    """The grid, which reads the points again and again, gets them as written rows."""
+    from creditloom.operators import nearest as N
+    seen, grid = [], N._grid
+    monkeypatch.setattr(N, "_grid", lambda points, *a: seen.append(points) or grid(points, *a))
+    df = spark.createDataFrame([(i, "ab"[i % 2], float(i // 4)) for i in range(40)], "id long, g string, x double")
+    near = {r.id: [n.id for n in r.neighbours] for r in nearest_in_group(df, "id", "g", ["x"], 1, cell_rows=5).collect()}
+    assert near == {i: [i ^ 2] for i in range(40)}
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
