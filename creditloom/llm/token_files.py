@@ -16,8 +16,10 @@ Files are ordinary input for zstandard tools: decompressed whole they give all i
 from __future__ import annotations
 
 import os
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +39,24 @@ SHARD_BYTES = 8 << 20
 CACHED = 600_000
 
 
+# ASCII signs that a word's end may be cut off at: no apostrophe, which joins letters, and none of the special tokens' own.
+MARKS = b'!"#$%&()*+,-./:;=?@[\\]^_`{}~'
+LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
 def tokenizer(path: str):
     """The tokenizer, loaded once per worker, after a check that words can be encoded one by one:
-    white space parts tokens, ASCII case does not matter, and neither does a space before a comma
-    or full stop that ends a word."""
+    white space parts tokens, ASCII case does not matter, and signs at a word's end are a piece of their own."""
     cache = worker_cache("tokenizers")
     if path not in cache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        probe = "Ab's  <c \t1\n,d e, F's. g-H. \u00c9\u0301x."
+        probe = "Ab's  <c \t1\n,d e, F's. g-H. \u00c9\u0301x. i*** 2$$$ \u00e9\u00df), it's?! \u00c8. j<k>."
         whole = t.encode(probe, add_special_tokens=False).ids
-        if np.array(whole, dtype="<u4").tobytes() != b"".join(encode_words(t, text_words(probe.encode()))):
+        special = "".join(x.content for x in t.get_added_tokens_decoder().values()).encode()
+        if np.array(whole, dtype="<u4").tobytes() != b"".join(encode_words(t, text_words(probe.encode()))) or set(special) & set(MARKS):
             raise ValueError("this tokenizer does not encode words one by one")
         cache[path] = t
     return cache[path]
@@ -60,34 +67,63 @@ def text_words(text: bytes) -> list[bytes]:
     return (text if b"<|" in text else text.lower()).split()
 
 
-def stem_of(word: bytes) -> bytes:
-    """The word without a comma or full stop after an ASCII letter at its end."""
-    return word[:-1] if word[-1:] in (b",", b".") and word[-2:-1].isalpha() else word
+def parted(word: bytes) -> tuple[bytes, bytes]:
+    """The word up to its last letter or digit, and the signs behind it. Beyond Latin-1 a letter may end
+    in an accent, which belongs to the signs, when it is lower-cased or normalised: such words stay whole."""
+    stem = word.rstrip(MARKS)
+    if len(stem) == len(word) or not (stem[-1:].isalnum() or stem[-1:] > b"\x7f" and LATIN.match(stem.decode()[-1])):
+        return word, b""
+    return stem, word[len(stem):]
 
 
-def encode_words(t, words: list[bytes], known: dict[bytes, bytes] | None = None) -> list[bytes]:
-    """Ids of each word as little-endian u32; ``known`` may hold those of some stems.
+def encode_words(t, words: list[bytes], known: Callable[[bytes], bytes | None] | None = None) -> list[bytes]:
+    """Ids of each word as little-endian u32; ``known`` may give those of some stems.
 
-    A comma or full stop at a word's end is a token of its own. Words of letters alone are encoded in
-    one go, as each of them ends at the next token that ends a word. Should the count not come
-    out (a letter may turn into two), and for all other words, each word is encoded by itself.
+    Signs at a word's end are encoded apart. Words of letters alone are encoded in one go, as each of
+    them ends at the next token that ends a word; lower-case ones of the Latin alphabet without the steps that leave them as
+    they are (``letter_tokenizers``). Should the count not come out (a letter may turn into two), and for all other
+    words, each word is encoded by itself.
     """
-    stems = [stem_of(w) for w in words]
-    found = {w: known[w] for w in stems if known and w in known}
-    rest = [w for w in dict.fromkeys([*stems, b",", b"."]) if w not in found]
-    texts = {w: w.decode() for w in rest}
-    plain = [w for w in rest if texts[w].isalpha()]
-    if plain:
-        ids = np.array(t.encode_batch_fast([" ".join([texts[w] for w in plain])], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.nonzero(word_ends(t)[ids])[0] + 1
-        if len(ends) == len(plain) and ends[-1] == len(ids):
-            raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-            found.update((w, raw[a:b]) for w, a, b in zip(plain, cuts, cuts[1:]))
+    parts = [parted(w) for w in words]
+    found = {b"": b""}
+    if known:
+        found.update((s, ids) for s in {s for s, e in parts if e} if (ids := known(s)) is not None)
+    rest = [w for w in dict.fromkeys(chain.from_iterable(parts)) if w not in found]
+    ascii_only = [w for w in rest if w.isalpha() and w.islower()]
+    texts = {w: w.decode() for w in rest if not (w.isalpha() and w.islower())}
+    latin = [w for w, x in texts.items() if LATIN.fullmatch(x)]
+    others = [w for w, x in texts.items() if x.isalpha() and not LATIN.fullmatch(x)]
+    for encoder, plain in zip((*letter_tokenizers(t), t), (ascii_only, latin, others)):
+        if plain:
+            ids = np.array(encoder.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.nonzero(word_ends(t)[ids])[0] + 1
+            if len(ends) == len(plain) and ends[-1] == len(ids):
+                raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                found.update((w, raw[a:b]) for w, a, b in zip(plain, cuts, cuts[1:]))
     rest = [w for w in rest if w not in found]
     if rest:
-        for w, e in zip(rest, t.encode_batch_fast([texts[w] for w in rest], add_special_tokens=False)):
+        for w, e in zip(rest, t.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
             found[w] = struct.pack(f"<{len(e)}I", *e.ids)
-    return [found[s] if len(s) == len(w) else found[s] + found[w[-1:]] for s, w in zip(stems, words)]
+    return [found[s] + found[e] if e else found[s] for s, e in parts]
+
+
+def letter_tokenizers(t) -> tuple:
+    """Tokenizers of the same model for lower-case words of ASCII and of Latin-1 letters alone: no normaliser or pattern
+    changes or cuts these. Where a trial shows that the whole tokenizer does something else, it is taken itself."""
+    cache = worker_cache("letter tokenizers")
+    if id(t) not in cache:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        blanks, as_bytes = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(0x61, 0x100) if LATIN.fullmatch(chr(c))]
+        out = []
+        for split, own in ((blanks, letters[:26]), (pre_tokenizers.Sequence([blanks, as_bytes]), letters)):
+            fast, trial = Tokenizer(t.model), " ".join([*own, "".join(own), *map("".join, zip(own, own[1:], own[2:]))])
+            fast.pre_tokenizer = split
+            same = fast.encode(trial, add_special_tokens=False).ids == t.encode(trial, add_special_tokens=False).ids
+            out.append(fast if same else t)
+        cache[id(t)] = tuple(out)
+    return cache[id(t)]
 
 
 def word_ends(t) -> np.ndarray:
@@ -106,12 +142,7 @@ def word_ids(path: str) -> IdCache:
     cache = worker_cache("word ids")
     if path not in cache:
         t = tokenizer(path)
-
-        def make(words: list[bytes]) -> list[bytes]:
-            stems = {stem_of(w) for w in words}
-            return encode_words(t, words, {s: ids for s in stems if (ids := cache[path].known(s)) is not None})
-
-        cache[path] = IdCache(make, CACHED)
+        cache[path] = IdCache(lambda words: encode_words(t, words, cache[path].known), CACHED)
     return cache[path]
 
 

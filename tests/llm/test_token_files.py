@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from creditloom.llm.common import IdCache
 from creditloom.llm.files import read_files, run_folder
 from creditloom.llm.queries import token_file_digests
-from creditloom.llm.token_files import CLOSING, encode_texts, encode_words, open_shard, read_frame, read_tokens, tokenizer, write_tokens
+from creditloom.llm.token_files import CLOSING, encode_texts, encode_words, letter_tokenizers, open_shard, read_frame, read_tokens, tokenizer, write_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WHOLE = Tokenizer.from_file(PATH)
@@ -85,3 +85,21 @@ def test_id_cache_forgets_between_texts_only():
         assert [x.tolist() for x in got] == [[1, 3, 3, 3], [], [2, 2, 1]]
     assert made == ["a", "bbb", "", "cc"] * 2
     assert cache.rows([["a"]])[0].tolist() == [1] and cache.known("a") == b"\x01\0\0\0" and cache.known("no") is None
+
+
+def test_new_words_take_short_ways():
+    """Signs at a word's end are encoded once, and lower-case Latin words without normaliser and pattern."""
+    t, asked = tokenizer(PATH), []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(t, name)
+
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return t.encode_batch_fast(texts, **more)
+
+    words = ["heat***", "heat", "re%%%", "re?!", "\u00e9\u00df),", "\u00e9\u00df", "n\u00e4h.", "\u0130,", "\u0958.", "it's", "'s.", "2$$$", "\u00c8.", "a\u0301!", "***"]
+    assert encode_words(Counted(), [w.encode() for w in words]) == [np.array(ids(w)[:-1], dtype="<u4").tobytes() for w in words]
+    assert all(x is not t for x in letter_tokenizers(t))
+    assert not any(c in " ".join(asked).split() for c in ("heat", "heat***", "re", "re%%%", "re?!", "\u00e9\u00df", "\u00e9\u00df),"))
