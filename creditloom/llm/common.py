@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import types
@@ -24,6 +25,22 @@ def worker_cache(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+def release_caches(*kept: str) -> None:
+    """Forgets what earlier operators left in this Python worker, but for ``kept``, and gives the memory back.
+
+    Workers outlive a stage, so the tables of one operator would stay beside the next one's work."""
+    home = vars(sys.modules.get("_llm_worker_cache", types.ModuleType("none")))
+    left = [n for n, x in home.items() if not n.startswith("__") and n not in kept and x]
+    for name in left:
+        home.pop(name).clear()
+    if left:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library keeps freed memory unless told
+        if trim:
+            trim(0)
+
+
 @contextmanager
 def no_cycle_search():
     """Leaves Python's search for reference cycles out while a task handles millions of small lists

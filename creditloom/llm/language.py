@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditloom.llm.common import slices, texts_of
+from creditloom.llm.common import release_caches, slices, texts_of
 
 ROWS, ROW_CHARS, SAMPLE = 128, 1024, 32_768
 CLASSES = 64
@@ -217,6 +217,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = docs.sparkSession.sparkContext.broadcast(fit(sample_texts(docs, id_col, text_col, lang_col, rows, row_chars), sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         known = model.value
         langs = list(known["tables"])
         if keep_row:  # the text is in the row already and need not travel twice

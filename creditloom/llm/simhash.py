@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import bytes_of, id_text, no_cycle_search, slices
+from creditloom.llm.common import bytes_of, id_text, no_cycle_search, release_caches, slices
 from creditloom.llm.graph import components
 from creditloom.llm.words import mixed
 from creditloom.operators.sizing import settle
@@ -348,6 +348,7 @@ def bucket_pairs(rows: DataFrame, radius: int, similarity: float, masks: np.ndar
             if rest is not None:
                 yield np.column_stack([rest.column(c).to_numpy() for c in keys]), rest
 
+        release_caches()
         for key, table in buckets():
             start = np.nonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))[0]
             size = np.diff(np.append(start, len(key)))
@@ -423,6 +424,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        release_caches()
         for part in slices(batches):
             with no_cycle_search():
                 sets = [np.unique(shingle_hashes(t, words)) for t in bytes_of(part)]
@@ -435,6 +437,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        release_caches()
         for part in slices(batches):
             sets = [np.unique(shingle_hashes(t, words)) for t in bytes_of(part)]
             node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], dtype="<u8").view("<i8")

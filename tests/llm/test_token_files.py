@@ -1,3 +1,4 @@
+import weakref
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from creditloom.llm.common import IdCache
+from creditloom.llm.common import IdCache, release_caches, worker_cache
 from creditloom.llm.files import read_files, run_folder
 from creditloom.llm.queries import token_file_digests
 from creditloom.llm.token_files import CLOSING, encode_texts, encode_words, letter_tokenizers, open_shard, read_frame, read_tokens, tokenizer, write_tokens
@@ -103,3 +104,16 @@ def test_new_words_take_short_ways():
     assert encode_words(Counted(), [w.encode() for w in words]) == [np.array(ids(w)[:-1], dtype="<u4").tobytes() for w in words]
     assert all(x is not t for x in letter_tokenizers(t))
     assert not any(c in " ".join(asked).split() for c in ("heat", "heat***", "re", "re%%%", "re?!", "\u00e9\u00df", "\u00e9\u00df),"))
+
+
+def test_later_stages_release_the_caches():
+    """The word ids of one stage do not stay in the worker beside the next stage's work."""
+    gone, kept = IdCache(lambda words: [b"" for _ in words], 10), IdCache(lambda words: [b"" for _ in words], 10)
+    worker_cache("test words")["a"], worker_cache("test kept")["b"] = gone, kept
+    there = weakref.ref(gone)
+    del gone
+    release_caches("test kept", "tokenizers", "word ends", "letter tokenizers", "word ids")
+    assert there() is None and worker_cache("test kept")["b"] is kept and not worker_cache("test words")
+    release_caches()
+    assert not worker_cache("tokenizers") and not worker_cache("test kept")
+    assert encode_texts(IdCache(lambda words: encode_words(tokenizer(PATH), words), 10), [b"heat."])[0] == np.array(ids("heat.")[:-1], dtype="<u4").tobytes()
