@@ -38,6 +38,20 @@ def test_select_then_classify(spark, easy, tmp_path):
     assert one.model is None and one.transform(easy).select("prediction").distinct().collect()[0][0] == 1
 
 
+def test_rows_are_prepared_once_a_fit(spark, easy):
+    """Selection and final fit each read the rows once, whatever passes their trees make."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    df = easy.withColumn("f0", F.udf(counted, "double")("f0"))
+    unit = SelectAndClassify("RandomForestClassifier", "y", FEATURES, PipelineConfig(max_features=1, estimator=FAST)).fit_unit(df)
+    assert unit.selected == ["f0"] and seen.value == 2 * 240
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_three_classes_one_vs_rest(easy):
     three = easy.withColumn("y", (F.col("id") % 3).cast("int"))
     cfg = PipelineConfig(max_features=None, estimator={"n_estimators": 2, "max_depth": 2})
