@@ -7,8 +7,9 @@ vector as long as A's vocabulary. Only other links are counted as pairs. Texts a
 links are kept as numbers in chunks, each with a list of its own irregular pairs, and only these
 lists are shuffled, to be counted and to carry the totals back.
 
-For each A token that ends a group, a link is stored as u32: A's id for a link of the identity map,
-the size of A's vocabulary plus the place in the chunk's list for another.
+For each A token that ends a group, a link is stored as a number: A's id for a link of the identity map,
+the size of A's vocabulary plus the place in the chunk's list for another. A document's numbers are u16
+where all of them fit, else u32; how many there are tells which.
 """
 
 from __future__ import annotations
@@ -26,10 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm.common import IdCache, bytes_of, id_text, no_cycle_search, slices, worker_cache
-from creditloom.operators.sizing import settle
+from creditloom.operators.sizing import settings, settle
 
-CHUNK_BYTES = 2 << 20
-CACHED = 400_000
+CHUNK_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
+CACHED = 150_000
+# Rows are texts of up to 100 kB and chunks of a megabyte: Spark's batches of thousands of them would fill an executor.
+SMALL_BATCHES = {"spark__sql__execution__arrow__maxBytesPerBatch": "4m", "spark__sql__parquet__columnarReaderBatchSize": "256"}
 # How a byte-level tokenizer parts a text before merging, and the characters that are written out
 # here as letters, numbers and white space. Texts with any other character are encoded whole.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t\n\r "
@@ -166,7 +170,7 @@ class Chunk:
         codes[odd] = len(p.a_bytes) + np.array(numbers, dtype=np.int64)[where]
         sha = hashlib.sha256(text.encode()).hexdigest() if len(a) else ""
         self.rows.append((doc_id, len(a), len(b), len(a_last), sha))
-        self.links.append(codes.astype("<u4").tobytes())
+        self.links.append(codes.astype("<u2" if codes.max(initial=0) < 1 << 16 else "<u4").tobytes())
         return left[~odd]
 
 
@@ -192,7 +196,7 @@ def linked_chunks(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_c
                    chunk.counts, [{"a": a, "n": n} for a, n in same]]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, types)], schema=types)
 
-        for piece in slices(batches, most=chunk_bytes // 4):
+        for piece in slices(batches, most=min(PIECE_BYTES, chunk_bytes // 2)):
             raw = bytes_of(piece)
             with no_cycle_search():
                 for doc_id, t, (a, b) in zip(piece.column("_id").to_pylist(), raw, p.encode(raw)):
@@ -222,6 +226,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     gives an empty one. Vectors and each B token's best count are as long as a vocabulary and travel whole; pairs are
     joined.
     """
+    with settings(docs.sparkSession, **SMALL_BATCHES):
+        return settle(_aligned(docs, a_path, b_path, id_col, text_col, chunk_bytes))
+
+
+def _aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
     chunks = settle(linked_chunks(docs, a_path, b_path, id_col, text_col, chunk_bytes))
     p = pair(a_path, b_path)
     size_a, same_b = len(p.a_bytes), p.same
@@ -249,7 +258,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
                 if more:
                     at, b, total = (totals.values.field(c).to_numpy(zero_copy_only=False) for c in ("at", "b", "total"))
                     counts[len(vector) + at], top[len(vector) + at] = total, total == best[b]
-                codes = [np.frombuffer(x.as_buffer(), dtype="<u4") for x in links.values] if len(links) else []
+                held = zip(links.values, rows.values.field("n_groups").to_pylist()) if len(links) else ()
+                codes = [np.frombuffer(x.as_buffer(), dtype="<u2" if len(x.as_buffer()) == 2 * n else "<u4") for x, n in held]
                 n_links, n_best, sums = ([int(f(c)) for c in codes] for f in (len, lambda c: top[c].sum(), lambda c: counts[c].sum()))
                 docs = rows.values
                 arrays = [docs.field("doc_id"), docs.field("n_a"), docs.field("n_b"), docs.field("n_groups"), pa.array(n_links, pa.int64()),

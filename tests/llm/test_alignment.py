@@ -1,11 +1,15 @@
 import hashlib
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import sentencepiece
 from tokenizers import Tokenizer
 
-from creditloom.llm.alignment import align, pair
+from creditloom.llm.alignment import SMALL_BATCHES, Chunk, align, linked_chunks, pair
+from creditloom.operators.sizing import settings
 
 A, B = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 TEXTS = ["", "a", " a", "The cat sat on the mat, didn't it?", "a\nb\n\n  c", "<|endoftext|> and <s> </s>", "▁mark", "é ü ﬁ 🦙🦙 xyz\x00\t", "　wide",
@@ -93,3 +97,29 @@ def test_pre_tokens_give_the_ids_of_whole_texts():
     for i in range(0, len(settled)):
         t = f" x{settled[i]}y{settled[i]} {settled[i]}{settled[i]}9 {settled[i]}"
         assert p.encode_a([t])[0].tolist() == p.a.encode(t, add_special_tokens=False).ids
+
+
+def test_links_take_two_bytes_where_their_numbers_fit(spark):
+    docs = spark.createDataFrame([(1, "The cat sat on the mat."), (2, "")], "doc_id long, text string").coalesce(1)
+    chunk = linked_chunks(docs, A, B, "doc_id", "text", 1 << 20).first()
+    assert [len(x) for x in chunk.links] == [2 * d.n_groups for d in chunk.docs] and chunk.docs[0].n_groups > 5
+
+
+def test_numbers_beyond_two_bytes_keep_four():
+    n = 20_000
+    p = SimpleNamespace(a_bytes=[b""] * 50_000, same=np.full(50_000, -1), groups=lambda a, b: (np.arange(n), np.arange(n), "x"))
+    chunk, a = Chunk(), np.arange(n)
+    chunk.add(p, 1, a, a)
+    chunk.add(p, 2, a, a)
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in chunk.links] == [list(range(50_000, 70_000))] * 2
+
+
+def test_batches_are_small_and_settings_come_back(spark):
+    names = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(x) for x in names]
+    with settings(spark, **SMALL_BATCHES):
+        sizes = spark.range(0, 200, 1, 1).selectExpr("repeat('x', 100000) as t").mapInArrow(
+            lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+    assert max(r.n for r in sizes) < 5 << 20 and sum(r.n for r in sizes) > 20_000_000
+    align(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), A, B).collect()
+    assert [spark.conf.get(x) for x in names] == before
