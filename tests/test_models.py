@@ -1,7 +1,12 @@
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from creditloom.catalog import models, records
 from creditloom.operators.metrics import averaged_metrics
+from creditloom.operators.sizing import COMPILED, settings, settle, settled
 from creditloom.plans import cascade as C
 from creditloom.plans.calibration import Calibrated, calibrate
 from creditloom.plans.model_search import Task, fit_candidate, holdout_score, search
@@ -181,3 +186,56 @@ def test_search_spaces_and_notes():
     assert PipelineConfig.from_candidate({"smote__min_improvement": 0.2}).min_improvement == 0.2
     with pytest.raises(ValueError):
         make_classifier("LGBMClassifier", 2, {"learnig_rate": 0.1})
+
+
+def _shuffled(spark):
+    status = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(status.apply(i).getName().startswith("shuffle_") for i in range(status.size()))
+
+
+def test_settled_rows_leave_nothing_behind(spark):
+    before = _shuffled(spark)
+    with settled(spark.range(100).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()) as rows:
+        path = rows.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert len(rows.collect()) == 7 and os.path.isdir(path)
+        kept = settle(rows.where("k < 3"))
+    assert not os.path.exists(path) and len(kept.collect()) == 3
+    for _ in range(20):
+        if _shuffled(spark) <= before:
+            break
+        time.sleep(0.5)
+    assert _shuffled(spark) <= before
+
+
+def test_settings_of_several_threads_come_back(spark):
+    name, before = "spark.sql.codegen.hugeMethodLimit", spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    with settings(spark, **COMPILED):
+        with settings(spark, **COMPILED):
+            pass
+        assert spark.conf.get(name) == "8000"
+    assert spark.conf.get(name) == before
+
+
+def _orders(spark, folder):
+    spark.sql("""select id as o_orderkey, if(id = 5, null, id * 7) as o_custkey, 'O' as o_orderstatus, id * 100.5 as o_totalprice, '2-HIGH' as o_orderpriority,
+        timestamp '2020-01-02 00:00:00' as o_orderdate from range(8)""").write.parquet(f"{folder}/orders.parquet")
+    spark.sql("""select id div 12 as l_orderkey, if(id = 30, null, id) as l_partkey, 3L as l_suppkey, cast(id % 7 as int) as l_linenumber,
+        cast(id % 9 as double) as l_quantity, id * 321.5 as l_extendedprice, (id % 6) / 100D as l_discount, (id % 3) / 100D as l_tax,
+        element_at(array('A', 'N', 'R'), cast(id % 3 + 1 as int)) as l_returnflag, if(id % 2 = 0, 'O', 'F') as l_linestatus from range(70)
+        union all select 1, 9, 9, 1, 1D, 9D, 0D, 0.01D, f, 'F' from (select explode(array('R', 'N', 'A')) f)""").write.parquet(f"{folder}/lineitem.parquet")
+
+
+def test_shortened_offers_give_the_same_text(spark, tmp_path, monkeypatch):
+    _orders(spark, tmp_path)
+    got = sorted(str(r.line) for r in records.application_text(spark, str(tmp_path)).collect())
+    assert not any(sign in t for t in got for sign in records.OFFER_PARTS)
+    monkeypatch.setattr(records, "OFFER_PARTS", {})
+    assert sorted(str(r.line) for r in records.application_text(spark, str(tmp_path)).collect()) == got and len(got) == 8
+
+
+def test_record_files_are_compressed(spark, tmp_path):
+    _orders(spark, tmp_path)
+    path = models._json_files(spark, str(tmp_path))
+    assert {f[-7:] for f in os.listdir(path.removeprefix("file://")) if f.startswith("part-")} == {".txt.gz"}
+    lines = [r.line or "" for r in records.application_text(spark, str(tmp_path)).collect()]
+    assert sorted(r.value for r in spark.read.text(path).collect()) == sorted(lines)
