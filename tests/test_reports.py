@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from creditloom.functions import color as K
 from creditloom.functions import text as X
+from creditloom.operators import lines as L
 from creditloom.operators import report_diff as D
 from creditloom.plans import report_rows as R
 from creditloom.sources import reports as S
@@ -234,3 +235,23 @@ def test_merged_lines_alone_are_coloured_again(spark):
     want = R.colored(merged.drop("color", "hex")).select("report_id", "pos", "text", "merged", "color", "hex").collect()
     got = R._recolored(merged).select("report_id", "pos", "text", "merged", "color", "hex").collect()
     assert sorted(got, key=str) == sorted(want, key=str) and {r.merged for r in got} == {True, False}
+
+
+def test_report_rows_colour_lines_once(spark, monkeypatch):
+    texts = [["Credit Score: 701", "Seasoned closed accounts", "Charged Off Accts", "2 / $1,200"], ["Age: 44", "No 5k+ lines"]]
+    rows = [(r, i // 3, i, t, [0.0, 0.0, 9.0, 9.0], [(t, rgb, [x, 0.0, x + 5, 9.0])]) for r, ts in enumerate(texts) for i, t in enumerate(ts)
+            for rgb, x in [([220, 53, 69] if i % 2 else [66, 143, 78], 300.0 * (i % 2))]]
+    lines = spark.createDataFrame(rows, "report_id long, page int, pos long, text string, bbox array<double>, "
+                                  "spans array<struct<text: string, rgb: array<int>, bbox: array<double>>>")
+    factors = R.report_factors(lines)
+    listed = {r.report_id: r for r in L.factor_arrays(factors, ["report_id"], ["prio", "factor"]).collect()}
+    counts = {r.report_id: r for r in L.color_counts(factors, ["report_id"]).collect()}
+    assert listed
+    calls, plain = [], R.colored
+    monkeypatch.setattr(R, "colored", lambda x: calls.append(1) or plain(x))
+    got = {r.report_id: r for r in R.report_rows(lines).collect()}
+    assert len(calls) == 1 and set(got) == {0, 1} and got[0].credit_score == 701 and got[1].age == 44
+    for i, r in got.items():
+        assert r.credit_factors == (listed[i].credit_factors if i in listed else [])
+        for c in ("red", "green", "black"):
+            assert r[f"{c}_credit_factors_count"] == (counts[i][f"{c}_credit_factors_count"] if i in counts else 0)
